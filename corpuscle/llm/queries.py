@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.llm import leximin
+from corpuscle.llm import ball, forest, leximin
 from corpuscle.session import table
 
 
@@ -12,5 +12,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return leximin.ranked(table(spark, d, "fused_results"), "query_id", "doc_id", ["vector_score", "bm25_score"], 5).select("query_id", "doc_id")
 
 
-QUERIES = {"p4_found": p4_found}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return forest.neighbour_pairs(forest.neighbours(table(spark, d, "chunks"), "id", "embedding", 64, 5, 0.90))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Three words and 0.6 are what TESTDATA sets for this query; the operator's own defaults are five and 0.8."""
+    return ball.similar_pairs(table(spark, d, "chunks"), "id", "content", 3, 40, 0.6)
+
+
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found}
 SQL = {"p4_found": leximin.ranked_by_sql("fused_results", "query_id", "doc_id", ["vector_score", "bm25_score"], 5)}

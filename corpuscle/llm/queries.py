@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.llm import ball, forest, leximin
+from corpuscle.llm import ball, forest, leak, leximin, tokens
 from corpuscle.session import table
 
 
@@ -21,5 +21,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return ball.similar_pairs(table(spark, d, "chunks"), "id", "content", 3, 40, 0.6)
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leak.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
 SQL = {"p4_found": leximin.ranked_by_sql("fused_results", "query_id", "doc_id", ["vector_score", "bm25_score"], 5)}

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import ball, forest, leak, leximin, secrets, tokens
+from corpuscle.llm import ball, forest, leak, leximin, ocr, secrets, tokens
 from corpuscle.session import cut, table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.noise(table(spark, d, "pdf_lines"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     found = cut(secrets.in_documents(table(spark, d, "source_documents"), "id", "content", "source_path", with_values=True))
     chunks = secrets.in_chunks(table(spark, d, "chunks"), "id", "content", "document_id", found)
@@ -37,5 +41,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leak.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
 SQL = {"p4_found": leximin.ranked_by_sql("fused_results", "query_id", "doc_id", ["vector_score", "bm25_score"], 5)}

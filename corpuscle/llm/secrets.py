@@ -141,7 +141,7 @@ def _read_literal(text: str, at: int, loose: bool) -> tuple[int, int, str, bool]
             return None
         nl = text.find("\n", b.end())
         rest = text[b.end() : nl if nl >= 0 else len(text)].strip()
-        if rest and rest[0] not in "#;" and "\n" in text:
+        if rest and rest[0] not in "#;,\"'`" and "\n" in text:
             return None  # an expression or prose, not a bare value
         return b.start(), b.end(), b.group(), True
     return None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import ball, forest, handwritten, leak, leximin, ocr, secrets, tokens
+from corpuscle.llm import ball, forest, handwritten, leak, leximin, ocr, secrets, subject, tokens
 from corpuscle.session import cut, table
 
 
@@ -45,5 +45,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leak.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    names = subject.subject_names(table(spark, d, "subject_areas"))
+    model = subject.train(docs, "doc_id", "text", table(spark, d, "subject_labels"), "doc_id", "subject", "annotator", names)
+    return subject.subjects_of(docs, "doc_id", "text", model).select("doc_id", "subject")
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 SQL = {"p4_found": leximin.ranked_by_sql("fused_results", "query_id", "doc_id", ["vector_score", "bm25_score"], 5)}

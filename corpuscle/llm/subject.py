@@ -122,7 +122,7 @@ def _descend(rows: DataFrame, model: Model, rounds: int) -> Model:
     e, w, b = model.e.copy(), model.w.copy(), model.b.copy()
     m = v = 0.0
     for t in range(1, rounds + 1):
-        got = rows.mapInPandas(_gradient(e, w, b), "g binary, n long, loss double").toLocalIterator()
+        got = rows.mapInPandas(_gradient(e, w, b), "g binary, n long, loss double").collect()
         total, n = 0.0, 0
         for r in got:
             total, n = total + np.frombuffer(r.g, "f4"), n + r.n

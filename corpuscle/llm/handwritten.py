@@ -32,9 +32,10 @@ from corpuscle.llm.ball import _MIX, mix
 from corpuscle.session import cut
 
 KINDS = ("generated", "minified", "vendored", "data")
-BITS, ORDERS, SAMPLE, EPOCHS, TRUST, SCALE = 15, (3, 4, 5), 4000, 12, 0.98, 20.0
+BITS, ORDERS, SAMPLE, EPOCHS, TRUST, SCALE = 15, (3, 4, 5), 3000, 12, 0.98, 20.0
 DIMS = 1 << BITS
 PATH_DIMS = 1 << 12
+PATH_WEIGHT = 0.2
 
 #: Extensions of program code.
 CODE = "py pyi js mjs cjs jsx ts tsx go rs kt kts java scala groovy cpp cc cxx c h hpp hh cs fs vb swift m mm rb php pl pm lua r jl dart ex exs erl hs ml clj sh bash zsh fish ps1 bat sql css scss less vue svelte proto asm s".split()
@@ -98,7 +99,7 @@ def path_features(path: str, masked: bool) -> np.ndarray:
     parts = path.split("/")
     name = parts[-1]
     marks = {f"d:{p}" for p in parts[1:-1] if not (masked and p in VENDOR_DIRS)} | {f"m:{m}" for m in re.findall(r"[._-]([A-Za-z]{1,12}[0-9]?)(?=[._-])", name)} | {f"f:{name.split('_')[0]}"}
-    return np.array([DIMS + xxhash.xxh32_intdigest(m) % PATH_DIMS for m in sorted(marks)], "i8")
+    return np.array([DIMS + xxhash.xxh32_intdigest(m) % PATH_DIMS for m in sorted(marks)], "i4")
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +128,7 @@ def _features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for k in range(len(texts)):
         idx, n = np.unique(h[at[k] : at[k + 1]], return_counts=True)
-        out.append((idx.astype("i8"), (n * (SCALE / max(1, n.sum()))).astype("f4")))
+        out.append((idx.astype("i4"), (n * (SCALE / max(1, n.sum()))).astype("f4")))
     return out
 
 
@@ -138,54 +139,55 @@ class Model(NamedTuple):
     report: dict[str, dict[str, float]]
 
 
-def _vectors(ev: list[Evidence], paths: list[str]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
-    """Of each file, its vector for each kind: n-grams of the body or, for vendored files, of the head; path components."""
-    body, head = _features([e.body for e in ev]), _features([e.head for e in ev])
-    rows = []
-    for k, p in enumerate(paths):
-        row = []
-        for kind in KINDS:
-            i, v = head[k] if kind == "vendored" else body[k]
-            pf = path_features(p, masked=kind == "vendored" and not ev[k].head.strip())
-            row.append((np.r_[i, pf], np.r_[v, np.full(len(pf), 0.2, "f4")].astype("f4")))
-        rows.append(row)
-    return rows
+Vec = tuple[np.ndarray, np.ndarray, np.ndarray]  # n-grams, their shares, path components
 
 
-def _fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, lam: float = 1e-4) -> tuple[np.ndarray, float]:
+def _dot(w: np.ndarray, x: Vec) -> float:
+    return float(w[x[0]] @ x[1] + PATH_WEIGHT * w[x[2]].sum())
+
+
+def _fit(x: list[Vec], y: np.ndarray, lam: float = 1e-4) -> tuple[np.ndarray, float]:
     """Averaged sub-gradient descent on the hinge loss, classes weighted evenly."""
-    w, b, ws, bs, t = np.zeros(DIMS + PATH_DIMS), 0.0, np.zeros(DIMS + PATH_DIMS), 0.0, 0
+    w, b, ws, bs, t = np.zeros(DIMS + PATH_DIMS, "f4"), 0.0, np.zeros(DIMS + PATH_DIMS, "f4"), 0.0, 0
     cost = np.where(y > 0, len(y) / max(1, 2 * (y > 0).sum()), len(y) / max(1, 2 * (y < 0).sum()))
     rng = np.random.default_rng(7)
     for epoch in range(EPOCHS):
         eta = 0.5 / (1 + epoch)
         for k in rng.permutation(len(y)):
-            i, v = x[k]
-            if y[k] * (w[i] @ v + b) < 1:
-                np.add.at(w, i, eta * y[k] * cost[k] * v)
-                b += eta * y[k] * cost[k] * 0.1
-        w *= 1 - lam
+            i, v, p = x[k]
+            if y[k] * (_dot(w, x[k]) + b) < 1:
+                step = np.float32(eta * y[k] * cost[k])
+                w[i] += step * v
+                np.add.at(w, p, step * np.float32(PATH_WEIGHT))
+                b += float(step) * 0.1
+        w *= np.float32(1 - lam)
         ws, bs, t = ws + w, bs + b, t + 1
     return ws / t, bs / t
 
 
 def fit(sample: pd.DataFrame) -> Model:
     """Fit on rows ``(repo, path, text)``: repositories whose hash falls into one of five are held out."""
-    ev = [evidence(t, p) for t, p in zip(sample.text, sample.path)]
-    vec = _vectors(ev, sample.path.tolist())
+    body, head, given = [], [], []
+    for k in range(0, len(sample), 128):
+        part = sample.iloc[k : k + 128]
+        ev = [evidence(t, p) for t, p in zip(part.text, part.path)]
+        given += [[getattr(e, c) for c in KINDS] for e in ev]
+        for e, p, bf, hf in zip(ev, part.path, _features([e.body for e in ev]), _features([e.head for e in ev])):
+            body.append((*bf, path_features(p, masked=False)))
+            head.append((*hf, path_features(p, masked=not e.head.strip())))
     held = np.array([xxhash.xxh32_intdigest(str(r)) % 5 == 0 for r in sample.repo], bool)
-    given = np.array([[getattr(e, k) for k in KINDS] for e in ev], bool).reshape(-1, len(KINDS))
-    weights, bias, used, report = np.zeros((len(KINDS), DIMS + PATH_DIMS)), np.zeros(len(KINDS)), [], {}
+    given = np.array(given, bool).reshape(-1, len(KINDS))
+    weights, bias, used, report = np.zeros((len(KINDS), DIMS + PATH_DIMS), "f4"), np.zeros(len(KINDS)), [], {}
     for c, kind in enumerate(KINDS):
-        x, y = [v[c] for v in vec], np.where(given[:, c], 1.0, -1.0)
-        keep = ~held & (given[:, c] | ~given.any(axis=1) | (kind != "vendored") & ~given[:, c])
+        x, y = head if kind == "vendored" else body, np.where(given[:, c], 1.0, -1.0)
+        keep = ~held & (given[:, c] | ~given.any(axis=1) | (kind != "vendored"))
         if (y[keep] > 0).sum() < 5 or (y[keep] < 0).sum() < 5:
             used.append(False)
             continue
         for _ in range(2):
             at = np.flatnonzero(keep)
             w, b = _fit([x[k] for k in at], y[at])
-            s = np.array([w[i] @ v + b for i, v in x])
+            s = np.array([_dot(w, v) + b for v in x])
             keep &= (y > 0) | (s < 0.3)  # likely such files that don't give themselves away
         hv = held & (given[:, c] | ~given.any(axis=1))
         said, true = s[hv] > 0, y[hv] > 0
@@ -196,12 +198,6 @@ def fit(sample: pd.DataFrame) -> Model:
     return Model(weights, bias, tuple(used), report)
 
 
-def code_rows(docs: DataFrame, id_col: str, path: str, text: str) -> DataFrame:
-    ext = F.lower(F.element_at(F.split(F.element_at(F.split(F.col(path), "/"), -1), r"\."), -1))
-    return docs.where(F.col(id_col).isNotNull() & F.col(path).isNotNull() & (F.length(text) > 0) & ext.isin(CODE)).select(
-        F.col(id_col).cast("string").alias("id"), F.col(path).alias("path"), F.col(text).alias("text"), F.try_element_at(F.split(F.col(path), "/"), F.when(F.startswith(F.col(path), F.lit("/")), F.lit(4)).otherwise(F.lit(1))).alias("repo"))
-
-
 def train(code: DataFrame) -> Model:
     """A model from at most ``SAMPLE`` of the files."""
     sample = code.orderBy(F.xxhash64("text"), "id").limit(SAMPLE).dropDuplicates(["id"])
@@ -227,7 +223,7 @@ def _score(model: Model):
                     some = n > 0
                     if some.any():
                         s[some] = np.add.reduceat(w[h], at[:-1][some]) * (SCALE / n[some])
-                    s += [0.2 * w[f].sum() + model.bias[c] for f in (masked if kind == "vendored" else paths)]
+                    s += [PATH_WEIGHT * w[f].sum() + model.bias[c] for f in (masked if kind == "vendored" else paths)]
                 else:
                     s = np.full(len(b), -1.0)
                 out[kind] = s

@@ -1,0 +1,135 @@
+"""Schemas of JSON: inferred as rows of paths, with hints, as JSON Schema and as DDL."""
+
+from __future__ import annotations
+
+import json
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from corpuscle.errors import SchemaError
+
+EXAMPLES = 3
+#: Parts of key names that hint at times and at folders.
+TIME_PARTS = ("date", "time", "updated", "created")
+FOLDER_PARTS = ("folder", "path", "group", "category", "tag")
+
+
+def _walk(v, path: str, parent: str | None) -> Iterator[tuple[str, str, str | None]]:
+    kind = "null" if v is None else "boolean" if isinstance(v, bool) else "number" if isinstance(v, (int, float)) else "string" if isinstance(v, str) else "array" if isinstance(v, list) else "object"
+    yield path, kind, json.dumps(v, ensure_ascii=False) if kind in ("boolean", "number", "string") else None
+    if kind == "object":
+        for k, x in v.items():
+            yield from _walk(x, f"{path}.{k}" if path else k, path)
+    elif kind == "array":
+        for x in v:
+            yield from _walk(x, f"{path}.[]" if path else "[]", path)
+
+
+def json_values(docs: DataFrame, column: str) -> DataFrame:
+    """``(path, type, example)`` of every value in every document; texts that aren't JSON give none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for t in b.iloc[:, 0]:
+                try:
+                    rows += _walk(json.loads(t), "", None) if t else ()
+                except ValueError:
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "type", "example"])
+
+    return docs.select(column).mapInPandas(run, "path string, type string, example string")
+
+
+def infer(docs: DataFrame, column: str) -> DataFrame:
+    """``(path, types, n, required, examples)``: of each path its types, how often it stands, and whether wherever its parent does.
+
+    Values are aggregated map-side; only distinct paths, types and a few examples are gathered.
+    """
+    v = json_values(docs, column)
+    per = v.groupBy("path", "type").agg(F.count(F.lit(1)).alias("n"), F.min("example").alias("example"))
+    g = per.groupBy("path").agg(F.array_sort(F.collect_set("type")).alias("types"), F.sum("n").alias("n"), F.max(F.when(F.col("type") == "object", F.col("n"))).alias("objects"), F.slice(F.array_sort(F.collect_set("example")), 1, EXAMPLES).alias("examples"))
+    up = F.regexp_replace("path", r"(^|\.)[^.]*$", "")
+    parents = g.select(F.col("path").alias("up"), F.col("objects").alias("parent_objects"))
+    j = g.withColumn("up", F.when(F.col("path") == "", None).otherwise(up)).join(parents, "up", "left")
+    leaf = F.element_at(F.split("path", r"\."), -1)
+    return j.select("path", "types", "n", F.coalesce((leaf != "[]") & (F.col("n") >= F.col("parent_objects")), F.lit(False)).alias("required"), "examples")
+
+
+def _hint(parts: tuple[str, ...]) -> Column:
+    key = F.lower(F.element_at(F.split("path", r"\."), -1))
+    return (key != "[]") & (key != "") & key.rlike("|".join(parts))
+
+
+def field_hints(paths: DataFrame) -> DataFrame:
+    """``(kind, path)``: paths whose key hints at times (timestamps) or at folders."""
+    return paths.where(_hint(TIME_PARTS)).select(F.lit("timestamps").alias("kind"), "path").unionByName(paths.where(_hint(FOLDER_PARTS)).select(F.lit("folders").alias("kind"), "path")).distinct()
+
+
+def to_json_schema(paths: DataFrame) -> dict:
+    """JSON Schema of inferred paths; a schema is as large as its paths, so they are read to the driver."""
+    root: dict = {}
+    nodes = {"": root}
+    for r in paths.orderBy("path").toLocalIterator():
+        node = nodes.setdefault(r.path, {})
+        node["type"] = r.types[0] if len(r.types) == 1 else list(r.types)
+        if r.examples:
+            node["examples"] = [json.loads(x) for x in r.examples]
+        if r.path:
+            up, _, key = r.path.rpartition(".")
+            parent = nodes.setdefault(up, {})
+            if key == "[]":
+                parent["items"] = node
+            else:
+                parent.setdefault("properties", {})[key] = node
+                if r.required:
+                    parent.setdefault("required", []).append(key)
+    return {"$schema": "https://json-schema.org/draft/2020-12/schema"} | root
+
+
+_SQL_TYPES = {"string": "TEXT", "number": "DOUBLE PRECISION", "boolean": "BOOLEAN", "array": "JSONB", "object": "JSONB", "null": "TEXT"}
+
+
+def to_ddl(paths: DataFrame, name: str) -> str:
+    """A CREATE TABLE of the top-level keys; keys that hint at times become timestamps."""
+    times = {r.path for r in field_hints(paths).where("kind = 'timestamps'").toLocalIterator()}
+    cols = []
+    for r in paths.where("path <> '' AND NOT contains(path, '.')").orderBy("path").toLocalIterator():
+        kinds = [t for t in r.types if t != "null"] or ["string"]
+        kind = "TIMESTAMPTZ" if r.path in times and kinds == ["string"] else _SQL_TYPES[kinds[0]] if len(kinds) == 1 else "JSONB"
+        cols.append(f'  "{r.path}" {kind}' + (" NOT NULL" if r.required and "null" not in r.types else ""))
+    if not cols:
+        raise SchemaError("there are no keys to make columns of")
+    return f"CREATE TABLE {name} (\n" + ",\n".join(cols) + "\n);"
+
+
+def create_table_of(text: str) -> str:
+    """The CREATE TABLE statement of a model's answer, without the fence around it, up to a blank line."""
+    t = re.sub(r"(?s)^\s*```\w*\s*\n(.*?)\n?```.*$", r"\1", text.strip())
+    m = re.search(r"(?is)create\s+table\b.*?(?=\n\s*\n|\Z)", t)
+    if not m:
+        raise SchemaError("the text holds no CREATE TABLE")
+    return m.group().strip()
+
+
+def create_table_col(c: str | Column) -> Column:
+    """The same as an expression, null where there is none."""
+    t = F.regexp_replace(F.trim(F.col(c) if isinstance(c, str) else c), r"(?m)^```\w*\s*$", "")
+    return F.nullif(F.trim(F.regexp_extract(t, r"(?is)(create\s+table\b.*?)(\n\s*\n|$)", 1)), F.lit(""))
+
+
+def with_retry(generate: Callable[[str], str], prompt: str, attempts: int = 3) -> str:
+    """Ask a model for DDL; each failure's message goes into the next prompt."""
+    said = prompt
+    for k in range(attempts):
+        try:
+            return create_table_of(generate(said))
+        except SchemaError as e:
+            if k == attempts - 1:
+                raise
+            said = f"{prompt}\n\nThe last answer could not be used: {e}"
+    raise SchemaError("no attempts")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.session import cut
 
-BITS, DIM, GRAMS, MAX_LABELLED, ROUNDS, RATE = 15, 16, (3, 5), 8000, (35, 20), 0.08
+BITS, DIM, GRAMS, MAX_LABELLED, ROUNDS, RATE = 15, 16, (3, 5), 8000, (30, 15), 0.08
 TABLE = 1 << BITS
 SHARE = 0.25
 WORD = regex.compile(r"\p{L}+")
@@ -90,8 +90,9 @@ class Model(NamedTuple):
         return (self.e @ self.w).astype("f4")
 
 
-def _gradient(e: np.ndarray, w: np.ndarray, b: np.ndarray):
+def _gradient(parameters):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        e, w, b = parameters.value
         de, dw, db, n, loss = np.zeros_like(e), np.zeros_like(w), np.zeros_like(b), 0, 0.0
         for x in batches:
             x = x[x.idx.map(len) > 0]
@@ -122,7 +123,9 @@ def _descend(rows: DataFrame, model: Model, rounds: int) -> Model:
     e, w, b = model.e.copy(), model.w.copy(), model.b.copy()
     m = v = 0.0
     for t in range(1, rounds + 1):
-        got = rows.mapInPandas(_gradient(e, w, b), "g binary, n long, loss double").collect()
+        sent = rows.sparkSession.sparkContext.broadcast((e, w, b))
+        got = rows.mapInPandas(_gradient(sent), "g binary, n long, loss double").collect()
+        sent.destroy()
         total, n = 0.0, 0
         for r in got:
             total, n = total + np.frombuffer(r.g, "f4"), n + r.n

@@ -11,12 +11,12 @@ from corpuscle.functions import display as D
 from corpuscle.functions import text as T
 from corpuscle.functions import vectors as V
 
-#: A leg is a search's result and thus bounded by its limit; it may be gathered in one place.
-_ALL = Window.partitionBy(F.lit(1))
 
 
 def normalized(leg: DataFrame, score: str = "score") -> DataFrame:
-    return leg.withColumn("norm", V.minmax(F.col(score), F.min(score).over(_ALL), F.max(score).over(_ALL)))
+    """The leg with its scores between 0 and 1. A leg is a search's result and bounded by its limit, so it may be gathered in one place."""
+    all_ = Window.partitionBy(F.lit(1))
+    return leg.withColumn("norm", V.minmax(F.col(score), F.min(score).over(all_), F.max(score).over(all_)))
 
 
 def joined(vector: DataFrame, lexical: DataFrame) -> DataFrame:

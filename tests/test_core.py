@@ -1,0 +1,257 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpuscle import config
+from corpuscle.errors import ChunkingError, ConfigError, DagError, QueryError, SchemaError
+from corpuscle.functions import classify, display, lang, text, vectors
+from corpuscle.operators import bm25, chunking, commits, dag, dense, fusion, layout, models, schema, state
+
+
+def one(spark, c, **cols):
+    df = spark.createDataFrame([tuple(cols.values())] if cols else [(1,)], list(cols) or ["x"])
+    return df.select(c.alias("r")).head().r
+
+
+WORDS = "one two three four five six seven eight nine ten"
+
+
+@pytest.mark.parametrize(
+    ("t", "size", "over", "want"),
+    [
+        (WORDS, 3, 1, ["one two three", "three four five", "five six seven", "seven eight nine", "nine ten"]),
+        ("a b c d e f", 2, 0, ["a b", "c d", "e f"]),
+        ("", 2, 0, []),
+        ("  　\t ", 2, 0, []),
+        (WORDS, 100, 10, [WORDS]),
+    ],
+)
+def test_windows(spark, t, size, over, want):
+    assert one(spark, chunking.windows(text.words("t"), size, over), t=t) == want
+
+
+@pytest.mark.parametrize(("size", "over"), [(0, 0), (3, 3), (3, 4)])
+def test_windows_refused(size, over):
+    with pytest.raises(ChunkingError):
+        chunking.check(size, over)
+
+
+def test_commit_windows(spark):
+    t = " ".join(f"w{i}" for i in range(1000))
+    got = one(spark, chunking.commit_windows("t", 512, 128), t=t)
+    starts = [s for s in range(0, 1000, 295) if s == 0 or 1000 - s >= 147]
+    assert [g.split()[0] for g in got] == [f"w{s}" for s in starts] and len(got[0].split()) == 393
+
+
+def test_pack_sentences(spark):
+    d = spark.createDataFrame([("d", "One two. Three four five! " + " ".join("x" for _ in range(12)) + ". End"), ("e", None), ("f", "")], "id string, t string")
+    got = [r.content for r in chunking.pack_sentences(d, "id", "t", 5, 2).orderBy("chunk_index").collect()]
+    assert got[0] == "One two. Three four five." and got[-1] == "End." and all(len(g.split()) <= 5 for g in got)
+
+
+def test_tokens(spark):
+    assert one(spark, text.tokens("t"), t="user@example.com, hello-world_test") == ["user", "example", "com", "hello", "world", "test"]
+    assert one(spark, text.index_tokens("t"), t="Café naïve résumé a é") == ["café", "naïve", "résumé", "é"]
+    assert one(spark, text.tokens("t"), t="... --- !!!") == []
+    assert [one(spark, text.estimate_tokens("t"), t=" ".join("w" * n)) for n in (0, 4, 90)] == [0, 5, 117]
+
+
+def test_normalize(spark):
+    assert one(spark, text.normalize("t"), t="  é​ \t\n x﻿ ") == "é x"
+    assert one(spark, text.drop_control("t"), t="a\x00b\n\x7f") == "ab\n"
+    s = "Hello world. How are you? I am fine."
+    got = one(spark, text.sentences("t"), t=s)
+    assert len(got) == 3 and "".join(got) == s
+    assert one(spark, text.wrap("t", 9), t="aa bb cc dd muchtoolongword e") == ["aa bb cc", "dd", "muchtoolongword", "e"]
+
+
+def test_display(spark):
+    sizes = {512: " 512b", 46 * 1024: "  46k", int(1.2 * 1024**3): " 1.2g", 5 * 1024**2: " 5.0m"}
+    assert {n: one(spark, display.bytes_short("n"), n=n) for n in sizes} == sizes
+    assert one(spark, display.citation("p"), p="/a/b.tar.gz") == "b.tar" and one(spark, display.citation("p"), p="") == "unknown"
+    assert one(spark, display.hash_label("p"), p="x").startswith("src_") and one(spark, display.extension("p"), p="/a/.env") is None
+    with pytest.raises(QueryError):
+        display.show_source("p", "other")
+
+
+def test_languages(spark):
+    got = {p: one(spark, lang.language("p"), p=p) for p in ("a.RS", "x/y.tsx", "q.sql", "no", "k.unknown")}
+    assert got == {"a.RS": "rust", "x/y.tsx": "typescript", "q.sql": "sql", "no": None, "k.unknown": None}
+    assert one(spark, lang.is_code("p"), p="a.md") is False and one(spark, lang.is_code("p"), p="a.sh") is True
+    assert one(spark, lang.document_format("p"), p="a.PDF") == "pdf" and one(spark, lang.document_format("p"), p="a.exe") is None
+    assert len(lang.presets()["code"]) == 143 and lang.expand_extensions(["docs", ".RS"]) == ["adoc", "md", "rs", "rst", "txt"]
+    assert [one(spark, lang.excluded("p"), p=p) for p in ("/a/node_modules/x", "/a/metadata", "/a/build")] == [True, False, True]
+    assert one(spark, lang.excluded("p", True), p="/a/metadata") is True
+
+
+@pytest.mark.parametrize(
+    ("m", "want"),
+    [("feat: x", "feat"), ("fix(core)!: y", "fix"), ("Revert thing", "revert"), ("add latest", "test"), ("clean up", "refactor"), ("ci tweaks", "ci"), ("hello", "unknown"), ("FEAT: x", "unknown"), ("speed", "unknown"), ("cargo bump", "build")],
+)
+def test_commit_types(spark, m, want):
+    assert one(spark, classify.commit_type("m"), m=m) == want
+
+
+def test_vectors(spark):
+    assert one(spark, vectors.cosine("a", "b"), a=[3.0, 4.0], b=[6.0, 8.0]) == pytest.approx(1)
+    assert one(spark, vectors.unit("a"), a=[0.0, 0.0]) == [0.0, 0.0] and one(spark, vectors.sigmoid("x"), x=0.0) == 0.5
+    assert [one(spark, vectors.batch_size("n", 256), n=n) for n in (10, 600 * 1024, 2 * 1024**2)] == [32, 85, 256]
+    e = models.MockEmbedder(4)
+    assert one(spark, vectors.mock_embedding("t", 4), t="añ") == pytest.approx(e.embed(["añ"])[0].tolist())
+
+
+def _index(spark, rows):
+    return bm25.build(spark.createDataFrame(rows, "doc_id string, text string"), "doc_id", "text")
+
+
+DOCS = [("doc1", "machine learning optimization"), ("doc2", "deep learning neural networks"), ("doc3", "machine learning algorithms"), ("doc4", None)]
+
+
+def test_bm25(spark, tmp_path):
+    i = _index(spark, DOCS)
+    hits = bm25.search(i, "machine learning", 10).collect()
+    assert [h.doc_id for h in hits] == ["doc1", "doc3", "doc2"] and i.corpus.head().num_docs == 4
+    assert bm25.search(i, "!!", 5).count() == 0
+    with pytest.raises(QueryError):
+        bm25.search(i, "  ", 5)
+    less = i.without(spark.createDataFrame([("doc2",)], "doc_id string"))
+    assert less.term_stats().where("term = 'neural'").count() == 0
+    again = i.plus(_index(spark, [("doc1", "new words")]))
+    assert again.corpus.head().num_docs == 4 and again.postings.where("doc_id = 'doc1'").count() == 2
+    i.save(str(tmp_path / "i"))
+    assert bm25.Index.load(spark, str(tmp_path / "i")).postings.count() == i.postings.count()
+    assert bm25.Index.load(spark, str(tmp_path / "none")).doc_stats.count() == 0
+
+
+def test_fusion(spark):
+    v = spark.createDataFrame([("doc1", 0.9), ("doc2", 0.7)], "doc_id string, score double")
+    b = spark.createDataFrame([("doc2", 5.0), ("doc3", 3.0)], "doc_id string, score double")
+    got = {r.doc_id: round(r.score, 6) for r in fusion.weighted(v, b, 0.6, 0.4, 10).collect()}
+    assert got == {"doc1": 0.6, "doc2": 0.4, "doc3": 0.0}
+    assert fusion.reciprocal(v, b, 3).head().doc_id == "doc2"
+    assert tuple(fusion.overlap(v, b).head()) == (1, 1, 1)
+    low = fusion.adaptive(v.withColumn("score", F.col("score") / 2), b, 0.5, 0.5, 3).head()
+    assert low.doc_id == "doc2" and round(low.score, 6) == 0.8
+    d = spark.createDataFrame([("doc1", "some text here", ""), ("doc2", "other", "/a/b.md")], "id string, t string, s string")
+    h = {r.doc_id: (r.text, r.source, r.citation) for r in fusion.hydrate(fusion.weighted(v, b, 0.6, 0.4, 3), d, "id", "t", "s").collect()}
+    assert h == {"doc1": ("some text here", "doc1", "doc1"), "doc2": ("other", "/a/b.md", "b"), "doc3": ("", "doc3", "doc3")}
+    assert fusion.normalized(v.limit(0)).count() == 0
+
+
+def test_dense(spark):
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 1.0])], "id string, embedding array<double>")
+    assert [r.id for r in dense.top_k(v, [1.0, 0.1], 2).collect()] == ["a", "c"]
+    assert dense.all_of(None) is None
+    with pytest.raises(QueryError):
+        dense.time_filter("yesterday", None)
+
+
+def test_config():
+    assert config.from_env({"TOP_K": "7", "RERANK": "yes"}).fetch_limits() == (21, 42)
+    for bad in ({"CHUNK_SIZE": "0"}, {"CHUNK_OVERLAP": "600"}, {"VECTOR_WEIGHT": "0.9"}, {"BM25_B": "2"}, {"TOP_K": "x"}, {"RERANK": "maybe"}):
+        with pytest.raises(ConfigError):
+            config.from_env(bad)
+
+
+def test_commit_chunks(spark):
+    from corpuscle.plans.texts import DIFFS
+
+    c = spark.createDataFrame(list(DIFFS), "id string, message string, diff_text string")
+    f = commits.chunks(c, "file").orderBy("id", "chunk_index").collect()
+    assert [(r.id, r.chunk_index, r.total_chunks, r.language) for r in f] == [("c1", 0, 3, None), ("c1", 1, 3, "rust"), ("c1", 2, 3, "markdown"), ("c2", 0, 2, None), ("c2", 1, 2, "python"), ("c3", 0, 1, None)]
+    assert f[1].content.startswith("File: src/main.rs\ndiff --git")
+    assert [r.header for r in commits.hunks(c, "id", "diff_text").where("id = 'c2'").orderBy("hunk_pos").collect()] == ["@@ -1,3 +1,4 @@", "@@ -10,2 +11,3 @@"]
+    paths = {"diff --git a/x b/y z": "y z", "diff --git a/only": "only", "what": "unknown"}
+    assert {l: one(spark, commits.diff_path("l"), l=l) for l in paths} == paths
+
+
+def _line(doc, page, no, text_, font=12.0, y=400.0, x=50.0, ocr=False):
+    return (doc, page, no, text_, font, x, y, 100.0, 12.0, ocr, 600.0, 800.0)
+
+
+LINE = "doc_id string, page_number int, line_no int, text string, font_size double, x double, y double, width double, height double, is_ocr boolean, page_width double, page_height double"
+
+
+def test_layout(spark):
+    rows = [_line("d", p, 0, "My  Header", y=750) for p in (1, 2, 3)]
+    rows += [_line("d", 1, 1, "Intro", 24.0), _line("d", 2, 1, "Part", 18.0), _line("d", 3, 1, "Other", 24.0), _line("d", 3, 2, "body text that goes on.", ocr=True)]
+    rows += [_line("d", p, 5 + k, "plain words in a line.") for p in (1, 2, 3) for k in range(3)]
+    l = spark.createDataFrame(rows, LINE)
+    assert [(r.zone, r.norm, r.n) for r in layout.margin_lines(l).collect()] == [("header", "My Header", 3)]
+    assert layout.without_margins(l).count() == len(rows) - 3
+    got = [(r.heading, r.level, r.start_page, r.end_page) for r in layout.sections(l).orderBy("start_page").collect()]
+    assert got == [("Intro", 1, 1, 2), ("Part", 2, 2, 2), ("Other", 1, 3, 3)]
+    assert layout.median_font(l, ["doc_id"]).head().median_font == 12.0
+    assert tuple(layout.ocr_stats(l).head()) == ("d", 3, 0, 1)
+    assert layout.sections(l.limit(0)).count() == 0
+
+
+def test_state_store(spark, tmp_path):
+    s = state.StateStore(spark, str(tmp_path / "s"), ["k"], "k string, v int")
+    assert s.read().count() == 0
+    s.upsert(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"))
+    s.upsert(spark.createDataFrame([("b", 3)], "k string, v int"))
+    assert sorted(map(tuple, s.read().collect())) == [("a", 1), ("b", 3)]
+    s.remove(spark.createDataFrame([("a",)], "k string"))
+    assert s.read().count() == 1
+    s.reset()
+    assert s.version() == 0
+
+
+def test_scan_store(spark, tmp_path):
+    from datetime import datetime
+
+    s = state.ScanStore(spark, str(tmp_path / "scan"))
+    f = lambda *r: spark.createDataFrame(list(r), "source_path string, file_size_bytes bigint, modified_at timestamp")
+    assert s.start("x", "r1") == "r1"
+    s.record("x", f(("/path/a", 10, datetime(2026, 1, 1)), ("/path/b", 5, None)))
+    assert (s.run("x").files_seen, s.run("x").bytes_seen) == (2, 15)
+    assert s.start("x", "r2") == "r1"
+    s.finish("x")
+    assert s.start("x", "r2") == "r2" and s.run("x").files_seen == 0
+
+
+def test_schema(spark):
+    d = spark.createDataFrame([('{"name":"a","age":1,"tags":[1,"x"]}',), ('{"name":null,"folder":{"created_at":"t"}}',), ("no json",), (None,)], "j string")
+    p = schema.infer(d, "j").cache()
+    got = {r.path: (r.types, r.required) for r in p.collect()}
+    assert got["name"] == (["null", "string"], True) and got["age"] == (["number"], False) and got["tags.[]"] == (["number", "string"], False)
+    assert {(r.kind, r.path) for r in schema.field_hints(p).collect()} == {("folders", "tags"), ("folders", "folder"), ("timestamps", "folder.created_at")}
+    js = schema.to_json_schema(p)
+    assert js["type"] == "object" and js["required"] == ["name"] and js["properties"]["tags"]["items"]["type"] == ["number", "string"]
+    assert '"age" DOUBLE PRECISION' in schema.to_ddl(p, "t")
+    with pytest.raises(SchemaError):
+        schema.create_table_of("SELECT 1")
+    answers = iter(["nothing", "```sql\nCREATE TABLE a (b int);\n```"])
+    assert schema.with_retry(lambda _: next(answers), "p") == "CREATE TABLE a (b int);"
+
+
+def test_dag(spark):
+    assert dag.plan({"a": [], "b": ["a"], "c": ["a"], "d": ["b", "c"]}) == [["a"], ["b", "c"], ["d"]]
+    for bad in ({"a": ["b"], "b": ["a"]}, {"a": ["zzz"]}):
+        with pytest.raises(DagError):
+            dag.plan(bad)
+    assert dag.run({"a": [], "b": ["a"]}, {"a": lambda _: 1, "b": lambda r: r["a"] + 1}) == {"a": 1, "b": 2}
+
+
+def test_files(spark, tmp_path):
+    from corpuscle.sources import files
+
+    (tmp_path / "node_modules").mkdir()
+    for n, b in {"a.py": b"x = 1\n", "b.txt": "é".encode("utf-16"), "c.md": b"\x01\x02\x03\xff" * 20, "empty.py": b"", "d.exe": b"hi", "node_modules/e.js": b"1"}.items():
+        (tmp_path / n).write_bytes(b)
+    got = {r.source_path.rsplit("/", 1)[-1]: (r.content, r.error) for r in files.load(spark, [str(tmp_path)]).collect()}
+    assert got == {"a.py": ("x = 1\n", None), "b.txt": ("é", None), "c.md": (None, "binary"), "d.exe": (None, "unsupported format")}
+    assert files.candidates(spark, [str(tmp_path)], ["py"]).count() == 1
+
+
+def test_registry_has_no_llm():
+    import ast
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent / "corpuscle"
+    for p in root.rglob("*.py"):
+        if "llm" not in p.relative_to(root).parts:
+            names = [getattr(n, "module", None) or "" for n in ast.walk(ast.parse(p.read_text())) if isinstance(n, ast.ImportFrom)]
+            assert not any("llm" in n for n in names), p

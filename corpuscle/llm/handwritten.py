@@ -198,6 +198,14 @@ def fit(sample: pd.DataFrame) -> Model:
     return Model(weights, bias, tuple(used), report)
 
 
+def code_rows(docs: DataFrame, id_col: str, path: str, text: str) -> DataFrame:
+    """``(id, path, text, repo)`` of the rows with a code extension; the repository is the third directory of a full path, else the first."""
+    parts = F.split(F.col(path), "/")
+    ext = F.lower(F.element_at(F.split(F.element_at(parts, -1), r"\."), -1))
+    repo = F.try_element_at(parts, F.when(F.startswith(F.col(path), F.lit("/")), F.lit(4)).otherwise(F.lit(1)))
+    return docs.where(F.col(id_col).isNotNull() & F.col(path).isNotNull() & (F.length(text) > 0) & ext.isin(CODE)).select(F.col(id_col).cast("string").alias("id"), F.col(path).alias("path"), F.col(text).alias("text"), repo.alias("repo"))
+
+
 def train(code: DataFrame) -> Model:
     """A model from at most ``SAMPLE`` of the files."""
     sample = code.orderBy(F.xxhash64("text"), "id").limit(SAMPLE).dropDuplicates(["id"])

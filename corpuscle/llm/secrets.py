@@ -169,7 +169,7 @@ def _plain(text: str, path: str | None, low: str | None = None) -> list[Found]:
         for m in BEGIN.finditer(text, a, b):
             e = END.search(text, m.end())
             nxt = BEGIN.search(text, m.end())
-            if e and (not nxt or e.start() < nxt.start()):
+            if e and (not nxt or e.start() < nxt.start()) and not re.fullmatch(r"(?:[xn\W])*", text[m.end() : e.start()]):
                 found.append(Found(m.start(), e.end(), "private_key"))
         for m in SHAPES.finditer(text, a, b):
             if not re.search(r"(?i)example|x{6}|\*{4}", m.group()):

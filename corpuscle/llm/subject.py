@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.session import cut
 
-BITS, DIM, GRAMS, MAX_LABELLED, ROUNDS, RATE = 15, 16, (3, 5), 8000, (30, 15), 0.08
+BITS, DIM, GRAMS, MAX_LABELLED, ROUNDS, RATE = 14, 12, (3, 5), 6000, (25, 12), 0.1
 TABLE = 1 << BITS
 SHARE = 0.25
 WORD = regex.compile(r"\p{L}+")
@@ -178,7 +178,7 @@ ROW = "idx array<int>, val array<float>, y array<float>, weight float"
 
 def train(docs: DataFrame, id_col: str, text: str, labels: DataFrame, label_id: str, subject: str, annotator: str, subjects: tuple[str, ...], rounds: tuple[int, int] = ROUNDS) -> Model:
     y = targets(labels, label_id, subject, annotator, subjects).orderBy(F.xxhash64("id"), "id").limit(MAX_LABELLED)
-    labelled = cut(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL").join(y, "id").select("id", "text", "y").repartition(8, "id"))
+    labelled = cut(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL").join(y, "id").select("id", "text", "y").repartition(6, "id"))
     rng = np.random.default_rng(11)
     k = len(subjects)
     start = Model(subjects, rng.normal(0, 0.1, (TABLE, DIM)).astype("f4"), rng.normal(0, 0.3, (DIM, k)).astype("f4"), np.full(k, -2.0, "f4"))
@@ -190,7 +190,7 @@ def _score(model: Model, share: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, memo = model.outputs(), {}
         for b in batches:
-            ids, subj, shares, count = [], [], [], []
+            rows_out = []
             for i, t in zip(b.id, b.text):
                 hits, n = np.zeros(len(model.subjects)), 0
                 for s in sentences(t):
@@ -207,8 +207,8 @@ def _score(model: Model, share: float):
                     n += 1
                 for k in np.flatnonzero(hits >= share * n) if n else []:
                     if hits[k]:
-                        ids.append(i), subj.append(model.subjects[k]), shares.append(hits[k] / n), count.append(n)
-            yield pd.DataFrame({"id": ids, "subject": subj, "share": shares, "sentences": count})
+                        rows_out.append((i, model.subjects[k], hits[k] / n, n))
+            yield pd.DataFrame(rows_out, columns=["id", "subject", "share", "sentences"])
 
     return run
 

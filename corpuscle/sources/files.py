@@ -17,11 +17,18 @@ from corpuscle.functions.text import col
 MAX_SIZE = 10 * 1024 * 1024
 
 
+def _below(roots: list[str]) -> Column:
+    """A path without its root: exclusions are about what lies below."""
+    import re
+
+    return F.regexp_replace("source_path", "^(?:" + "|".join(re.escape(r.removeprefix("file:").rstrip("/")) for r in roots) + ")", "")
+
+
 def candidates(spark: SparkSession, roots: list[str], extensions: list[str] | None = None, honor_excluded: bool = True) -> DataFrame:
     """``(source_path, file_size_bytes, modified_at)`` of the files below the roots; contents aren't read."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots).select(F.regexp_replace("path", "^file:/*", "/").alias("source_path"), F.col("length").alias("file_size_bytes"), F.col("modificationTime").alias("modified_at"))
     if honor_excluded:
-        f = f.where(~L.excluded("source_path"))
+        f = f.where(~L.excluded(_below(roots)))
     if extensions:
         f = f.where(extension("source_path").isin(L.expand_extensions(extensions)))
     return f.where("file_size_bytes > 0")
@@ -62,7 +69,7 @@ def decoded(content: str | Column) -> Column:
 def load(spark: SparkSession, roots: list[str], extensions: list[str] | None = None, max_size: int = MAX_SIZE) -> DataFrame:
     """Documents ``(id, source_path, file_hash, content, metadata, error)``; what can't be read has its reason in error."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots).select(F.regexp_replace("path", "^file:/*", "/").alias("source_path"), F.col("length").alias("size_bytes"), "content")
-    f = f.where(~L.excluded("source_path") & (F.col("size_bytes") > 0))
+    f = f.where(~L.excluded(_below(roots)) & (F.col("size_bytes") > 0))
     if extensions:
         f = f.where(extension("source_path").isin(L.expand_extensions(extensions)))
     kind = L.document_format("source_path")

@@ -4,9 +4,9 @@ The byte-level tokenizer never merges across the words its split pattern gives,
 on its surroundings. Texts are split in Spark by that pattern, each distinct word is encoded once, and the
 ids are joined back by word and put in order by position.
 
-A word that makes up a large share of all tokens never becomes a hot join key: the most frequent short words
-(``FREQUENT`` of at most ``SHORT`` characters, a few MB whatever the corpus) are joined by broadcast where the
-text is, and only the rest is shuffled by word.
+A word that makes up a large share of all tokens never becomes a hot join key: short words (of at most ``SHORT``
+characters) that make up one token in ``FREQUENT`` or more, of which there can't be more than ``FREQUENT``, are
+joined by broadcast where the text is, some MB whatever the corpus; only the rest is shuffled by word.
 
 Defined results: null and empty texts give an empty list; every row of the input has one row, rows with the
 same id are kept apart by nothing else than their id, so ids must be unique; texts of any length are encoded
@@ -28,7 +28,7 @@ from corpuscle.session import cut
 #: The split pattern of the byte-level tokenizers. (?U) gives \s its Unicode meaning.
 SPLIT = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-FREQUENT, SHORT = 32768, 32
+FREQUENT, SHORT = 1 << 17, 32
 
 
 def split(text: str | Column) -> Column:
@@ -59,7 +59,8 @@ def word_table(docs: DataFrame, text: str, ranks: str = RANKS) -> DataFrame:
 def encode(docs: DataFrame, id_col: str, text: str, ranks: str = RANKS) -> DataFrame:
     """``(id, ids)``: the ids of each text, a list of integers."""
     words = cut(word_table(docs, text, ranks))
-    frequent = words.where(F.length("word") <= SHORT).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "ids")
+    total = words.agg(F.sum("n").alias("total"))
+    frequent = words.where(F.length("word") <= SHORT).join(F.broadcast(total), F.col("n") * FREQUENT >= F.col("total")).select("word", "ids")
     placed = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).repartition("id")
     tokens = placed.where("text IS NOT NULL").select("id", F.posexplode(split("text")).alias("pos", "word"))
     near = tokens.join(F.broadcast(frequent), "word").groupBy("id").agg(F.collect_list(F.struct("pos", "ids")).alias("near"))

@@ -64,10 +64,12 @@ def score(tf, df, dl, n, avg, k1: float = K1, b: float = B):
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avg))
 
 
-def search_batch(index: Index, queries: DataFrame, query_id: str, text: str, k: int, k1: float = K1, b: float = B) -> DataFrame:
+def search_batch(index: Index, queries: DataFrame, query_id: str, text: str, k: int, k1: float = K1, b: float = B, allowed: DataFrame | None = None) -> DataFrame:
     """``(query_id, doc_id, score, rank)``: the best k documents of each query; a term named twice counts twice.
 
-    Only the queries' terms are joined; document frequencies are counted for those terms alone.
+    Only the queries' terms are joined; document frequencies are counted for those terms alone. With ``allowed``
+    (doc_id) only its documents are ranked, by the whole corpus's statistics. A query's hits are limited in each
+    partition before they are shuffled.
     """
     q = queries.select(F.col(query_id).alias("query_id"), F.explode(T.index_tokens(text)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     terms = q.select("term").distinct()
@@ -79,14 +81,16 @@ def search_batch(index: Index, queries: DataFrame, query_id: str, text: str, k:
         .agg(F.sum(score(F.col("tf"), F.col("df"), F.col("doc_length"), F.col("num_docs"), F.col("avg_doc_length"), k1, b) * F.col("qtf")).alias("score"))
         .where("score > 0")
     )
+    if allowed is not None:
+        scored = scored.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.asc("doc_id"))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search(index: Index, query: str, k: int, k1: float = K1, b: float = B) -> DataFrame:
+def search(index: Index, query: str, k: int, k1: float = K1, b: float = B, allowed: DataFrame | None = None) -> DataFrame:
     """``(doc_id, score)`` of the best k documents; none for a query without tokens."""
     if not query.strip():
         raise QueryError("the query is empty")
     spark = index.postings.sparkSession
     q = spark.range(1).select(F.lit(0).alias("query_id"), F.lit(query).alias("text"))
-    return search_batch(index, q, "query_id", "text", k, k1, b).select("doc_id", "score").orderBy(F.desc(F.round("score", 9)), "doc_id")
+    return search_batch(index, q, "query_id", "text", k, k1, b, allowed).select("doc_id", "score").orderBy(F.desc(F.round("score", 9)), "doc_id")

@@ -39,13 +39,27 @@ def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", ve
     return v.select(F.col(id_col).alias("id"), V.cosine(vector, q).alias("score")).orderBy(F.desc(F.round("score", 9)), "id").limit(k)
 
 
-def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str, query_id: str, query_vector: str) -> DataFrame:
-    """``(query_id, id, score, rank)`` of each query's nearest k. The queries are a stated set and are sent to the vectors; each partition keeps only its own best k of each query before anything is shuffled."""
+#: Query vectors that are sent to the vectors at once.
+BLOCK = 4096
+
+
+def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str, query_id: str, query_vector: str, block: int = BLOCK) -> DataFrame:
+    """``(query_id, id, score, rank)`` of each query's nearest k, exactly.
+
+    The queries are a stated set and go to the vectors in blocks of about ``block``, so what is broadcast is
+    bounded; each partition keeps only its own best k of each query before anything is shuffled.
+    """
     q = queries.select(F.col(query_id).alias("query_id"), V.unit(query_vector).alias("qv"))
     v = vectors.select(F.col(id_col).alias("id"), V.unit(vector).alias("v"))
-    s = v.crossJoin(F.broadcast(q)).select("query_id", "id", V.dot("v", "qv").alias("score"))
+    n = -(-queries.count() // block) or 1
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.asc("id"))
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out = None
+    for b in range(n):
+        part = q.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b)
+        s = v.crossJoin(F.broadcast(part)).select("query_id", "id", V.dot("v", "qv").alias("score"))
+        best = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def points(vectors: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:

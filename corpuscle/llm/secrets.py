@@ -184,7 +184,7 @@ def _plain(text: str, path: str | None, low: str | None = None) -> list[Found]:
         for m in NAMED.finditer(text, a, b):
             lit = _read_literal(text, m.end(), loose)
             if lit is None and m.group(1).lower() in ("pwd", "password"):
-                c = re.compile(r"[^;\s\"'`]+(?=[;\"'`])").match(text, m.end())
+                c = re.compile(r"[^;\s\"'`(){}\[\]<>$]+(?=[;\"'`])").match(text, m.end())
                 lit = (c.start(), c.end(), c.group(), True) if c else None
             if lit and lit[3] and credential_value(m.group(1), lit[2]):
                 found.append(Found(lit[0], lit[1], "named"))

@@ -11,7 +11,8 @@ agreement; the second from the sentences of the same documents, of which a sente
 its document does and the first stage agrees. At most ``MAX_LABELLED`` labelled documents are used, those with
 the smallest hash of their id.
 
-A document is about each subject that at least a quarter of its sentences are about. Every document is scored.
+A sentence is about the subject with the highest output, if that says yes; a document is about each subject that
+at least a quarter of its sentences are about. Every document is scored.
 
 Defined results: null, blank and odd texts have no sentences and no subjects; labels are compared without
 letter case and outer blanks, unknown ones are ignored, null means none; repeated labels count once; no
@@ -203,7 +204,9 @@ def _score(model: Model, share: float):
                                 memo.clear()
                             r = memo[w] = out[features(w)].mean(axis=0)
                         rows.append(r)
-                    hits += (np.add.reduce(rows) / len(rows) + model.b) > 0
+                    p = np.add.reduce(rows) / len(rows) + model.b
+                    k = int(p.argmax())
+                    hits[k] += p[k] > 0
                     n += 1
                 for k in np.flatnonzero(hits >= share * n) if n else []:
                     if hits[k]:

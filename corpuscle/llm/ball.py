@@ -11,10 +11,11 @@ Variants are shuffled once and lie sorted; where they meet, pairs must pass a si
 The pairs left are made distinct and verified on the texts themselves. Texts with the same set of runs are one
 class: only classes are fingerprinted and compared.
 
-A variant shared by more than ``HOT`` classes (wording that a large part of the collection has) emits no pairs.
-There the ball is narrowed: its classes emit the variant's extensions by each further symbol, and so on until
-groups are small. A pair at 0.6 that met in such a variant meets again with a chance of 0.99. Only classes with
-equal whole fingerprints, which are copies but for a few words, are all compared.
+Where up to ``HOT`` classes share a variant all of them are compared. A variant shared by more (wording that a
+large part of the collection has, a text with many versions) emits no pairs; its classes go to an exact way
+instead: each sends its rarest runs, as many as guarantee that any two texts at the threshold share one (prefix
+filter). How rare a run is comes from a sample, which decides the cost only: any one order of the runs gives the
+guarantee. A run that more than ``BLOCK`` classes send is compared in pairs of blocks, each a group of its own.
 
 Defined results: null texts and texts with fewer than ``min_words`` words are no members; repeated rows count
 once; an id with several texts takes part with each; text length is not limited.
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 
 from corpuscle.session import cut
 
-SYMBOLS, KEEP, HOT, SKETCH_BITS = 7, 2, 64, 256
+SYMBOLS, KEEP, HOT, BLOCK, SKETCH_BITS = 7, 2, 1000, 4000, 256
+#: Texts whose runs are counted, and counts of runs that are sent out, for the order of the prefix filter.
+SAMPLED, COUNTED = 20_000, 200_000
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -186,30 +189,71 @@ def classes(rows: DataFrame, id_col: str, text: str, k: int = 5, min_words: int
         _fingerprints(k, min_words), f"id string, rep long, n int, {sketch}, sym array<long>")
 
 
-def _keyed(rows: DataFrame) -> DataFrame:
-    """Rows with a set of places (the bits of m) get the variant of those places' symbols."""
-    kept = F.transform("sym", lambda x, i: F.when(F.getbit("m", i) == 1, x).otherwise(F.lit(0)))
-    return rows.withColumn("v", F.xxhash64("m", kept)).drop("sym")
+def _runs(k: int, min_words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = _Words()
+        for b in batches:
+            yield pd.DataFrame({"h": run_hashes(b.text.tolist(), words, k, min_words)[1].view("i8")})
+
+    return run
+
+
+def _prefixes(k: int, min_words: int, least: float, counts):
+    """The rarest runs of each class's text, as many as two texts at the threshold can't both lack in common."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, (known, often) = _Words(), counts.value
+        for b in batches:
+            row, h = run_hashes(b.text.tolist(), words, k, min_words)
+            if not len(row):
+                continue
+            at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            n = np.diff(np.r_[at, len(row)])
+            with np.errstate(over="ignore"):
+                rep = np.add.reduceat(mix(h * _MIX[1]), at) ^ n.astype("u8")
+            freq = np.zeros(len(h), "i8")
+            if len(known):
+                j = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                freq = np.where(known[j] == h, often[j], 0)
+            o = np.lexsort((h, freq, row))
+            nth, size = np.arange(len(h)) - np.repeat(at, n), np.repeat(n, n)
+            own = np.repeat(rep.view("i8") == b.rep.to_numpy()[row[at]], n)  # an id may have other texts, too
+            sent = own & (nth <= size - np.ceil(least * size - 1e-9))
+            yield b.drop(columns="text").iloc[row[sent]].assign(m=0, v=h[o][sent].view("i8"))
 
+    return run
 
-def similar_classes(rows: DataFrame, fp: DataFrame, id_col: str, text: str, k: int, min_words: int, least: float, hot: int = HOT) -> DataFrame:
+
+def _exact(hot: DataFrame, rows: DataFrame, id_col: str, text: str, k: int, min_words: int, least: float, block: int) -> DataFrame:
+    """``(a, b)``: candidate pairs among these classes ``(rep, n, k0.., id)``, by the prefix filter on their rarest runs."""
+    sk = [f"k{j}" for j in range(SKETCH_BITS // 64)]
+    texts = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text")).where("text IS NOT NULL").join(hot, "id").withColumn("h", F.xxhash64("text")).dropDuplicates(["rep", "h"])
+    texts = cut(texts.select("rep", "n", *sk, "text"))
+    every = max(1, texts.count() // SAMPLED)
+    counted = texts.where(F.pmod(F.xxhash64("rep"), F.lit(every)) == 0).select("text").mapInPandas(_runs(k, min_words), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").orderBy(F.desc("c"), "h").limit(COUNTED).toPandas()
+    known = counted.h.to_numpy("i8").view("u8")
+    o = np.argsort(known)
+    counts = rows.sparkSession.sparkContext.broadcast((known[o], counted.c.to_numpy("i8")[o]))
+    types = ", ".join(f"{c} long" for c in sk)
+    sent = cut(texts.mapInPandas(_prefixes(k, min_words, least, counts), f"rep long, n int, {types}, m int, v long"))
+    big = sent.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > block).select("v", F.ceil(F.col("c") * 2 / block).cast("int").alias("blocks"))
+    split = sent.join(big, "v").withColumn("x", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("x <> y")
+    split = split.select("rep", "n", *sk, "m", F.xxhash64("v", F.least("x", "y"), F.greatest("x", "y")).alias("v"))
+    groups = sent.join(big, "v", "left_anti").select("rep", "n", *sk, "m", "v").unionByName(split)
+    return groups.repartition("v").sortWithinPartitions("v").mapInPandas(_meet(least, 2**31 - 1), "a long, b long, m int").select("a", "b")
+
+
+def similar_classes(rows: DataFrame, fp: DataFrame, id_col: str, text: str, k: int, min_words: int, least: float, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """``(a, b)``: the verified pairs of classes, smaller first."""
     sk = [f"k{j}" for j in range(SKETCH_BITS // 64)]
     one = cut(fp.groupBy("rep", "n", *sk).agg(F.min("id").alias("id"), F.max("sym").alias("sym")))
-    masks = [sum(1 << i for i in c) for c in combinations(range(SYMBOLS), KEEP)]
-    keyed = _keyed(one.select("rep", "n", *sk, "sym", F.explode(F.array(*[F.lit(m) for m in masks])).alias("m")))
-    found = None
-    for level in range(KEEP, SYMBOLS + 1):
-        sorted_runs = keyed.repartition("v").sortWithinPartitions("v")
-        last = level == SYMBOLS
-        met = cut(sorted_runs.mapInPandas(_meet(least, 2**31 - 1 if last else hot), "a long, b long, m int"))
-        here = met.where("b IS NOT NULL").select("a", "b")
-        found = here if found is None else found.unionByName(here)
-        more = met.where("b IS NULL").select(F.col("a").alias("rep"), "m")
-        if last or more.isEmpty():
-            break
-        wider = more.select("rep", F.explode(F.array(*[F.col("m").bitwiseOR(1 << i) for i in range(SYMBOLS)])).alias("w"), "m").where("w <> m").select("rep", F.col("w").alias("m")).distinct()
-        keyed = _keyed(wider.join(one.select("rep", "n", *sk, "sym"), "rep"))
+    subsets = list(combinations(range(SYMBOLS), KEEP))
+    keyed = one.select("rep", "n", *sk, F.lit(0).alias("m"), F.explode(F.array(*[F.xxhash64(F.lit(i), *[F.col("sym")[j] for j in c]) for i, c in enumerate(subsets)])).alias("v"))
+    met = cut(keyed.repartition("v").sortWithinPartitions("v").mapInPandas(_meet(least, hot), "a long, b long, m int"))
+    found = met.where("b IS NOT NULL").select("a", "b")
+    more = met.where("b IS NULL").select(F.col("a").alias("rep"))
+    if not more.isEmpty():
+        found = found.unionByName(_exact(one.drop("sym").join(more.distinct(), "rep"), rows, id_col, text, k, min_words, least, block))
     cand = found.distinct()
     owners = one.select("rep", "id")
     texts = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text"))
@@ -219,11 +263,11 @@ def similar_classes(rows: DataFrame, fp: DataFrame, id_col: str, text: str, k: i
     return full.select("a", "b", "ta", "tb").mapInPandas(_verify(k, least), "a long, b long")
 
 
-def similar_pairs(rows: DataFrame, id_col: str, text: str, k: int = 5, min_words: int = 1, least: float = 0.8, hot: int = HOT) -> DataFrame:
+def similar_pairs(rows: DataFrame, id_col: str, text: str, k: int = 5, min_words: int = 1, least: float = 0.8, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """``(id_a, id_b)``: all pairs of different ids whose texts reach the similarity, copies expanded, smaller first."""
     fp = cut(classes(rows, id_col, text, k, min_words))
     members = fp.select("rep", "id").distinct()
-    pairs = similar_classes(rows, fp, id_col, text, k, min_words, least, hot)
+    pairs = similar_classes(rows, fp, id_col, text, k, min_words, least, hot, block)
     many = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     ab = pairs.unionByName(many)
     out = ab.join(members.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b")

@@ -118,6 +118,24 @@ def test_ball_equals_brute_force(spark):
     assert ball.similar_pairs(df.limit(0), "id", "text").count() == 0
 
 
+def test_ball_finds_all_of_a_large_family(spark):
+    """Several hundred edited versions of one text; all compared, by the prefix filter, and in blocks."""
+    r = random.Random(8)
+    core = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(320):
+        v = list(core)
+        for _ in range(r.randint(2, 6)):
+            v[r.randrange(len(v))] = f"e{r.randint(0, 10**6)}"
+        rows.append((f"f{i:03}", " ".join(v)))
+    f = {i: set(zip(*[t.split()[j:] for j in range(3)])) for i, t in rows}
+    want = {(a, b) for n, (a, x) in enumerate(f.items()) for b, y in list(f.items())[n + 1 :] if len(x & y) >= 0.6 * len(x | y)}
+    df = spark.createDataFrame(rows, "id string, text string")
+    for more in ({}, {"hot": 64}, {"hot": 64, "block": 50}):
+        got = {(x.id_a, x.id_b) for x in ball.similar_pairs(df, "id", "text", 3, 40, 0.6, **more).collect()}
+        assert got <= want and len(got) >= 0.98 * len(want), (more, len(got), len(want))
+
+
 # ---------------------------------------------------------------- 8: tokens
 
 ODD = [None, "", " ", "  \n\n x", "it's we'll I'VE", "a" * 5000, "é é ﬁ İ ß", "日本語 тест 👩‍👩‍👧 ‍", "<|endoftext|> <s>", "x\r\ny\t z 　 w", "1234567 ½ ² ٣", "  lead", "trail  ", "\x00\x01", "  \u0085 \xa0a"]

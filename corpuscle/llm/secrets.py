@@ -62,6 +62,8 @@ NAMED = re.compile(
 QUOTED = re.compile(r"[bruf@]{0,2}(\"\"\"|'''|[\"'`])")
 PIECE = re.compile(r"\s*(?:\\\s*)?[+.]?\s*(?:\\\s*)?([\"'`])((?:\\.|(?!\1)[^\\\n])*)\1")
 BARE = re.compile(r"[^\s\"'`;,(){}\[\]<>$&|]+")
+#: Where a token ends for sure.
+TOKEN_END = re.compile(r"[\s\"'`]")
 #: A bare value that can't be code or prose, as in a comment.
 STRONG = re.compile(r"(?=[^\s]*\d)(?=[^\s]*[a-z])(?=[^\s]*[A-Z])[A-Za-z0-9+/=~!@#%^*?-]{16,}")
 #: Values that stand for a credential, and references.
@@ -147,6 +149,20 @@ def _read_literal(text: str, at: int, loose: bool) -> tuple[int, int, str, bool]
     return None
 
 
+def _windows(text: str, spans: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, those that overlap as one, each going on to the end of the token it ends in."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and b <= out[-1][1]:
+            continue
+        m = TOKEN_END.search(text, b)
+        b = m.start() if m else len(text)
+        if out and a <= out[-1][1]:
+            a = out.pop()[0]
+        out.append((a, b))
+    return out
+
+
 def _plain(text: str, path: str | None, low: str | None = None) -> list[Found]:
     """Credentials written plainly in the text; of overlapping ones the first kept is the longest known shape."""
     low = text.lower() if low is None else low
@@ -161,11 +177,7 @@ def _plain(text: str, path: str | None, low: str | None = None) -> list[Found]:
         a = max(text.rfind("\n", 0, s) + 1, s - 200)
         b = text.find("\n", s)
         spans.add((a, min(b if b >= 0 else len(text), s + 600)))
-    done = -1
-    for a, b in sorted(spans):
-        if b <= done:
-            continue
-        a, done = max(a, min(done, a)), b
+    for a, b in _windows(text, spans):
         for m in BEGIN.finditer(text, a, b):
             e = END.search(text, m.end())
             nxt = BEGIN.search(text, m.end())
@@ -191,7 +203,7 @@ def _plain(text: str, path: str | None, low: str | None = None) -> list[Found]:
     return found
 
 
-B64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{2}){12,}(?![0-9A-Za-z])")
 PERCENT = re.compile(r"[^\s\"'`<>]*(?:%[0-9A-Fa-f]{2}[^\s\"'`<>%]*){2,}")
 ESCAPED = re.compile(r"(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\[0-7]{3}|[\w+/=:@.-])*(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\[0-7]{3}){3,}(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\[0-7]{3}|[\w+/=:@.-])*")

@@ -233,6 +233,23 @@ def test_credentials_found_and_masked(text):
     assert m[: f[0].start] == text[: f[0].start] and m[f[0].end :] == text[f[0].end :] and m.count("\n") == text.count("\n")
 
 
+def test_long_tokens_are_found_and_masked_whole():
+    r = random.Random(6)
+    part = lambda s: base64.urlsafe_b64encode(s.encode()).decode().rstrip("=")
+    claims = ",".join(f'"c{i}":"{r.getrandbits(64)}"' for i in range(30))
+    jwt = ".".join([part('{"alg":"RS256","typ":"JWT"}'), part("{" + claims + "}"), "".join(r.choice("abcdefghijkmnpqrstuvwyzABCDEFGH23456789_") for _ in range(342))])
+    opaque = "".join(r.choice("abcdefghijkmnpqrstuvwyzABCDEFGH23456789") for _ in range(1500))
+    assert len(jwt) > 1200
+    for before, value, after in (('f("', jwt, '")\nx = 1'), ('h = "Authorization: Bearer ', jwt, '"; y'), ('h = "Authorization: Bearer ', opaque, '"'), ("token x " + "a " * 290, jwt, ""), ("BLOB=", base64.b64encode(f'api_key="{SECRET}"'.encode()).decode(), "\nA=1")):
+        text = before + value + after
+        f = secrets.find(text, "a.env")
+        assert [(x.start, x.end) for x in f] == [(len(before), len(before) + len(value))], before
+        m = secrets.mask(text, "a.env")
+        assert len(m) == len(text) and m.startswith(before) and m.endswith(after) and not any(value[i : i + 8] in m for i in range(len(value) - 8))
+    key = KEY.replace("\n", "\\n")
+    assert [f.kind for f in secrets.find("token " + "a " * 290 + key, "a.js")] == ["private_key"]  # the mark of a key where a window ends
+
+
 @pytest.mark.parametrize(
     "text",
     [

@@ -5,8 +5,8 @@ table; a text's vector is the mean of its words'. Each subject has its own logis
 none, one or several.
 
 Training is data-parallel: in each round every partition sums the gradients of its rows at the current
-parameters, the sums are added on the driver (their size is fixed by the table, not by the data), and one Adam
-step is made. The first stage learns from whole documents and their hand labels, weighted by the annotators'
+parameters, the sums are added up in one task (their size is fixed by the table, not by the data), and the driver
+makes one Adam step. The first stage learns from whole documents and their hand labels, weighted by the annotators'
 agreement; the second from the sentences of the same documents, of which a sentence counts for a subject if
 its document does and the first stage agrees. At most ``MAX_LABELLED`` labelled documents are used, those with
 the smallest hash of their id.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.session import cut
 
-BITS, DIM, GRAMS, MAX_LABELLED, ROUNDS, RATE = 14, 12, (3, 5), 6000, (25, 12), 0.1
+BITS, DIM, GRAMS, MAX_LABELLED, ROUNDS, RATE = 15, 16, (3, 5), 8000, (30, 15), 0.08
 TABLE = 1 << BITS
 SHARE = 0.25
 WORD = regex.compile(r"\p{L}+")
@@ -80,6 +80,9 @@ def bag(text: str, memo: _Features) -> tuple[np.ndarray, np.ndarray]:
     return u.astype("i4"), np.bincount(inv, val).astype("f4")
 
 
+SUMS = "g binary, n long, loss double"
+
+
 class Model(NamedTuple):
     subjects: tuple[str, ...]
     e: np.ndarray
@@ -108,9 +111,10 @@ def _gradient(parameters):
             g = ((p - y) * weight).astype("f4")
             dw += h.T @ g
             db += g.sum(0)
-            dh = np.repeat(g @ w.T, size, axis=0) * val[:, None]
-            for d in range(e.shape[1]):
-                de[:, d] += np.bincount(idx, dh[:, d], minlength=len(e))
+            o = np.argsort(idx, kind="stable")
+            hit = np.flatnonzero(np.diff(idx[o], prepend=-1))
+            dh = (g @ w.T).astype("f4")[np.repeat(np.arange(len(size)), size)[o]]
+            de[idx[o][hit]] += np.add.reduceat(dh * val[o][:, None], hit)
             n += len(x)
             loss -= float((weight * (y * np.log(p + 1e-7) + (1 - y) * np.log(1 - p + 1e-7))).sum())
         if n:
@@ -119,20 +123,26 @@ def _gradient(parameters):
     return run
 
 
+def _sum(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    g, n, loss = 0.0, 0, 0.0
+    for x in batches:
+        for r in x.itertuples():
+            g, n, loss = g + np.frombuffer(r.g, "f4"), n + r.n, loss + r.loss
+    if n:
+        yield pd.DataFrame({"g": [g.astype("f4").tobytes()], "n": [n], "loss": [loss]})
+
+
 def _descend(rows: DataFrame, model: Model, rounds: int) -> Model:
     """Synchronous rounds of Adam over the rows ``(idx, val, y, weight)``."""
     e, w, b = model.e.copy(), model.w.copy(), model.b.copy()
     m = v = 0.0
     for t in range(1, rounds + 1):
         sent = rows.sparkSession.sparkContext.broadcast((e, w, b))
-        got = rows.mapInPandas(_gradient(sent), "g binary, n long, loss double").collect()
+        got = rows.mapInPandas(_gradient(sent), SUMS).repartition(1).mapInPandas(_sum, SUMS).collect()
         sent.destroy()
-        total, n = 0.0, 0
-        for r in got:
-            total, n = total + np.frombuffer(r.g, "f4"), n + r.n
-        if not n:
+        if not got:
             return model
-        g = total / n
+        g = np.frombuffer(got[0].g, "f4") / got[0].n
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         k = e.size
@@ -179,7 +189,7 @@ ROW = "idx array<int>, val array<float>, y array<float>, weight float"
 
 def train(docs: DataFrame, id_col: str, text: str, labels: DataFrame, label_id: str, subject: str, annotator: str, subjects: tuple[str, ...], rounds: tuple[int, int] = ROUNDS) -> Model:
     y = targets(labels, label_id, subject, annotator, subjects).orderBy(F.xxhash64("id"), "id").limit(MAX_LABELLED)
-    labelled = cut(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL").join(y, "id").select("id", "text", "y").repartition(6, "id"))
+    labelled = cut(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL").join(y, "id").select("id", "text", "y").repartition(8, "id"))
     rng = np.random.default_rng(11)
     k = len(subjects)
     start = Model(subjects, rng.normal(0, 0.1, (TABLE, DIM)).astype("f4"), rng.normal(0, 0.3, (DIM, k)).astype("f4"), np.full(k, -2.0, "f4"))

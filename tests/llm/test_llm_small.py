@@ -364,3 +364,26 @@ def test_subjects(spark):
     assert not any(i in got for i in (500, 501, 502, 503))
     empty = subject.train(d, "doc_id", "text", l.limit(0), "doc_id", "subject", "annotator", ("law", "sport"), (2, 2))
     assert subject.subjects_of(d, "doc_id", "text", empty).count() == 0
+
+
+def test_subject_model_is_of_full_size(spark):
+    """The table, rounds and labels that the model had before it was shrunk, and gradients as by the formula."""
+    import pandas as pd
+
+    assert subject.TABLE >= 1 << 15 and subject.DIM >= 16 and subject.MAX_LABELLED >= 8000 and subject.ROUNDS >= (30, 15)
+    rng = np.random.default_rng(1)
+    e, w, b = rng.normal(size=(9, 4)).astype("f4"), rng.normal(size=(4, 2)).astype("f4"), rng.normal(size=2).astype("f4")
+    bags = [([0, 3], [0.5, 0.5]), ([], []), ([8], [1.0]), ([1, 3, 7], [0.2, 0.3, 0.5])]
+    x = pd.DataFrame({"idx": [np.array(i, "i4") for i, _ in bags], "val": [np.array(v, "f4") for _, v in bags], "y": [np.array(y, "f4") for y in ([1, 0], [0, 0], [0.5, 1], [0, 1])], "weight": np.array([1, 1, 2, 1], "f4")})
+    sent = type("Sent", (), {"value": (e, w, b)})
+    got = next(subject._sum(iter([pd.concat([next(subject._gradient(sent)(iter([y]))) for y in (x[:2], x[2:])])])))
+    de, dw, db = np.zeros_like(e), np.zeros_like(w), np.zeros_like(b)
+    for (i, v), y, weight in zip(bags, x.y, x.weight):
+        if i:
+            v = np.array(v)[:, None]
+            h = (e[i] * v).sum(0)
+            g = (1 / (1 + np.exp(-(h @ w + b))) - y) * weight
+            de[i] += v * (g @ w.T)
+            dw += np.outer(h, g)
+            db += g
+    assert got.n[0] == 3 and np.allclose(np.frombuffer(got.g[0], "f4"), np.r_[de.ravel(), dw.ravel(), db], atol=1e-5)

@@ -8,6 +8,11 @@ outwards. All trees ascend in step, to ``reach`` places on either side and no fu
 ``least_prefix`` bits. A candidate pair must also lie within the Hamming radius that the first trees' strings
 allow at the wanted cosine; pairs from all trees are then made distinct and verified with the true cosine.
 
+A vector with ``reach`` verified neighbours or more lies in a dense region, where the walk's places need not hold
+the nearest. All dense vectors are compared with everything that can be near, exactly: each goes to its nearest of
+at most ``PIVOTS`` sampled dense vectors, every vector goes to all pivots that the triangle inequality on angles
+doesn't rule out, and a pivot's two sides are multiplied in blocks. This costs the square of a dense group.
+
 Equal vectors are one class: one vector per class is indexed, and each class offers its ``k + 1`` smallest
 ids as neighbours, which is exact as ties go to smaller ids. A group of copies thus costs its size, not its
 square.
@@ -33,6 +38,7 @@ from corpuscle.session import cut
 
 TREES, REACH, LEAST_PREFIX, SEED = 16, 32, 6, 20240817
 SKETCH_WORDS = 4
+PIVOTS, BLOCK = 256, 2000
 
 
 def _planes(dim: int, trees: int) -> np.ndarray:
@@ -99,7 +105,69 @@ def radius_of(cosine: float, bits: int = 64 * SKETCH_WORDS, sigmas: float = 4.0)
     return int(np.ceil(bits * p + sigmas * (bits * p * (1 - p)) ** 0.5))
 
 
-def neighbours(rows: DataFrame, id_col: str, vector: str, dim: int = 64, k: int = 5, least: float = 0.90, trees: int = TREES, reach: int = REACH) -> DataFrame:
+def _units(v: pd.Series) -> np.ndarray:
+    x = np.stack(v.to_numpy()).astype("f4")
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _nearest(pivots: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                c = _units(b.v) @ pivots.T
+                p = c.argmax(axis=1)
+                yield pd.DataFrame({"p": p.astype("i4"), "angle": np.arccos(np.clip(c[np.arange(len(b)), p], -1, 1)).astype("f8"), "rep": b.rep, "v": b.v})
+
+    return run
+
+
+def _reachable(pivots: np.ndarray, angle: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                row, p = np.nonzero(np.arccos(np.clip(_units(b.v) @ pivots.T, -1, 1)) <= angle)
+                yield pd.DataFrame({"p": p.astype("i4"), "rep": b.rep.to_numpy()[row], "v": b.v.to_numpy()[row]})
+
+    return run
+
+
+def _multiply(take: int, least: float):
+    """Of two sides, the ``take`` nearest of the other for each row of the dense one, and all at the last one's cosine."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        l, r = g[g.dense], g[~g.dense]
+        if not len(l) or not len(r):
+            return pd.DataFrame({"a": np.empty(0, "i8"), "b": np.empty(0, "i8")})
+        x, y = l.rep.to_numpy(), r.rep.to_numpy()
+        c = _units(l.v) @ _units(r.v).T
+        c[x[:, None] == y[None, :]] = -2
+        floor = np.full(len(x), least)
+        if len(y) > take:
+            floor = np.maximum(floor, np.partition(c, len(y) - take, axis=1)[:, len(y) - take])
+        i, j = np.nonzero(c >= floor[:, None] - 1e-5)
+        return pd.DataFrame({"a": np.minimum(x[i], y[j]), "b": np.maximum(x[i], y[j])})
+
+    return run
+
+
+def _exact(dense: DataFrame, vectors: DataFrame, take: int, least: float, block: int) -> DataFrame:
+    """Candidate pairs ``(a, b)`` that hold the ``take`` nearest of each dense vector among all."""
+    sampled = _units(dense.orderBy(F.xxhash64("rep"), "rep").limit(PIVOTS).toPandas().v)
+    left = cut(dense.mapInPandas(_nearest(sampled), "p int, angle double, rep long, v array<float>"))
+    sizes = {r.p: r for r in left.groupBy("p").agg(F.max("angle").alias("angle"), F.count(F.lit(1)).alias("n")).collect()}
+    angle = np.array([sizes[p].angle + np.arccos(least) + 2e-3 if p in sizes else -1.0 for p in range(len(sampled))])
+    right = cut(vectors.mapInPandas(_reachable(sampled, angle), "p int, rep long, v array<float>"))
+    blocks = [(r.p, -(-sizes[r.p].n // block), -(-r["n"] // block)) for r in right.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()]
+    blocks = F.broadcast(dense.sparkSession.createDataFrame(blocks, "p int, nl long, nr long"))
+    part = lambda n: F.pmod(F.xxhash64("rep"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    l = left.join(blocks, "p").select("p", part("nl").alias("i"), every("nr").alias("j"), "rep", "v", F.lit(True).alias("dense"))
+    r = right.join(blocks, "p").select("p", every("nl").alias("i"), part("nr").alias("j"), "rep", "v", F.lit(False).alias("dense"))
+    return l.unionByName(r).groupBy("p", "i", "j").applyInPandas(_multiply(take, least), "a long, b long").distinct()
+
+
+def neighbours(rows: DataFrame, id_col: str, vector: str, dim: int = 64, k: int = 5, least: float = 0.90, trees: int = TREES, reach: int = REACH, block: int = BLOCK) -> DataFrame:
     """``(id, other, cosine, rank)``: up to ``k`` most similar other ids of each usable vector, with at least the cosine."""
     good = rows.where(F.col(id_col).isNotNull() & usable(vector, dim)).select(F.col(id_col).alias("id"), F.col(vector).cast("array<float>").alias("v"))
     keyed = cut(good.withColumn("rep", F.xxhash64("v")))
@@ -112,12 +180,21 @@ def neighbours(rows: DataFrame, id_col: str, vector: str, dim: int = 64, k: int
     found = runs.mapInPandas(_walk(reach, LEAST_PREFIX, radius_of(least)), "a long, b long").distinct()
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, z: s + z)
     unit = vectors.select("rep", "v", F.sqrt(dot("v", "v")).alias("n"))
-    close = (
-        found.join(unit.select(F.col("rep").alias("a"), F.col("v").alias("va"), F.col("n").alias("na")), "a")
-        .join(unit.select(F.col("rep").alias("b"), F.col("v").alias("vb"), F.col("n").alias("nb")), "b")
-        .select("a", "b", (dot("va", "vb") / (F.col("na") * F.col("nb"))).alias("cosine"))
-        .where(F.col("cosine") >= least)
-    )
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return (
+            pairs.join(unit.select(F.col("rep").alias("a"), F.col("v").alias("va"), F.col("n").alias("na")), "a")
+            .join(unit.select(F.col("rep").alias("b"), F.col("v").alias("vb"), F.col("n").alias("nb")), "b")
+            .select("a", "b", (dot("va", "vb") / (F.col("na") * F.col("nb"))).alias("cosine"))
+            .where(F.col("cosine") >= least)
+        )
+
+    close = cut(verified(found))
+    dense = close.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= reach).select("rep")
+    dense = cut(dense.join(vectors, "rep"))
+    if not dense.isEmpty():
+        most = members.groupBy("id").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).head()[0]  # vectors of an id
+        close = close.unionByName(verified(_exact(dense, vectors, (k + 1) * most, least, block))).distinct()
     directed = close.select(F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("b").alias("to")), F.struct(F.col("b").alias("rep"), F.col("a").alias("to")))).alias("p"), "cosine").select("p.rep", "p.to", "cosine")
     targets = members.withColumn("__r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("__r") <= k + 1).select(F.col("rep").alias("to"), F.col("id").alias("other"))
     many = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -78,6 +78,18 @@ def test_forest_recall_and_odd_vectors(spark):
     assert forest.neighbours(df.limit(0), "id", "e").count() == 0
 
 
+def test_forest_recall_in_a_dense_group(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal(64) + rng.standard_normal((3000, 64)) * 0.23
+    df = spark.createDataFrame([(f"{i:04}", v.tolist()) for i, v in enumerate(x)], "id string, e array<float>")
+    got = {(r.id, r.other) for r in forest.neighbours(df, "id", "e", block=1000).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -1)
+    want = {(f"{i:04}", f"{j:04}") for i in range(len(x)) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.9}
+    assert len(want) > 14_000 and len(got & want) >= 0.999 * len(want), (len(got & want), len(want))
+
+
 def test_forest_many_copies(spark):
     df = spark.range(300).select(F.col("id").cast("string"), F.array(*[F.lit(float(k + 1)) for k in range(64)]).alias("e"))
     near = forest.neighbours(df, "id", "e")

@@ -11,8 +11,12 @@ agreement; the second from the sentences of the same documents, of which a sente
 its document does and the first stage agrees. At most ``MAX_LABELLED`` labelled documents are used, those with
 the smallest hash of their id.
 
-A sentence is about the subject with the highest output, if that says yes; a document is about each subject that
-at least a quarter of its sentences are about. Every document is scored.
+The outputs are independent: a sentence is about each subject whose output says yes, and a document about each
+subject that at least a quarter of its sentences are about. Every document is scored, by blocks of texts: words
+become numbers and a sentence's outputs the mean of its words' outputs.
+
+A sentence is a piece of a text, up to the end of a line or a blank after a mark, that has at least
+``LEAST_WORDS`` words and ends with a mark.
 
 Defined results: null, blank and odd texts have no sentences and no subjects; labels are compared without
 letter case and outer blanks, unknown ones are ignored, null means none; repeated labels count once; no
@@ -26,31 +30,19 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscle.llm.words import Scan, scan, sentence_words
 from corpuscle.session import cut
 
 BITS, DIM, GRAMS, MAX_LABELLED, ROUNDS, RATE = 15, 16, (3, 5), 8000, (30, 15), 0.08
 TABLE = 1 << BITS
 SHARE = 0.25
-WORD = regex.compile(r"\p{L}+")
-#: Where a sentence ends: after its mark, or with its line. Prefixes of lists, quotes, diffs and comments don't belong to it.
-BREAK = regex.compile(r"(?<=[.!?])\s+|[\r\n]+")
-PREFIX = regex.compile(r"^[\s>*+\-#/|;:]*(?:\d+[.)]\s+(?:[\d.]+\s+)?)?")
 LEAST_WORDS = 4
-
-
-def sentences(text: str | None) -> list[str]:
-    """The sentences of a text: pieces with at least ``LEAST_WORDS`` words that end like a sentence."""
-    out = []
-    for s in BREAK.split(text) if text else []:
-        s = PREFIX.sub("", s.strip())
-        if s[-1:] in ".!?" and len(WORD.findall(s)) >= LEAST_WORDS:
-            out.append(s)
-    return out
+#: Labelled documents a training task has at least; words whose features a worker keeps.
+TASK, KEPT = 250, 300_000
 
 
 def features(word: str) -> np.ndarray:
@@ -60,24 +52,54 @@ def features(word: str) -> np.ndarray:
     return np.array([xxhash.xxh32_intdigest(p) & (TABLE - 1) for p in parts], "i4")
 
 
-class _Features(dict):
-    def __missing__(self, w: str) -> np.ndarray:
-        if len(self) > 200_000:
-            self.clear()
-        f = self[w] = features(w)
-        return f
+class Lexicon:
+    """Numbers for words, and something kept of each; emptied when it grows beyond what a worker should hold."""
+
+    def __init__(self, keep):
+        self.keep, self.number, self.kept = keep, {}, []
+
+    def numbers(self, s: Scan) -> np.ndarray:
+        """The number of each word of the block."""
+        u, first, inverse = np.unique(s.hash, return_index=True, return_inverse=True)
+        if len(self.kept) + len(u) > KEPT:
+            self.number, self.kept = {}, []
+        out = np.empty(len(u), "i8")
+        for k, (h, at) in enumerate(zip(u.tolist(), first.tolist())):
+            n = self.number.get(h)
+            if n is None:
+                n = self.number[h] = len(self.kept)
+                self.kept.append(self.keep(s.word(at)))
+            out[k] = n
+        return out[inverse]
+
+
+def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by key, and where each key begins in it."""
+    o = np.argsort(key, kind="stable").astype("i4")
+    return o, np.flatnonzero(np.diff(key[o], prepend=-1)).astype("i4")
 
 
-def bag(text: str, memo: _Features) -> tuple[np.ndarray, np.ndarray]:
-    """``(rows, shares)`` of a text: the mean of the means of its words' rows."""
-    words = WORD.findall(text.lower())
-    if not words:
-        return np.empty(0, "i4"), np.empty(0, "f4")
-    f = [memo[w] for w in words]
-    idx = np.concatenate(f)
-    val = np.concatenate([np.full(len(x), 1 / (len(words) * len(x))) for x in f])
-    u, inv = np.unique(idx, return_inverse=True)
-    return u.astype("i4"), np.bincount(inv, val).astype("f4")
+def examples(numbers: np.ndarray, lexicon: Lexicon, lo: np.ndarray, hi: np.ndarray, group: np.ndarray, groups: int, y: np.ndarray) -> pd.DataFrame:
+    """One row with a block of examples: each is a group of sentences, the mean of its words' vectors, which are means of table rows.
+
+    ``rows`` of the block's distinct words and their ``sizes``; ``word`` and ``share`` of each example and word, and how
+    many of them an example has (``of``); ``y``; and the orders by table row and by word in which gradients are summed.
+    """
+    n = hi - lo
+    word = np.arange(n.sum()) + np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n)
+    used, inverse = np.unique(numbers[word], return_inverse=True)
+    f = [lexicon.kept[k] for k in used]
+    key, times = np.unique(np.repeat(group, n) * max(1, len(used)) + inverse, return_counts=True)
+    g, w = key // max(1, len(used)), (key % max(1, len(used))).astype("i4")
+    words = np.bincount(g, times, groups)
+    rows = np.concatenate(f).astype("i4") if f else np.empty(0, "i4")
+    by_row, row_at = _grouped(rows)
+    by_word, word_at = _grouped(w)
+    parts = {"rows": rows, "sizes": np.array([len(x) for x in f], "i4"), "word": w, "share": (times / words[g]).astype("f4"), "of": np.bincount(g, minlength=groups).astype("i4"), "y": y.astype("f4"), "by_row": by_row, "row_at": row_at, "by_word": by_word, "word_at": word_at}
+    return pd.DataFrame({k: [v.tobytes()] for k, v in parts.items()})
+
+
+ROW = ", ".join(f"{c} binary" for c in "rows sizes word share of y by_row row_at by_word word_at".split())
 
 
 SUMS = "g binary, n long, loss double"
@@ -99,24 +121,26 @@ def _gradient(parameters):
         e, w, b = parameters.value
         de, dw, db, n, loss = np.zeros_like(e), np.zeros_like(w), np.zeros_like(b), 0, 0.0
         for x in batches:
-            x = x[x.idx.map(len) > 0]
-            if not len(x):
-                continue
-            size = x.idx.map(len).to_numpy()
-            idx, val = np.concatenate(x.idx.to_numpy()).astype("i8"), np.concatenate(x.val.to_numpy())
-            y, weight = np.stack(x.y.to_numpy()), x.weight.to_numpy()[:, None]
-            at = np.r_[0, np.cumsum(size)[:-1]]
-            h = np.add.reduceat(e[idx] * val[:, None], at)
-            p = 1 / (1 + np.exp(-(h @ w + b)))
-            g = ((p - y) * weight).astype("f4")
-            dw += h.T @ g
-            db += g.sum(0)
-            o = np.argsort(idx, kind="stable")
-            hit = np.flatnonzero(np.diff(idx[o], prepend=-1))
-            dh = (g @ w.T).astype("f4")[np.repeat(np.arange(len(size)), size)[o]]
-            de[idx[o][hit]] += np.add.reduceat(dh * val[o][:, None], hit)
-            n += len(x)
-            loss -= float((weight * (y * np.log(p + 1e-7) + (1 - y) * np.log(1 - p + 1e-7))).sum())
+            for r in x.to_dict("records"):
+                r = {k: np.frombuffer(v, "f4" if k in ("share", "y") else "i4") for k, v in r.items()}
+                of = r["of"]
+                some = of > 0
+                if not some.any():
+                    continue
+                y, of, size = r["y"].reshape(len(some), -1)[some], of[some], r["sizes"][:, None]
+                u = np.add.reduceat(e[r["rows"]], np.r_[0, np.cumsum(r["sizes"])[:-1]]) / size
+                share = r["share"][:, None]
+                h = np.add.reduceat(u[r["word"]] * share, np.r_[0, np.cumsum(of)[:-1]])
+                p = 1 / (1 + np.exp(-(h @ w + b)))
+                g = (p - y).astype("f4")
+                dw += h.T @ g
+                db += g.sum(0)
+                dh = np.repeat((g @ w.T).astype("f4"), of, axis=0) * share
+                du = np.add.reduceat(dh[r["by_word"]], r["word_at"]) / size
+                du = np.repeat(du, r["sizes"], axis=0)[r["by_row"]]
+                de[r["rows"][r["by_row"]][r["row_at"]]] += np.add.reduceat(du, r["row_at"])
+                n += len(of)
+                loss -= float((y * np.log(p + 1e-7) + (1 - y) * np.log(1 - p + 1e-7)).sum())
         if n:
             yield pd.DataFrame({"g": [np.r_[de.ravel(), dw.ravel(), db].astype("f4").tobytes()], "n": [n], "loss": [loss]})
 
@@ -133,7 +157,7 @@ def _sum(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _descend(rows: DataFrame, model: Model, rounds: int) -> Model:
-    """Synchronous rounds of Adam over the rows ``(idx, val, y, weight)``."""
+    """Synchronous rounds of Adam over rows that hold a block of examples each."""
     e, w, b = model.e.copy(), model.w.copy(), model.b.copy()
     m = v = 0.0
     for t in range(1, rounds + 1):
@@ -161,35 +185,42 @@ def targets(labels: DataFrame, id_col: str, subject: str, annotator: str, subjec
 
 
 def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    memo = _Features()
+    lexicon = Lexicon(features)
     for b in batches:
-        got = [bag(" ".join(sentences(t)), memo) for t in b.text]
-        yield pd.DataFrame({"idx": [g[0] for g in got], "val": [g[1] for g in got], "y": b.y, "weight": np.ones(len(b), "f4")})
+        y = np.stack(b.y.to_numpy()) if len(b) else None
+        for s in scan(b.text.tolist(), digits=False):
+            row, lo, hi = sentence_words(s, LEAST_WORDS)
+            yield examples(lexicon.numbers(s), lexicon, lo, hi, row, s.count, y[s.first : s.first + s.count])
+
+
+def _outputs(s: Scan, lexicon: Lexicon, model: Model, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """What each subject's output gives for each sentence."""
+    if not len(lo):
+        return np.empty((0, len(model.subjects)), "f4")
+    numbers = lexicon.numbers(s)
+    table = np.stack(lexicon.kept)[numbers]
+    sums = np.add.reduceat(np.concatenate([table, np.zeros((1, table.shape[1]), "f4")]), np.stack([lo, hi], axis=1).ravel())[::2]
+    return sums / (hi - lo)[:, None] + model.b
 
 
 def _sentence_bags(model: Model):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, out = _Features(), model.outputs()
+        out = model.outputs()
+        lexicon, scorer = Lexicon(features), Lexicon(lambda w: out[features(w)].mean(axis=0))
         for b in batches:
-            rows = []
-            for t, y in zip(b.text, b.y):
-                for s in sentences(t):
-                    i, v = bag(s, memo)
-                    if len(i):
-                        p = 1 / (1 + np.exp(-(v @ out[i] + model.b)))
-                        own = np.asarray(y, "f4") >= 0.5
-                        rows.append((i, v, (own & (p > 0.5)).astype("f4"), np.float32(1.0)))
-            yield pd.DataFrame(rows, columns=["idx", "val", "y", "weight"])
+            y = np.stack(b.y.to_numpy()) if len(b) else None
+            for s in scan(b.text.tolist(), digits=False):
+                row, lo, hi = sentence_words(s, LEAST_WORDS)
+                said = _outputs(s, scorer, model, lo, hi) > 0
+                yield examples(lexicon.numbers(s), lexicon, lo, hi, np.arange(len(lo)), len(lo), said & (y[s.first + row] >= 0.5))
 
     return run
 
 
-ROW = "idx array<int>, val array<float>, y array<float>, weight float"
-
-
 def train(docs: DataFrame, id_col: str, text: str, labels: DataFrame, label_id: str, subject: str, annotator: str, subjects: tuple[str, ...], rounds: tuple[int, int] = ROUNDS) -> Model:
     y = targets(labels, label_id, subject, annotator, subjects).orderBy(F.xxhash64("id"), "id").limit(MAX_LABELLED)
-    labelled = cut(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL").join(y, "id").select("id", "text", "y").repartition(8, "id"))
+    tasks = max(1, min(docs.sparkSession.sparkContext.defaultParallelism, MAX_LABELLED // TASK))
+    labelled = cut(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL").join(y, "id").select("id", "text", "y").repartition(tasks, "id"))
     rng = np.random.default_rng(11)
     k = len(subjects)
     start = Model(subjects, rng.normal(0, 0.1, (TABLE, DIM)).astype("f4"), rng.normal(0, 0.3, (DIM, k)).astype("f4"), np.full(k, -2.0, "f4"))
@@ -199,29 +230,17 @@ def train(docs: DataFrame, id_col: str, text: str, labels: DataFrame, label_id:
 
 def _score(model: Model, share: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, memo = model.outputs(), {}
+        out = model.outputs()
+        lexicon = Lexicon(lambda w: out[features(w)].mean(axis=0))
         for b in batches:
-            rows_out = []
-            for i, t in zip(b.id, b.text):
-                hits, n = np.zeros(len(model.subjects)), 0
-                for s in sentences(t):
-                    words = WORD.findall(s.lower())
-                    rows = []
-                    for w in words:
-                        r = memo.get(w)
-                        if r is None:
-                            if len(memo) > 300_000:
-                                memo.clear()
-                            r = memo[w] = out[features(w)].mean(axis=0)
-                        rows.append(r)
-                    p = np.add.reduce(rows) / len(rows) + model.b
-                    k = int(p.argmax())
-                    hits[k] += p[k] > 0
-                    n += 1
-                for k in np.flatnonzero(hits >= share * n) if n else []:
-                    if hits[k]:
-                        rows_out.append((i, model.subjects[k], hits[k] / n, n))
-            yield pd.DataFrame(rows_out, columns=["id", "subject", "share", "sentences"])
+            ids = b.id.to_numpy()
+            for s in scan(b.text.tolist(), digits=False):
+                row, lo, hi = sentence_words(s, LEAST_WORDS)
+                said = _outputs(s, lexicon, model, lo, hi) > 0
+                n = np.bincount(row, minlength=s.count)
+                hits = np.stack([np.bincount(row, said[:, k], s.count) for k in range(len(model.subjects))], axis=1) if len(model.subjects) else np.zeros((s.count, 0))
+                i, k = np.nonzero((hits > 0) & (hits >= share * n[:, None]))
+                yield pd.DataFrame({"id": ids[s.first + i], "subject": np.array(model.subjects, object)[k], "share": hits[i, k] / n[i], "sentences": n[i]})
 
     return run
 

@@ -29,80 +29,39 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscle.llm.sieve import sieve
+from corpuscle.llm.words import MIX, mix, run_hashes, scan
 from corpuscle.session import cut
 
-SYMBOLS, KEEP, HOT, BLOCK, SKETCH_BITS = 7, 2, 1000, 4000, 256
+SYMBOLS, KEEP, HOT, BLOCK, SKETCH_BITS, SHARE = 7, 2, 1000, 4000, 256, 64
 #: Texts whose runs are counted, and counts of runs that are sent out, for the order of the prefix filter.
-SAMPLED, COUNTED = 20_000, 200_000
+SAMPLED, COUNTED = 20_000, 1 << 16
 WORD = regex.compile(r"[\p{L}\p{N}]+")
-_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser over unsigned words."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
-    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
-    return x ^ (x >> np.uint64(31))
-
-
-class _Words(dict):
-    """Hashes of words; emptied when it grows beyond what a worker should hold."""
-
-    def __missing__(self, w: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[w] = xxhash.xxh64_intdigest(w)
-        return h
-
-
-def run_hashes(texts: list[str], words: _Words, k: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(row, hash)`` of the distinct runs of ``k`` words of each text with enough words, ordered by row and hash."""
-    ids, rows = [], []
-    for i, t in enumerate(texts):
-        w = WORD.findall(t.lower()) if t else []
-        if len(w) >= max(min_words, k):
-            ids.append(np.fromiter(map(words.__getitem__, w), "u8", len(w)))
-            rows.append(i)
-    if not rows:
-        return np.empty(0, "i8"), np.empty(0, "u8")
-    sizes = np.array([len(x) for x in ids])
-    flat, row = np.concatenate(ids), np.repeat(np.array(rows), sizes)
-    h = flat[: len(flat) - k + 1].copy()
-    with np.errstate(over="ignore"):
-        for j in range(1, k):
-            h = mix(h * _MIX[0] + flat[j : len(flat) - k + 1 + j])
-        h = mix(h)
-    inside = row[: len(h)] == row[k - 1 :]
-    h, row = h[inside], row[: len(h)][inside]
-    o = np.lexsort((h, row))
-    h, row = h[o], row[o]
-    keep = np.ones(len(h), bool)
-    keep[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    return row[keep], h[keep]
+def _runs_of(batches: Iterator[pd.DataFrame], k: int, min_words: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Each batch with ``(row, hash)`` of its texts' distinct runs of words, a block of texts at a time."""
+    for b in batches:
+        for s in scan(b.text.tolist()):
+            row, h = run_hashes(s, k, min_words)
+            if len(row):
+                yield b, row, h
 
 
 def _fingerprints(k: int, min_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _Words()
-        for b in batches:
-            row, h = run_hashes(b.text.tolist(), words, k, min_words)
-            if not len(row):
-                continue
+        for b, row, h in _runs_of(batches, k, min_words):
             at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
             idx = row[at]
             n = np.diff(np.r_[at, len(row)])
-            with np.errstate(over="ignore"):
-                rep = np.add.reduceat(mix(h * _MIX[1]), at) ^ n.astype("u8")
-                sym = [np.minimum.reduceat(mix(h + np.uint64(s + 1) * _MIX[0]), at) for s in range(SYMBOLS)]
-                place = (mix(h ^ _MIX[2]) >> np.uint64(64 - 8)).astype("i8")
+            rep = np.add.reduceat(mix(h * MIX[1]), at) ^ n.astype("u8")
+            sym = [np.minimum.reduceat(mix(h + x), at) for x in np.arange(1, SYMBOLS + 1, dtype="u8") * MIX[0]]
+            place = (mix(h ^ MIX[2]) >> np.uint64(64 - 8)).astype("i8")
             nth = np.repeat(np.arange(len(at)), n)
             odd = (np.bincount(nth * SKETCH_BITS + place, minlength=len(at) * SKETCH_BITS) & 1).astype("u1").reshape(len(at), SKETCH_BITS)
             sketch = np.packbits(odd, axis=1).view("i8")
-            out = {"id": b.id.to_numpy()[idx], "rep": rep.view("i8"), "n": n.astype("i4")}
+            out = {"id": b.id.to_numpy()[idx], "th": b.th.to_numpy()[idx], "rep": rep.view("i8"), "n": n.astype("i4")}
             out |= {f"k{j}": sketch[:, j] for j in range(SKETCH_BITS // 64)}
             out["sym"] = list(np.stack(sym, axis=1).view("i8"))
             yield pd.DataFrame(out)
@@ -182,18 +141,20 @@ def _meet(least: float, hot: int):
     return run
 
 
+def _rows(rows: DataFrame, id_col: str, text: str) -> DataFrame:
+    return rows.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+
+
 def classes(rows: DataFrame, id_col: str, text: str, k: int = 5, min_words: int = 1) -> DataFrame:
-    """``(id, rep, n, k0.., sym)``: each text's class and fingerprint."""
+    """``(id, th, rep, n, k0.., sym)``: each text's hash, class and fingerprint."""
     sketch = ", ".join(f"k{j} long" for j in range(SKETCH_BITS // 64))
-    return rows.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text")).mapInPandas(
-        _fingerprints(k, min_words), f"id string, rep long, n int, {sketch}, sym array<long>")
+    return _rows(rows, id_col, text).mapInPandas(_fingerprints(k, min_words), f"id string, th long, rep long, n int, {sketch}, sym array<long>")
 
 
 def _runs(k: int, min_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _Words()
-        for b in batches:
-            yield pd.DataFrame({"h": run_hashes(b.text.tolist(), words, k, min_words)[1].view("i8")})
+        for _, _, h in _runs_of(batches, k, min_words):
+            yield pd.DataFrame({"h": h.view("i8")})
 
     return run
 
@@ -202,33 +163,34 @@ def _prefixes(k: int, min_words: int, least: float, counts):
     """The rarest runs of each class's text, as many as two texts at the threshold can't both lack in common."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, (known, often) = _Words(), counts.value
-        for b in batches:
-            row, h = run_hashes(b.text.tolist(), words, k, min_words)
-            if not len(row):
-                continue
+        known, often = counts.value
+        for b, row, h in _runs_of(batches, k, min_words):
             at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
             n = np.diff(np.r_[at, len(row)])
-            with np.errstate(over="ignore"):
-                rep = np.add.reduceat(mix(h * _MIX[1]), at) ^ n.astype("u8")
             freq = np.zeros(len(h), "i8")
             if len(known):
                 j = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 freq = np.where(known[j] == h, often[j], 0)
             o = np.lexsort((h, freq, row))
             nth, size = np.arange(len(h)) - np.repeat(at, n), np.repeat(n, n)
-            own = np.repeat(rep.view("i8") == b.rep.to_numpy()[row[at]], n)  # an id may have other texts, too
-            sent = own & (nth <= size - np.ceil(least * size - 1e-9))
+            sent = nth <= size - np.ceil(least * size - 1e-9)
             yield b.drop(columns="text").iloc[row[sent]].assign(m=0, v=h[o][sent].view("i8"))
 
     return run
 
 
+def _texts(rows: DataFrame, id_col: str, text: str, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (rep, id, th, ..) with ``text``, one row per class; only texts that may be wanted are shuffled."""
+    key = F.xxhash64("id", "th")
+    known = sieve(wanted.select(key.alias("h")), "h")
+    all_ = _rows(rows, id_col, text).where(known.passes(key))
+    return all_.join(wanted, ["id", "th"]).dropDuplicates(["rep"])
+
+
 def _exact(hot: DataFrame, rows: DataFrame, id_col: str, text: str, k: int, min_words: int, least: float, block: int) -> DataFrame:
     """``(a, b)``: candidate pairs among these classes ``(rep, n, k0.., id)``, by the prefix filter on their rarest runs."""
     sk = [f"k{j}" for j in range(SKETCH_BITS // 64)]
-    texts = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text")).where("text IS NOT NULL").join(hot, "id").withColumn("h", F.xxhash64("text")).dropDuplicates(["rep", "h"])
-    texts = cut(texts.select("rep", "n", *sk, "text"))
+    texts = cut(_texts(rows, id_col, text, hot).select("rep", "n", *sk, "text"))
     every = max(1, texts.count() // SAMPLED)
     counted = texts.where(F.pmod(F.xxhash64("rep"), F.lit(every)) == 0).select("text").mapInPandas(_runs(k, min_words), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").orderBy(F.desc("c"), "h").limit(COUNTED).toPandas()
     known = counted.h.to_numpy("i8").view("u8")
@@ -246,19 +208,26 @@ def _exact(hot: DataFrame, rows: DataFrame, id_col: str, text: str, k: int, min_
 def similar_classes(rows: DataFrame, fp: DataFrame, id_col: str, text: str, k: int, min_words: int, least: float, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """``(a, b)``: the verified pairs of classes, smaller first."""
     sk = [f"k{j}" for j in range(SKETCH_BITS // 64)]
-    one = cut(fp.groupBy("rep", "n", *sk).agg(F.min("id").alias("id"), F.max("sym").alias("sym")))
+    one = cut(fp.groupBy("rep", "n", *sk).agg(F.min(F.struct("id", "th")).alias("o"), F.max("sym").alias("sym")).select("rep", "n", *sk, "o.id", "o.th", "sym"))
     subsets = list(combinations(range(SYMBOLS), KEEP))
     keyed = one.select("rep", "n", *sk, F.lit(0).alias("m"), F.explode(F.array(*[F.xxhash64(F.lit(i), *[F.col("sym")[j] for j in c]) for i, c in enumerate(subsets)])).alias("v"))
+    # Variants of a large share of all classes, known from a share of the classes, go the exact way without being gathered.
+    few = keyed.where(F.pmod(F.xxhash64("rep"), F.lit(SHARE)) == 0).groupBy("v").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") * SHARE > 4 * hot).select("v")
+    few = cut(few)
+    more = None
+    if not few.isEmpty():
+        more = keyed.join(few, "v", "left_semi").select("rep")
+        keyed = keyed.join(few, "v", "left_anti").select(*keyed.columns)
     met = cut(keyed.repartition("v").sortWithinPartitions("v").mapInPandas(_meet(least, hot), "a long, b long, m int"))
     found = met.where("b IS NOT NULL").select("a", "b")
-    more = met.where("b IS NULL").select(F.col("a").alias("rep"))
+    groups = met.where("b IS NULL").select(F.col("a").alias("rep"))
+    more = groups if more is None else more.unionByName(groups)
+    more = cut(one.drop("sym").join(more.distinct(), "rep"))
     if not more.isEmpty():
-        found = found.unionByName(_exact(one.drop("sym").join(more.distinct(), "rep"), rows, id_col, text, k, min_words, least, block))
-    cand = found.distinct()
-    owners = one.select("rep", "id")
-    texts = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text"))
-    need = cand.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(owners, "rep")
-    held = texts.join(need, "id").dropDuplicates(["rep"])
+        found = found.unionByName(_exact(more, rows, id_col, text, k, min_words, least, block))
+    cand = cut(found.distinct())
+    need = cut(cand.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(one.select("rep", "id", "th"), "rep"))
+    held = _texts(rows, id_col, text, need)
     full = cand.join(held.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
     return full.select("a", "b", "ta", "tb").mapInPandas(_verify(k, least), "a long, b long")
 

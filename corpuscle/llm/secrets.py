@@ -7,8 +7,9 @@ several lines count as one value. Placeholders, empty values, references to valu
 identifiers and public keys are not credentials.
 
 Encoded literals (base64, hex, percent and backslash escapes) are decoded, and what they hold is scanned
-again, up to ``DEPTH`` layers; decoded bytes are also parsed as key containers by their binary grammar (DER
-private keys, OpenSSH key files). A credential found inside makes the enclosing literal a credential.
+again, layer by layer until nothing is left to decode; decoded bytes are also parsed as key containers by their
+binary grammar (DER: PKCS#1, PKCS#8 plain or encrypted, PKCS#12 and SEC1; OpenSSH key files; OpenPGP secret
+keys) and read as UTF-8 or UTF-16. A credential found inside makes the enclosing literal a credential.
 
 Chunks are cut from documents, so a chunk holds a credential if it holds the whole of one found in its
 document, even where the name it was given to is cut off; chunks are also scanned by themselves.
@@ -35,9 +36,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 4
-
-
 class Found(NamedTuple):
     start: int
     end: int
@@ -61,7 +59,10 @@ NAMED = re.compile(
 )
 QUOTED = re.compile(r"[bruf@]{0,2}(\"\"\"|'''|[\"'`])")
 PIECE = re.compile(r"\s*(?:\\\s*)?[+.]?\s*(?:\\\s*)?([\"'`])((?:\\.|(?!\1)[^\\\n])*)\1")
-BARE = re.compile(r"[^\s\"'`;,(){}\[\]<>$&|]+")
+BARE = re.compile(r"[^\s\"'`;,(){}\[\]<>$&|](?:[^\s\"'`;,(){}\[\]<>$&|]|\$(?![\w({]))*")
+#: A bare value within words, as in a comment, a note or a string.
+NOTED = re.compile(r"(?=[^\s\"'`]*\d)(?=[^\s\"'`]*[A-Za-z])[^\s\"'`,;(){}\[\]<>]{6,}(?=[\"'`]|[.,;]?[^\S\n]*(?:\n|\*/|$))")
+COMMENTED = re.compile(r"(?:^|\s)(?://|#|\*|/\*|--|;|<!--|%)")
 #: Where a token ends for sure.
 TOKEN_END = re.compile(r"[\s\"'`]")
 #: A bare value that can't be code or prose, as in a comment.
@@ -70,7 +71,7 @@ STRONG = re.compile(r"(?=[^\s]*\d)(?=[^\s]*[a-z])(?=[^\s]*[A-Z])[A-Za-z0-9+/=~!@
 PLACEHOLDER = re.compile(
     r"(?i)^(?:x+|\*+|\.+|-+|_+|0+|1234\d*|<.*>|\{.*\}|\$.*|%.*%|%s|\[.*\]|@.*@|.*\$\{.*\}.*|.*\{\{.*|(?:your|my|the|insert|enter|put|add|replace|change|example|sample|dummy|fake|test|todo|tbd|fixme|redacted|masked|hidden|removed|none|null|nil|true|false|string|text|value|undefined|default|placeholder|secret|password|passwd|token|key|apikey|bearer|basic|strict|user|username|pass|admin|changeme|change_me|env|vault)(?:[\W_].*)?|.*(?:_here|-here|example|placeholder|changeme|replace_?me|your[_-]).*|.*[*x]{6,}.*)$"
 )
-REFERENCE = re.compile(r"(?i)^(?:env|vault|secret|ssm|file|arn|aws|gcp|kms|op|ref|config|process|os|settings|prod|dev|staging)[:./].*|^/.*|^\.{1,2}/.*|^[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+$")
+REFERENCE = re.compile(r"(?i)^(?:env|vault|secret|ssm|file|arn|aws|gcp|kms|op|ref|config|process|os|settings|prod|dev|staging)[:./].*|^/.*|^\.{1,2}/.*|^(?![A-Za-z]+\.[A-Za-z]+\d{2,}$)[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+$")
 PUBLIC = {"public", "pub", "primary", "foreign", "sort", "partition", "cache", "next", "prev", "previous", "page", "continuation", "cursor", "csrf", "idempotency", "object", "bucket", "row", "hash", "index", "lookup", "map", "dict", "json", "group", "join", "unique", "natural", "surrogate", "candidate", "routing", "message", "translation", "i18n", "ssh", "host", "fingerprint", "publishable", "site", "lexer", "start", "end", "stop", "eos", "bos", "pad", "unk", "mask", "sep", "cls"}
 PASSWORDS = {"password", "passwd", "pass", "pwd", "passphrase", "pw"}
 CONFIG = {"env", "conf", "cfg", "ini", "properties", "toml", "yaml", "yml", "sh", "bash", "zsh", "md", "markdown", "txt", "rst"}
@@ -114,10 +115,15 @@ def credential_value(name: str, value: str) -> bool:
     if before in PUBLIC or (last == "key" and len(parts) == 1) or last in ("publickey", "primarykey"):
         return False
     mixed = bool(re.search(r"\d", value)) and bool(re.search(r"[A-Za-z]", value)) or (bool(re.search(r"(?<=.)[A-Z]", value)) and bool(re.search(r"[a-z]", value)) and "_" not in value and "-" not in value)
-    return len(value) >= 12 and mixed and entropy(value) >= 2.8 and not re.fullmatch(r"[a-z]+(?:[-_/.][a-z0-9]+)+|[A-Za-z]+(?:[_.][A-Za-z]+)+", value)
+    least = 8 if last in ("secret", "token") and _classes(value) >= 3 else 12
+    return len(value) >= least and mixed and entropy(value) >= 2.8 and not re.fullmatch(r"[a-z]+(?:[-_/.][a-z0-9]+)+|[A-Za-z]+(?:[_.][A-Za-z]+)+", value)
+
 
+JOIN = re.compile(r"\s*(?:\\\s*)?\+\s*(?:\\\s*)?|\s*\\\n\s*(?=[\"'])")
+REST = re.compile(r"[^\S\n]*([^\s])?")
 
-def _read_literal(text: str, at: int, loose: bool) -> tuple[int, int, str, bool] | None:
+
+def _read_literal(text: str, at: int, loose: bool, lines: bool) -> tuple[int, int, str, bool] | None:
     """``(start, end, value, whole)`` of the literal that begins at this place, with those joined to it."""
     if at >= len(text):
         return None
@@ -129,27 +135,39 @@ def _read_literal(text: str, at: int, loose: bool) -> tuple[int, int, str, bool]
         first = PIECE.match(text, q.start(1))
         if not first:
             return None
-        value, end, whole = first.group(2), first.end(2), True
+        value, end, whole = [first.group(2)], first.end(2), True
         pos = first.end()
-        while (j := re.compile(r"\s*(?:\\\s*)?\+\s*(?:\\\s*)?").match(text, pos)) or (j := re.compile(r"\s*\\\n\s*(?=[\"'])").match(text, pos)):
+        while j := JOIN.match(text, pos):
             nxt = PIECE.match(text, j.end())
             if not nxt:
-                whole = text[j.end() :].strip() != ""  # the text ends where the next part should be
+                whole = j.end() < len(text)  # else the text ends where the next part should be
                 break
-            value, end, pos = value + nxt.group(2), nxt.end(2), nxt.end()
-        return first.start(2), end, value, whole
+            end, pos = nxt.end(2), nxt.end()
+            value.append(nxt.group(2))
+        return first.start(2), end, "".join(value), whole
     if b := BARE.match(text, at):
         if not loose and not STRONG.fullmatch(b.group()):
             return None
-        nl = text.find("\n", b.end())
-        rest = text[b.end() : nl if nl >= 0 else len(text)].strip()
-        if rest and rest[0] not in "#;,\"'`" and "\n" in text:
+        rest = REST.match(text, b.end()).group(1)
+        if rest and rest not in "#;,\"'`" and lines:
             return None  # an expression or prose, not a bare value
         return b.start(), b.end(), b.group(), True
     return None
 
 
-def _windows(text: str, spans: set[tuple[int, int]]) -> list[tuple[int, int]]:
+def _noted(text: str, start: int, at: int, name: str) -> tuple[int, int, str, bool] | None:
+    """A value given to a password's or token's name in a comment or inside a string."""
+    if [p.lower() for p in _PARTS.findall(name)][-1:] not in [[n] for n in (*PASSWORDS, "token", "secret")]:
+        return None
+    line = text[max(0, start - 400) : start].rpartition("\n")[2]
+    m = NOTED.match(text, at)
+    if not m or not (COMMENTED.search(line) or line.count('"') % 2 or line.count("'") % 2):
+        return None
+    v = m.group().rstrip(".,;") if text[m.end() : m.end() + 1] in ("", "\n") else m.group()
+    return (m.start(), m.start() + len(v), v, True)
+
+
+def _windows(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The spans in order, those that overlap as one, each going on to the end of the token it ends in."""
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -171,12 +189,16 @@ def _plain(text: str, path: str | None, low: str | None = None) -> list[Found]:
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
     ext = path.rsplit(".", 1)[-1].lower() if path and "." in path else ""
     loose = ext in CONFIG or bool(path) and path.rsplit("/", 1)[-1].startswith(".env")
-    found, spans = [], set()
+    found, spans, last, lines = [], [], 0, "\n" in text
     for end, n in _AUTOMATON.iter(low):
         s = end + 1 - n
-        a = max(text.rfind("\n", 0, s) + 1, s - 200)
-        b = text.find("\n", s)
-        spans.add((a, min(b if b >= 0 else len(text), s + 600)))
+        if s < last:
+            continue  # inside a span that is there already, far enough from its end
+        a = max(text.rfind("\n", max(0, s - 200), s) + 1, s - 200, 0)
+        b = text.find("\n", s, s + 600)
+        b = b if b >= 0 else min(len(text), s + 600)
+        last = b - 300
+        spans.append((a, b))
     for a, b in _windows(text, spans):
         for m in BEGIN.finditer(text, a, b):
             e = END.search(text, m.end())
@@ -194,7 +216,7 @@ def _plain(text: str, path: str | None, low: str | None = None) -> list[Found]:
             if len(v) >= 16 and not _placeholder(v) and re.search(r"\d", v) and re.search(r"[A-Za-z]", v):
                 found.append(Found(m.start(1), m.end(1), "header"))
         for m in NAMED.finditer(text, a, b):
-            lit = _read_literal(text, m.end(), loose)
+            lit = _read_literal(text, m.end(), loose, lines) or _noted(text, m.start(), m.end(), m.group(1))
             if lit is None and m.group(1).lower() in ("pwd", "password"):
                 c = re.compile(r"[^;\s\"'`(){}\[\]<>$]+(?=[;\"'`])").match(text, m.end())
                 lit = (c.start(), c.end(), c.group(), True) if c else None
@@ -245,52 +267,131 @@ def _der(b: bytes, at: int = 0) -> tuple[int, int, int] | None:
     return (tag, p, p + n) if p + n <= len(b) else None
 
 
+def _elements(b: bytes, at: int, end: int, most: int = 12) -> list[tuple[int, int, int]] | None:
+    """The DER elements that fill the range exactly."""
+    out = []
+    while at < end and len(out) < most:
+        e = _der(b, at)
+        if not e or e[2] > end:
+            return None
+        out.append(e)
+        at = e[2]
+    return out if at == end else None
+
+
+def _strings(b: bytes, at: int, n: int) -> tuple[list[bytes], int] | None:
+    """``n`` strings with their length before them, as SSH writes them, and where they end."""
+    out = []
+    for _ in range(n):
+        if at + 4 > len(b):
+            return None
+        k = int.from_bytes(b[at : at + 4], "big")
+        if at + 4 + k > len(b):
+            return None
+        out.append(b[at + 4 : at + 4 + k])
+        at += 4 + k
+    return out, at
+
+
+def _openssh(b: bytes) -> bool:
+    """Cipher, key derivation and its options, the number of keys, each public key, and the private part, with its check numbers where it isn't encrypted."""
+    head = _strings(b, 15, 3)
+    if not head or head[1] + 4 > len(b):
+        return False
+    (cipher, _, _), at = head
+    keys = int.from_bytes(b[at : at + 4], "big")
+    body = _strings(b, at + 4, keys + 1) if 1 <= keys <= 64 else None
+    if not body or body[1] != len(b):
+        return False
+    private = body[0][-1]
+    return len(private) >= 8 and len(private) % 8 == 0 and (cipher != b"none" or private[:4] == private[4:8])
+
+
+def _pgp(b: bytes) -> bool:
+    """An OpenPGP secret key or subkey packet of a known version whose length fits."""
+    if len(b) < 20 or not b[0] & 0x80:
+        return False
+    if b[0] & 0x40:
+        tag, first = b[0] & 0x3F, b[1]
+        n, at = (first, 2) if first < 192 else ((first - 192 << 8) + b[2] + 192, 3) if first < 224 else (int.from_bytes(b[2:6], "big"), 6)
+    else:
+        tag, size = b[0] >> 2 & 15, (1, 2, 4, 0)[b[0] & 3]
+        n, at = int.from_bytes(b[1 : 1 + size], "big"), 1 + size
+    return tag in (5, 7) and size_fits(n, at, len(b)) and b[at] in (3, 4, 5, 6)
+
+
+def size_fits(n: int, at: int, size: int) -> bool:
+    return n >= 16 and at + n <= size
+
+
+#: The identifiers of password-based encryption schemes begin so, and that of the data of a PKCS#12 file is this.
+PBE = bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01")
+PKCS7_DATA = bytes.fromhex("2a864886f70d0107")
+
+
 def key_container(b: bytes) -> bool:
-    """Whether the bytes are a private key: PKCS#1, PKCS#8, SEC1 or an OpenSSH key file."""
+    """Whether the bytes are a private key: PKCS#1, PKCS#8 (plain or encrypted), PKCS#12, SEC1, OpenSSH or OpenPGP."""
     if b.startswith(b"openssh-key-v1\x00"):
-        return True
+        return _openssh(b)
+    if b[:1] != b"\x30":
+        return _pgp(b)
     top = _der(b)
-    if not top or top[0] != 0x30 or top[2] - top[1] < 16:
+    if not top or top[2] - top[1] < 16:
         return False
-    tags, at = [], top[1]
-    version = None
-    while at < top[2] and len(tags) < 12:
-        e = _der(b, at)
-        if not e:
-            return False
-        if version is None and e[0] == 2:
-            version = int.from_bytes(b[e[1] : e[2]], "big")
-        tags.append(e[0])
-        at = e[2]
-    return at == top[2] and version in (0, 1) and (tags[:9] == [2] * 9 or tags[:3] == [2, 0x30, 4] or (version == 1 and tags[:2] == [2, 4]))
+    parts = _elements(b, top[1], top[2])
+    if not parts:
+        return False
+    tags = [e[0] for e in parts]
+    inner = _elements(b, *parts[tags.index(0x30)][1:]) if 0x30 in tags else None
+    kind = b[inner[0][1] : inner[0][2]] if inner and inner[0][0] == 6 else b""
+    if tags == [0x30, 4]:
+        return kind.startswith(PBE) and parts[1][2] - parts[1][1] >= 16
+    if tags[0] != 2:
+        return False
+    version = int.from_bytes(b[parts[0][1] : parts[0][2]], "big")
+    if version == 3:
+        return tags[1:2] == [0x30] and kind.startswith(PKCS7_DATA)
+    return version in (0, 1) and (tags[:9] == [2] * 9 or (tags[:3] == [2, 0x30, 4] and inner is not None and inner[0][0] == 6) or (version == 1 and tags[:2] == [2, 4]))
 
 
 def _text_of(b: bytes) -> str | None:
-    """The bytes as text, if that is what they are."""
+    """The bytes as text, in UTF-8 or UTF-16, if that is what they are."""
     if len(b) < 8:
         return None
-    try:
-        t = b.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return t if all(c.isprintable() or c in "\n\r\t" for c in t) else None
-
-
-def _holds(b: bytes, depth: int) -> bool:
-    if key_container(b):
-        return True
-    t = _text_of(b)
-    if t is None:
-        return False
-    return bool(_plain(t, ".env" if "\n" in t else None)) or depth > 1 and any(_holds(x, depth - 1) for _, _, x in _layers(t))
+    for code in ("utf-8", "utf-16-le" if b[1] == 0 else "utf-16-be" if b[0] == 0 else "utf-16" if b[:2] in (b"\xff\xfe", b"\xfe\xff") else None):
+        try:
+            t = b.decode(code) if code else ""
+        except UnicodeDecodeError:
+            continue
+        if t and all(c.isprintable() or c in "\n\r\t" for c in t):
+            return t
+    return None
 
 
-def find(text: str | None, path: str | None = None, depth: int = DEPTH) -> list[Found]:
+def _holds(b: bytes) -> bool:
+    """Whether decoded bytes hold a credential, in whatever depth: each layer is shorter than the one around it, so this ends."""
+    seen, todo = set(), [b]
+    while todo:
+        b = todo.pop()
+        if b in seen:
+            continue
+        seen.add(b)
+        if key_container(b):
+            return True
+        t = _text_of(b)
+        if t is not None:
+            if _plain(t, ".env" if "\n" in t else None):
+                return True
+            todo += [x for _, _, x in _layers(t) if len(x) < len(b)]
+    return False
+
+
+def find(text: str | None, path: str | None = None) -> list[Found]:
     """All credentials of a text in order, without overlaps."""
     if not text:
         return []
     found = _plain(text, path)
-    found += [Found(a, b, "encoded") for a, b, x in _layers(text) if _holds(x, depth)]
+    found += [Found(a, b, "encoded") for a, b, x in _layers(text) if _holds(x)]
     out: list[Found] = []
     for f in sorted(found, key=lambda f: (f.start, -f.end)):
         if not out or f.start >= out[-1].end:
@@ -322,8 +423,10 @@ def _scan(with_values: bool):
         for b in batches:
             rows = []
             for i, t, p in zip(b.id, b.text, b.path):
+                line, at = 1, 0
                 for f in find(t, p):
-                    rows.append((i, t.count("\n", 0, f.start) + 1, f.kind, " ".join(t[f.start : f.end].split()) if with_values else None))
+                    line, at = line + t.count("\n", at, f.start), f.start
+                    rows.append((i, line, f.kind, " ".join(t[f.start : f.end].split()) if with_values else None))
             yield pd.DataFrame(rows, columns=["id", "line_no", "kind", "value"])
 
     return run

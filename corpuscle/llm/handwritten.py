@@ -1,16 +1,21 @@
 """Generated, minified, vendored and data files among source files, by linear support-vector classifiers.
 
-One classifier per kind works on hashed character n-grams of the file (for vendored files: of its leading
-comment) and on hashed path components. It learns from files that give themselves away: a generator's banner, a
-third-party licence header or directory, the shape of minified or data lines. What gave a file away is masked
-in its features, so the classifiers learn what such files look like besides; a second round drops training
-files that the first contradicts. Repositories are split between training and validation, so nothing is
-validated on a repository it was trained on; a classifier whose held-out precision is below ``TRUST`` is not
-used. A file is found if it gives itself away, if a classifier says so, or if it has the very content of a
-file found as vendored.
-
-Fitting reads at most ``SAMPLE`` files, those with the smallest hash of their content; their feature vectors
-have a fixed length. Every file is scored.
+One classifier per kind works on hashed character n-grams of the file (for vendored files: of its leading comment), on
+hashed path components, and on the marks by which a file gives itself away: a generator's banner, a third-party licence
+header or directory, the shape of minified or data lines. It learns from files that bear such marks, each in two
+copies: as it is, and with its marks masked in text and path, so that the classifier learns what such files look like
+besides. A second round drops training files without marks that the first takes for such a kind. Every file is judged
+by the classifiers' outputs and nothing else, but for copies: a file with the very content of one found as vendored
+is vendored.
+
+Repositories are split between training and validation, so nothing is validated on a repository it was trained on. On
+masked copies of held-out files a classifier must find at least ``RECALL`` of those that bore marks; that for vendored
+files must also be right in ``TRUST`` of what it says, as their text is like anybody's. (For the other kinds files
+without marks count as wrong though many are of the kind, so precision against marks is a lower bound only.) A
+classifier that fails keeps the weights of its marks alone; ``report`` says which.
+
+Fitting reads at most ``SAMPLE`` distinct contents, those with the smallest hash, and of each its ``TOP`` most frequent
+n-grams, so its memory has a bound; it runs in one task on an executor. Every file is scored, with all its n-grams.
 
 Defined results: only rows whose path has a code extension are judged; null and empty contents and null paths
 are no cases; each id stands for itself, copies too; repeated rows count once; contents are read whole.
@@ -18,6 +23,7 @@ are no cases; each id stands for itself, copies too; repeated rows count once; c
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -28,14 +34,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.ball import _MIX, mix
+from corpuscle.llm.words import MIX, mix
 from corpuscle.session import cut
 
 KINDS = ("generated", "minified", "vendored", "data")
-BITS, ORDERS, SAMPLE, EPOCHS, TRUST, SCALE = 15, (3, 4, 5), 3000, 12, 0.98, 20.0
+BITS, ORDERS, SAMPLE, TOP, EPOCHS, TRUST, RECALL, SCALE = 15, (3, 4, 5), 4000, 4096, 12, 0.98, 0.9, 20.0
 DIMS = 1 << BITS
 PATH_DIMS = 1 << 12
-PATH_WEIGHT = 0.2
+PATH_WEIGHT, MARK_WEIGHT = 0.2, 4.0
+#: Characters scored at once.
+BLOCK = 1 << 20
 
 #: Extensions of program code.
 CODE = "py pyi js mjs cjs jsx ts tsx go rs kt kts java scala groovy cpp cc cxx c h hpp hh cs fs vb swift m mm rb php pl pm lua r jl dart ex exs erl hs ml clj sh bash zsh fish ps1 bat sql css scss less vue svelte proto asm s".split()
@@ -62,14 +70,21 @@ class Evidence(NamedTuple):
 
 
 def _lead(text: str) -> list[str]:
-    """The leading comment lines."""
-    out = []
-    for l in text.split("\n", 40)[:40]:
-        if not l.strip() or re.match(COMMENT, l) or l.startswith("#!"):
-            out.append(l)
-        else:
+    """The lines of the leading comments, whole blocks included."""
+    out, until, at = [], None, 0
+    while at < len(text):
+        nl = text.find("\n", at)
+        l = text[at : nl if nl >= 0 else len(text)]
+        t = l.strip()
+        if until is None and not (not t or l.startswith("#!") or re.match(COMMENT, l)):
             break
-    return out
+        out.append(l)
+        if until is None:
+            until = "*/" if t.startswith("/*") else "-->" if t.startswith("<!--") else None
+        if until is not None and until in t:
+            until = None
+        at += len(l) + 1
+    return out if until is None else out[:1]  # a block that never ends is none
 
 
 def vendor_dir(path: str) -> bool:
@@ -113,7 +128,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         for j in range(max(ORDERS)):
             h[: len(flat) - j] = (h[: len(flat) - j] * np.uint64(1099511628211)) ^ flat[j:]
             if j + 1 in ORDERS:
-                hs.append((mix(h ^ np.uint64(j + 1) * _MIX[0]) >> np.uint64(64 - BITS)).astype("i4"))
+                hs.append((mix(h ^ np.uint64(j + 1) * MIX[0]) >> np.uint64(64 - BITS)).astype("i4"))
     for k, r in enumerate(raw):
         a, n = starts[k], len(r)
         for o, x in zip(ORDERS, hs):
@@ -133,68 +148,105 @@ def _features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 class Model(NamedTuple):
-    weights: np.ndarray  # one row per kind over n-grams and path components
+    weights: np.ndarray  # one row per kind over n-grams, path components and the mark
     bias: np.ndarray
     used: tuple[bool, ...]
     report: dict[str, dict[str, float]]
 
 
-Vec = tuple[np.ndarray, np.ndarray, np.ndarray]  # n-grams, their shares, path components
+class Example(NamedTuple):
+    grams: np.ndarray
+    shares: np.ndarray
+    path: np.ndarray
+    masked: np.ndarray  # path components without marks
+    marked: bool
+
+
+MARK = DIMS + PATH_DIMS
 
 
-def _dot(w: np.ndarray, x: Vec) -> float:
-    return float(w[x[0]] @ x[1] + PATH_WEIGHT * w[x[2]].sum())
+def _outputs(w: np.ndarray, b: float, x: Example) -> tuple[float, float]:
+    """The classifier's outputs for the file as it is and for its masked copy."""
+    text = float(w[x.grams] @ x.shares) + b
+    return text + PATH_WEIGHT * float(w[x.path].sum()) + MARK_WEIGHT * float(w[MARK]) * x.marked, text + PATH_WEIGHT * float(w[x.masked].sum())
 
 
-def _fit(x: list[Vec], y: np.ndarray, lam: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Averaged sub-gradient descent on the hinge loss, classes weighted evenly."""
-    w, b, ws, bs, t = np.zeros(DIMS + PATH_DIMS, "f4"), 0.0, np.zeros(DIMS + PATH_DIMS, "f4"), 0.0, 0
+def _fit(x: list[Example], y: np.ndarray, lam: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Averaged sub-gradient descent on the hinge loss of both copies, classes weighted evenly."""
+    w, b, ws, bs, t = np.zeros(MARK + 1, "f4"), 0.0, np.zeros(MARK + 1, "f4"), 0.0, 0
     cost = np.where(y > 0, len(y) / max(1, 2 * (y > 0).sum()), len(y) / max(1, 2 * (y < 0).sum()))
     rng = np.random.default_rng(7)
     for epoch in range(EPOCHS):
         eta = 0.5 / (1 + epoch)
         for k in rng.permutation(len(y)):
-            i, v, p = x[k]
-            if y[k] * (_dot(w, x[k]) + b) < 1:
-                step = np.float32(eta * y[k] * cost[k])
-                w[i] += step * v
-                np.add.at(w, p, step * np.float32(PATH_WEIGHT))
+            e = x[k]
+            whole, masked = (y[k] * o < 1 for o in _outputs(w, b, e))
+            step = np.float32(eta * y[k] * cost[k])
+            if whole:
+                np.add.at(w, e.path, step * np.float32(PATH_WEIGHT))
+                w[MARK] += step * np.float32(MARK_WEIGHT) * e.marked
+            if masked:
+                np.add.at(w, e.masked, step * np.float32(PATH_WEIGHT))
+            if whole or masked:
+                w[e.grams] += step * e.shares * np.float32((whole + masked) / 2)
                 b += float(step) * 0.1
         w *= np.float32(1 - lam)
         ws, bs, t = ws + w, bs + b, t + 1
     return ws / t, bs / t
 
 
+def _top(idx: np.ndarray, val: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if len(idx) > TOP:
+        keep = np.sort(np.argpartition(-val, TOP)[:TOP])
+        idx, val = idx[keep], val[keep]
+    return idx, val
+
+
+PREPARED = "repo string, id string, given array<boolean>, bi array<int>, bv array<float>, hi array<int>, hv array<float>, path array<int>, masked array<int>, bare boolean"
+
+
+def _prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What fitting needs of each file."""
+    for b in batches:
+        for k in range(0, len(b), 64):
+            part = b.iloc[k : k + 64]
+            ev = [evidence(t, p) for t, p in zip(part.text, part.path)]
+            body, head = ([_top(*f) for f in _features(x)] for x in ([e.body for e in ev], [e.head for e in ev]))
+            yield pd.DataFrame({
+                "repo": part.repo, "id": part.id, "given": [[getattr(e, c) for c in KINDS] for e in ev], "bi": [f[0] for f in body], "bv": [f[1] for f in body], "hi": [f[0] for f in head], "hv": [f[1] for f in head],
+                "path": [path_features(p, masked=False) for p in part.path], "masked": [path_features(p, masked=True) for p in part.path], "bare": [not e.head.strip() for e in ev]})
+
+
 def fit(sample: pd.DataFrame) -> Model:
-    """Fit on rows ``(repo, path, text)``: repositories whose hash falls into one of five are held out."""
-    body, head, given = [], [], []
-    for k in range(0, len(sample), 128):
-        part = sample.iloc[k : k + 128]
-        ev = [evidence(t, p) for t, p in zip(part.text, part.path)]
-        given += [[getattr(e, c) for c in KINDS] for e in ev]
-        for e, p, bf, hf in zip(ev, part.path, _features([e.body for e in ev]), _features([e.head for e in ev])):
-            body.append((*bf, path_features(p, masked=False)))
-            head.append((*hf, path_features(p, masked=not e.head.strip())))
+    """Fit on prepared files: repositories whose hash falls into one of five are held out."""
     held = np.array([xxhash.xxh32_intdigest(str(r)) % 5 == 0 for r in sample.repo], bool)
-    given = np.array(given, bool).reshape(-1, len(KINDS))
-    weights, bias, used, report = np.zeros((len(KINDS), DIMS + PATH_DIMS), "f4"), np.zeros(len(KINDS)), [], {}
+    given = np.array(sample.given.tolist(), bool).reshape(-1, len(KINDS))
+    bare = sample.bare.to_numpy(bool)
+    weights, bias, used, report = np.zeros((len(KINDS), MARK + 1), "f4"), np.zeros(len(KINDS)), [], {}
     for c, kind in enumerate(KINDS):
-        x, y = head if kind == "vendored" else body, np.where(given[:, c], 1.0, -1.0)
+        g, v = ("hi", "hv") if kind == "vendored" else ("bi", "bv")
+        # What is left of a vendored file without a comment, once its directory is masked, is anybody's: only its marks are learned from.
+        x = [Example(i, s, p, p if kind == "vendored" and o else m, bool(y)) for i, s, p, m, o, y in zip(sample[g], sample[v], sample.path, sample.masked, bare, given[:, c])]
+        y = np.where(given[:, c], 1.0, -1.0)
         keep = ~held & (given[:, c] | ~given.any(axis=1) | (kind != "vendored"))
-        if (y[keep] > 0).sum() < 5 or (y[keep] < 0).sum() < 5:
-            used.append(False)
+        weights[c, MARK], bias[c] = 1.0, -MARK_WEIGHT / 2
+        fitted = (y[keep] > 0).sum() >= 5 and (y[keep] < 0).sum() >= 5
+        report[kind] = {"fitted": float(fitted), "marked": float(given[:, c].sum())}
+        used.append(bool(fitted))
+        if not fitted:
             continue
         for _ in range(2):
             at = np.flatnonzero(keep)
             w, b = _fit([x[k] for k in at], y[at])
-            s = np.array([_dot(w, v) + b for v in x])
-            keep &= (y > 0) | (s < 0.3)  # likely such files that don't give themselves away
+            s = np.array([_outputs(w, b, e)[1] for e in x])
+            keep &= (y > 0) | (s < 0.3)  # likely such files without marks
         hv = held & (given[:, c] | ~given.any(axis=1))
         said, true = s[hv] > 0, y[hv] > 0
         p, r = (said & true).sum() / max(1, said.sum()), (said & true).sum() / max(1, true.sum())
-        report[kind] = {"files": float(hv.sum()), "precision": float(p), "recall": float(r)}
-        weights[c], bias[c] = w, b
-        used.append(bool(kind != "vendored" or (p >= TRUST and r >= 0.9)))
+        used[c] = bool((r >= RECALL or not true.any()) and (kind != "vendored" or p >= TRUST))
+        report[kind] |= {"held_out": float(hv.sum()), "precision": float(p), "recall": float(r), "used": float(used[c])}
+        if used[c]:
+            weights[c], bias[c] = w, b
     return Model(weights, bias, tuple(used), report)
 
 
@@ -206,43 +258,59 @@ def code_rows(docs: DataFrame, id_col: str, path: str, text: str) -> DataFrame:
     return docs.where(F.col(id_col).isNotNull() & F.col(path).isNotNull() & (F.length(text) > 0) & ext.isin(CODE)).select(F.col(id_col).cast("string").alias("id"), F.col(path).alias("path"), F.col(text).alias("text"), repo.alias("repo"))
 
 
+def _fit_here(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parts = [b for b in batches if len(b)]
+    if parts:
+        m = fit(pd.concat(parts, ignore_index=True).sort_values("id", ignore_index=True))
+        yield pd.DataFrame({"weights": [m.weights.tobytes()], "bias": [m.bias.tobytes()], "used": [list(m.used)], "report": [json.dumps(m.report)]})
+
+
 def train(code: DataFrame) -> Model:
-    """A model from at most ``SAMPLE`` of the files.
+    """A model from at most ``SAMPLE`` distinct contents.
 
     Only hashes and ids below a bound that leaves about twice the sample are sorted; texts are fetched afterwards.
     """
     keys = code.select("id", F.shiftrightunsigned(F.xxhash64("text"), 11).alias("h"))
-    part = min(1.0, 2.0 * SAMPLE / max(1, code.count()))
-    few = keys.where(F.col("h") < int(part * (1 << 53))).orderBy("h", "id").limit(SAMPLE)
-    sample = code.join(F.broadcast(few.select("id").distinct()), "id", "left_semi").dropDuplicates(["id"])
-    return fit(sample.select("id", "repo", "path", "text").toPandas().sort_values("id", ignore_index=True))
-
-
-def _score(model: Model):
+    part = min(1.0, 2.0 * SAMPLE / max(1, keys.agg(F.approx_count_distinct("h")).head()[0]))
+    few = keys.where(F.col("h") < int(part * (1 << 53))).groupBy("h").agg(F.min("id").alias("id")).orderBy("h").limit(SAMPLE)
+    sample = code.join(F.broadcast(few.select("id")), "id", "left_semi").dropDuplicates(["id"])
+    got = sample.select("id", "repo", "path", "text").mapInPandas(_prepare, PREPARED).repartition(1).mapInPandas(_fit_here, "weights binary, bias binary, used array<boolean>, report string").collect()
+    if not got:
+        return Model(np.zeros((len(KINDS), MARK + 1), "f4"), np.full(len(KINDS), -1.0), (False,) * len(KINDS), {})
+    r = got[0]
+    return Model(np.frombuffer(r.weights, "f4").reshape(len(KINDS), -1), np.frombuffer(r.bias), tuple(r.used), json.loads(r.report))
+
+
+def _blocks(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    size = np.cumsum(b.text.map(len).to_numpy())
+    at = 0
+    while at < len(b):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK, "right")))
+        yield b.iloc[at:end]
+        at = end
+
+
+def _score(model):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            ev = [evidence(t, p) for t, p in zip(b.text, b.path)]
-            parts = {"vendored": grams([e.head for e in ev]), "": grams([e.body for e in ev])}
-            paths = [path_features(p, masked=False) for p in b.path]
-            masked = [path_features(p, masked=True) if not e.head.strip() else q for p, q, e in zip(b.path, paths, ev)]
-            out = {"id": b.id, "h": [xxhash.xxh64_intdigest(t) >> 1 for t in b.text]}
-            for c, kind in enumerate(KINDS):
-                if model.used[c]:
-                    h, at = parts["vendored" if kind == "vendored" else ""]
+        m = model.value
+        for whole in batches:
+            for b in _blocks(whole):
+                ev = [evidence(t, p) for t, p in zip(b.text, b.path)]
+                texts = {"vendored": grams([e.head for e in ev]), "": grams([e.body for e in ev])}
+                paths = [path_features(p, masked=False) for p in b.path]
+                out = {"id": b.id, "h": [xxhash.xxh64_intdigest(t) >> 1 for t in b.text]}
+                for c, kind in enumerate(KINDS):
+                    h, at = texts["vendored" if kind == "vendored" else ""]
                     n = np.diff(at)
-                    w = model.weights[c]
+                    w = m.weights[c]
                     s = np.zeros(len(b))
                     some = n > 0
-                    if some.any():
+                    if m.used[c] and some.any():
                         s[some] = np.add.reduceat(w[h], at[:-1][some]) * (SCALE / n[some])
-                    s += [PATH_WEIGHT * w[f].sum() + model.bias[c] for f in (masked if kind == "vendored" else paths)]
-                else:
-                    s = np.full(len(b), -1.0)
-                out[kind] = s
-                out[f"{kind}_given"] = [getattr(e, kind) for e in ev]
-            yield pd.DataFrame(out)
+                    marked = np.array([getattr(e, kind) for e in ev])
+                    out[kind] = s + [PATH_WEIGHT * w[f].sum() + m.bias[c] for f in paths] + MARK_WEIGHT * w[MARK] * marked
+                    out[f"{kind}_given"] = marked
+                yield pd.DataFrame(out)
 
     return run
 
@@ -252,13 +320,19 @@ def scored(docs: DataFrame, id_col: str, path: str, text: str, model: Model | No
     code = code_rows(docs, id_col, path, text)
     model = model or train(code)
     cols = ", ".join(f"{k} double, {k}_given boolean" for k in KINDS)
-    return code.mapInPandas(_score(model), f"id string, h long, {cols}")
+    return code.mapInPandas(_score(code.sparkSession.sparkContext.broadcast(model)), f"id string, h long, {cols}")
 
 
 def not_handwritten(docs: DataFrame, id_col: str, path: str, text: str) -> DataFrame:
     """``id`` of each code file that nobody wrote by hand."""
     s = cut(scored(docs, id_col, path, text))
-    said = lambda k: F.col(f"{k}_given") | (F.col(k) > 0)
-    alone = s.where(said("generated") | said("minified") | said("vendored") | said("data")).select("id")
-    third = s.where(said("vendored")).select("h").distinct()
+    alone = s.where(" OR ".join(f"{k} > 0" for k in KINDS)).select("id")
+    third = s.where("vendored > 0").select("h").distinct()
     return alone.unionByName(s.join(third, "h", "left_semi").select("id")).distinct()
+
+
+def composition(docs: DataFrame, id_col: str, path: str, text: str) -> DataFrame:
+    """``(kind, files, without_marks)``: how many files the classifier of each kind finds, and how many of those bear no mark of it."""
+    s = scored(docs, id_col, path, text)
+    each = s.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), (F.col(k) > 0).alias("found"), F.col(f"{k}_given").alias("given")) for k in KINDS])).alias("x")).select("x.*")
+    return each.groupBy("kind").agg(F.count_if("found").alias("files"), F.count_if(F.col("found") & ~F.col("given")).alias("without_marks"))

@@ -36,8 +36,10 @@ def percentiles(hits: DataFrame, query: str, item: str, legs: list[str], buckets
     before = totals.withColumn("off", F.sum("t").over(Window.partitionBy("q", "leg").orderBy("b")) - F.col("t")).drop("t")
     within = F.sum("c").over(Window.partitionBy("q", "leg", "b").orderBy("v"))
     pct = placed.join(before, ["q", "leg", "b"]).select("q", "leg", "v", ((F.col("off") + within) / F.col("n")).alias("p"))
-    got = long.join(pct, ["q", "leg", "v"], "left").groupBy("q", "i").agg(
-        *[F.coalesce(F.max(F.when(F.col("leg") == k, F.col("p"))), F.lit(0.0)).alias(f"p{k}") for k in range(len(legs))])
+    # Only scores are joined: hits that lack a leg, which may be most of a query's, bring their 0 along.
+    have = scored.join(pct, ["q", "leg", "v"]).select("q", "i", "leg", "p")
+    lack = one.where(" OR ".join(f"s{k} IS NULL" for k in range(len(legs)))).select("q", "i", F.lit(0).alias("leg"), F.lit(0.0).alias("p"))
+    got = have.unionByName(lack).groupBy("q", "i").agg(*[F.coalesce(F.max(F.when(F.col("leg") == k, F.col("p"))), F.lit(0.0)).alias(f"p{k}") for k in range(len(legs))])
     return got.select(F.col("q").alias(query), F.col("i").alias(item), F.array(*[f"p{k}" for k in range(len(legs))]).alias("p"))
 
 

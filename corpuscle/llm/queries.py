@@ -13,6 +13,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return ocr.noise(table(spark, d, "pdf_lines"))
 
 
+def p2_text(spark: SparkSession, d: str) -> DataFrame:
+    """The repaired text of every document with scanned lines."""
+    return ocr.repaired(table(spark, d, "pdf_lines"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     found = cut(secrets.in_documents(table(spark, d, "source_documents"), "id", "content", "source_path", with_values=True))
     chunks = secrets.in_chunks(table(spark, d, "chunks"), "id", "content", "document_id", found)
@@ -20,6 +25,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return lines.unionByName(chunks.select(F.col("id").alias("record_id"), F.lit(1).alias("line_no")))
 
 
+def p3_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its credentials masked."""
+    return secrets.masked(table(spark, d, "source_documents").select("id", "source_path", "content"), "content", "source_path").select("id", "content")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return leximin.ranked(table(spark, d, "fused_results"), "query_id", "doc_id", ["vector_score", "bm25_score"], 5).select("query_id", "doc_id")
 
@@ -32,6 +42,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.not_handwritten(table(spark, d, "source_documents"), "id", "source_path", "content")
 
 
+def p6_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """How many files of each kind there are, and how many of them bear no mark of it."""
+    return handwritten.composition(table(spark, d, "source_documents"), "id", "source_path", "content")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Three words and 0.6 are what TESTDATA sets for this query; the operator's own defaults are five and 0.8."""
     return ball.similar_pairs(table(spark, d, "chunks"), "id", "content", 3, 40, 0.6)
@@ -52,5 +67,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return subject.subjects_of(docs, "doc_id", "text", model).select("doc_id", "subject")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p2_text": p2_text, "p3_found": p3_found, "p3_masked": p3_masked, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_kinds": p6_kinds, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 SQL = {"p4_found": leximin.ranked_by_sql("fused_results", "query_id", "doc_id", ["vector_score", "bm25_score"], 5)}

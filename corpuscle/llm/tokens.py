@@ -8,9 +8,9 @@ A word that makes up a large share of all tokens never becomes a hot join key: s
 characters) that make up one token in ``FREQUENT`` or more, of which there can't be more than ``FREQUENT``, are
 joined by broadcast where the text is, some MB whatever the corpus; only the rest is shuffled by word.
 
-Defined results: null and empty texts give an empty list; every row of the input has one row, rows with the
-same id are kept apart by nothing else than their id, so ids must be unique; texts of any length are encoded
-whole; special tokens are never produced, their strings are ordinary text.
+Defined results: null and empty texts give an empty list; every pair of id and text has one row, repeated rows
+count once; a null id is an id; texts of any length are encoded whole; special tokens are never produced, their
+strings are ordinary text. The vocabulary file must be at its path on every worker.
 """
 
 from __future__ import annotations
@@ -61,12 +61,12 @@ def encode(docs: DataFrame, id_col: str, text: str, ranks: str = RANKS) -> DataF
     words = cut(word_table(docs, text, ranks))
     total = words.agg(F.sum("n").alias("total"))
     frequent = words.where(F.length("word") <= SHORT).join(F.broadcast(total), F.col("n") * FREQUENT >= F.col("total")).select("word", "ids")
-    placed = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).repartition("id")
-    tokens = placed.where("text IS NOT NULL").select("id", F.posexplode(split("text")).alias("pos", "word"))
-    near = tokens.join(F.broadcast(frequent), "word").groupBy("id").agg(F.collect_list(F.struct("pos", "ids")).alias("near"))
-    far = tokens.join(F.broadcast(frequent.select("word")), "word", "left_anti").join(words.select("word", "ids"), "word").groupBy("id").agg(F.collect_list(F.struct("pos", "ids")).alias("far"))
+    placed = docs.select(F.xxhash64(id_col, text).alias("k"), F.col(id_col).alias("id"), F.col(text).alias("text")).repartition("k").dropDuplicates(["k"])
+    tokens = placed.where("text IS NOT NULL").select("k", F.posexplode(split("text")).alias("pos", "word"))
+    near = tokens.join(F.broadcast(frequent), "word").groupBy("k").agg(F.collect_list(F.struct("pos", "ids")).alias("near"))
+    far = tokens.join(F.broadcast(frequent.select("word")), "word", "left_anti").join(words.select("word", "ids"), "word").groupBy("k").agg(F.collect_list(F.struct("pos", "ids")).alias("far"))
     none = F.array().cast("array<struct<pos:int,ids:array<int>>>")
-    whole = placed.select("id").join(near, "id", "left").join(far, "id", "left")
+    whole = placed.select("k", "id").join(near, "k", "left").join(far, "k", "left")
     ordered = F.sort_array(F.concat(F.coalesce("near", none), F.coalesce("far", none)))
     return whole.select(F.col("id").alias(id_col), F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"))
 

@@ -166,6 +166,9 @@ def test_tokens_equal_the_tokenizer(spark):
     got = tokens.encode(df, "id", "text")
     for r in got.collect():
         assert r.ids == (t.encode(ODD[r.id], add_special_tokens=False).ids if ODD[r.id] else []), ODD[r.id]
+    odd = spark.createDataFrame([(None, "it's"), (None, "it's"), (1, "it's"), (1, "we'll go"), (1, None)], "id long, text string")
+    same = sorted((r.id or 0, r.ids) for r in tokens.encode(odd, "id", "text").collect())
+    assert same == sorted((i, t.encode(x).ids if x else []) for i, x in [(0, "it's"), (1, "it's"), (1, "we'll go"), (1, None)])
     back = {r.id: r.text for r in tokens.decode(got, "id", "ids").collect()}
     assert back == {i: x or "" for i, x in enumerate(ODD)}
     assert tokens.encode(df.limit(0), "id", "text").count() == 0
@@ -211,17 +214,51 @@ def test_leak_cases(spark, text, found):
     assert got == ([(1, 7), (1, 8)] if found else [])
 
 
-def test_leak_common_wording_and_blocks(spark, monkeypatch):
+def test_leak_common_wording_and_widths(spark, monkeypatch):
     wording = "which of the following statements best describes what the writer of this text really means to tell us here"
     items = spark.createDataFrame([(i, f"{wording} {' '.join(f'u{i}x{k}' for k in range(16))}") for i in range(6)], "item_id long, text string")
     docs = spark.createDataFrame([(1, wording), (2, wording + " " + " ".join(f"u3x{k}" for k in range(16)))], "doc_id long, text string")
-    monkeypatch.setattr(leak, "BLOCK", 10**6)
-    got = [tuple(r) for r in leak.leaks(docs, "doc_id", "text", items, "item_id", "text").collect()]
-    assert got == [(2, 3)]
+    for bits in (27, 3):  # a full bitmap lets everything through and changes nothing
+        monkeypatch.setattr(leak, "BITMAP", bits)
+        got = [tuple(r) for r in leak.leaks(docs, "doc_id", "text", items, "item_id", "text").collect()]
+        assert got == [(2, 3)]
     assert leak.leaks(docs.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
     assert leak.leaks(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
 
 
+def _brute_overlap(item, doc):
+    """Whether a stretch of the item's words stands in the text with at most a sixth of edits and 15 words held, over all alignments of all stretches."""
+    best = False
+    for a in range(len(item)):
+        row = [(0, 0)] * (len(doc) + 1)  # (edits, -held) of item[a:i] against what ends at each place
+        for i in range(a, len(item)):
+            new = [(row[0][0] + 1, row[0][1])]
+            for j in range(1, len(doc) + 1):
+                same = item[i] == doc[j - 1]
+                new.append(min((row[j - 1][0] + (not same), row[j - 1][1] - same), (row[j][0] + 1, row[j][1]), (new[j - 1][0] + 1, new[j - 1][1])))
+            row = new
+            best |= any(-h >= 15 and 6 * e <= i - a + 1 for e, h in row)
+    return best
+
+
+def test_leak_alignment_against_all_stretches():
+    """The best paths find what any alignment finds, but for stretches at the very limit."""
+    r = random.Random(12)
+    hashes = lambda w: np.array([hash(x) & (2**63 - 1) | 1 for x in w], "u8")
+    pairs, want = [], []
+    for _ in range(60):
+        item = [f"w{k}" for k in range(30)]
+        part = item[r.randint(0, 8) : r.randint(20, 30)]
+        doc = [f"x{r.random()}" for _ in range(r.randint(0, 9))]
+        for w in part:
+            u = r.random()
+            doc += [] if u < 0.04 else [f"y{r.random()}"] if u < 0.1 else [w, "z"] if u < 0.13 else [w]
+        want.append(_brute_overlap(item, doc))
+        pairs.append(leak.Pair(hashes(item), np.zeros(30, bool), hashes(doc), -16, 16))
+    got = leak.overlaps(pairs)
+    assert 10 < sum(want) < 58 and not any(g and not w for g, w in zip(got, want)) and sum(got) >= 0.9 * sum(want)
+
+
 # ---------------------------------------------------------------- 3: secrets
 
 SECRET = "iNgnZzFwZpK6aNXfW4FBLB3O"
@@ -274,12 +311,62 @@ def test_no_credentials(text):
     assert secrets.find(text, "a.py") == [] and secrets.mask(text, "a.py") == text
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("// old value, rotate later: password is Winter.anchor4868", "Winter.anchor4868"), ("# until the review: token = Walrus_anchor747$", "Walrus_anchor747$"), ("x = 1  # pw = anchorwinter27", "anchorwinter27"),
+        ('"note": "old login / pass: Pickle_anchor5111?",', "Pickle_anchor5111?"), ('api_secret = "i5ywbRXkCDQ"', "i5ywbRXkCDQ"), ('pwd: "Pickle.pepper902"', "Pickle.pepper902"), ("/* pass : 7VY1UODi!zXct7 */", "7VY1UODi!zXct7"),
+        ("token = token2", None), ("// token = nextToken(stream2);", None), ("// token = tokens[0];", None), ("# each token costs 12 units", None), ("password = settings.password2", None), ("# token: see TICKET-12 for more", None), ('x = "key: value2"', None),
+    ],
+)
+def test_values_in_comments_and_notes(text, value):
+    assert [text[f.start : f.end] for f in secrets.find(text, "a.py")] == ([value] if value else [])
+
+
+def _ssh(*parts):
+    return b"".join(len(p).to_bytes(4, "big") + p for p in parts)
+
+
+def _der(tag, *parts):
+    body = b"".join(parts)
+    return bytes([tag]) + (bytes([len(body)]) if len(body) < 128 else b"\x82" + len(body).to_bytes(2, "big")) + body
+
+
 def test_key_containers():
     rsa = b"\x30\x82\x00\x1b" + b"\x02\x01\x00" + b"\x02\x01\x05" * 8
-    assert secrets.key_container(rsa) and secrets.key_container(b"openssh-key-v1\x00rest")
-    assert not secrets.key_container(rsa[:-1]) and not secrets.key_container(b"\x30\x03\x02\x01\x07") and not secrets.key_container(b"")
+    ssh = b"openssh-key-v1\x00" + _ssh(b"none", b"none", b"") + b"\x00\x00\x00\x01" + _ssh(b"ssh-ed25519 public", b"abcdabcd" + b"k" * 24)
+    pbes2 = _der(0x30, _der(0x30, _der(6, bytes.fromhex("2a864886f70d01050d")), _der(0x30)), _der(4, b"x" * 48))
+    pkcs8 = _der(0x30, _der(2, b"\x00"), _der(0x30, _der(6, bytes.fromhex("2b6570"))), _der(4, b"y" * 34))
+    pkcs12 = _der(0x30, _der(2, b"\x03"), _der(0x30, _der(6, bytes.fromhex("2a864886f70d010701")), _der(0xA0, b"z" * 200)))
+    pgp = b"\xc5\x40\x04" + b"p" * 63
+    for whole in (rsa, ssh, pbes2, pkcs8, pkcs12, pgp):
+        assert secrets.key_container(whole) and not secrets.key_container(whole[:-1]), whole
+    for none in (b"", b"openssh-key-v1\x00rest", b"\x30\x03\x02\x01\x07", ssh.replace(b"abcdabcd", b"abcdabce"), pkcs12.replace(b"\x02\x01\x03", b"\x02\x01\x04"), pgp.replace(b"\xc5", b"\xc6"), _der(0x30, _der(0x30, _der(6, b"\x2a\x03"), _der(5)), _der(3, b"\x00" * 60))):
+        assert not secrets.key_container(none), none
     long = b"\x30\x24" + b"\x02\x01\x00" + b"\x02\x02\x01\x05" * 7 + b"\x02\x03\x01\x00\x01"
-    assert secrets.key_container(long) and len(secrets.find('k = "' + base64.b64encode(long).decode() + '"')) == 1
+    for key in (long, ssh, pbes2, pkcs12):
+        assert len(secrets.find('k = "' + base64.b64encode(key).decode() + '"')) == 1
+
+
+def test_layers_have_no_least_depth():
+    text = f'api_key="{SECRET}"'
+    assert len(secrets.find('v = "' + base64.b64encode(text.encode("utf-16-le")).decode() + '"')) == 1
+    for _ in range(7):
+        text = base64.b64encode(text.encode()).decode()
+    assert len(secrets.find(f'v = "{text}"')) == 1
+    text = f'pwd="{SECRET}"'
+    for _ in range(40):
+        text = "".join(f"%{c:02x}" if chr(c) in '%="' else chr(c) for c in text.encode())
+    assert len(secrets.find(f"v = '{text}'")) == 1
+
+
+def test_one_long_line_takes_linear_time():
+    import time
+
+    text = "function a(b,c){" + ";".join(f'var x{i}=tokenize({i},"k{i}",passThrough||key{i})' for i in range(20000)) + f',api_key="{SECRET}"' + "}"
+    began = time.process_time()
+    assert [text[f.start : f.end] for f in secrets.find(text, "a.min.js")] == [SECRET]
+    assert time.process_time() - began < 5
 
 
 def test_credentials_in_rows_and_chunks(spark):
@@ -385,17 +472,45 @@ def test_subject_model_is_of_full_size(spark):
     assert subject.TABLE >= 1 << 15 and subject.DIM >= 16 and subject.MAX_LABELLED >= 8000 and subject.ROUNDS >= (30, 15)
     rng = np.random.default_rng(1)
     e, w, b = rng.normal(size=(9, 4)).astype("f4"), rng.normal(size=(4, 2)).astype("f4"), rng.normal(size=2).astype("f4")
-    bags = [([0, 3], [0.5, 0.5]), ([], []), ([8], [1.0]), ([1, 3, 7], [0.2, 0.3, 0.5])]
-    x = pd.DataFrame({"idx": [np.array(i, "i4") for i, _ in bags], "val": [np.array(v, "f4") for _, v in bags], "y": [np.array(y, "f4") for y in ([1, 0], [0, 0], [0.5, 1], [0, 1])], "weight": np.array([1, 1, 2, 1], "f4")})
+    from corpuscle.llm.words import scan
+
+    texts, ys = ["aa bb aa", "", "cc", "bb cc dd"], np.array([[1, 0], [0, 0], [0.5, 1], [0, 1]], "f4")
+    table = {"aa": [0, 3], "bb": [3, 8], "cc": [8], "dd": [1, 3, 7]}
+    lexicon = subject.Lexicon(lambda x: np.array(table[x], "i4"))
+
+    def pack(k):
+        s = next(scan(texts[k]))
+        at = np.r_[np.searchsorted(s.row, np.arange(s.count)), len(s.row)]
+        some = np.diff(at) > 0
+        return subject.examples(lexicon.numbers(s), lexicon, at[:-1][some], at[1:][some], np.arange(s.count)[some], s.count, ys[k])
+
     sent = type("Sent", (), {"value": (e, w, b)})
-    got = next(subject._sum(iter([pd.concat([next(subject._gradient(sent)(iter([y]))) for y in (x[:2], x[2:])])])))
+    got = next(subject._sum(iter([pd.concat([next(subject._gradient(sent)(iter([pack(k)]))) for k in (slice(0, 2), slice(2, 4))])])))
     de, dw, db = np.zeros_like(e), np.zeros_like(w), np.zeros_like(b)
-    for (i, v), y, weight in zip(bags, x.y, x.weight):
-        if i:
-            v = np.array(v)[:, None]
-            h = (e[i] * v).sum(0)
-            g = (1 / (1 + np.exp(-(h @ w + b))) - y) * weight
-            de[i] += v * (g @ w.T)
+    for t, y in zip(texts, ys):
+        t = t.split()
+        if t:
+            h = np.mean([e[table[x]].mean(0) for x in t], axis=0)
+            g = 1 / (1 + np.exp(-(h @ w + b))) - y
+            for x in t:
+                for k in table[x]:
+                    de[k] += (g @ w.T) / len(t) / len(table[x])
             dw += np.outer(h, g)
             db += g
     assert got.n[0] == 3 and np.allclose(np.frombuffer(got.g[0], "f4"), np.r_[de.ravel(), dw.ravel(), db], atol=1e-5)
+
+
+def test_word_scan_equals_the_pattern():
+    from corpuscle.llm import words
+
+    texts = [None, "", " ", "It's 2 cafés.\r\nÉcole… ǅ İx ß2³ 日本 x_y", "no end", "One two three four. Five six seven eight! nine\nten a b c?", "x" * 5000 + " y", "\ud800 a"]
+    for block in (1, 20, 1 << 20):
+        got = [[] for _ in texts]
+        for s in words.scan(texts, block=block):
+            for k, r in enumerate(s.row):
+                got[s.first + r].append(s.word(k))
+        assert got == [ball.WORD.findall(t.lower()) if t else [] for t in texts]
+    s = next(words.scan(texts, digits=False))
+    row, lo, hi = words.sentence_words(s, 4)
+    assert [" ".join(s.word(k) for k in range(a, b)) for a, b in zip(lo, hi)] == ["one two three four", "five six seven eight", "ten a b c"]
+    assert len({h for h in s.hash}) == len({s.word(k) for k in range(len(s.row))})

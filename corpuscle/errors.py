@@ -23,3 +23,7 @@ class DagError(CorpuscleError):
 
 class QueryError(CorpuscleError):
     """A search can't be carried out."""
+
+
+class BusyError(CorpuscleError):
+    """Another writer is at work."""

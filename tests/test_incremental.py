@@ -89,3 +89,38 @@ def test_sync_survives_a_broken_run(spark, tmp_path):
     assert sync.run(new, lambda d: d) == 2
     assert sorted(r.k for r in sync.output(2).collect()) == ["b", "d"]
     assert sync.run(new, lambda d: d) == 3 and sync.output(3).count() == 0
+
+
+def test_sync_of_repeated_keys_removed_ones_and_many_versions(spark, tmp_path):
+    sync = I.MerkleSync(spark, str(tmp_path / "sync"), "k", ["v"], leaf_bits=6)
+    rows = [(f"k{i}", 0, {"m": i}) for i in range(40)]
+    make = lambda rows: spark.createDataFrame(rows, "k string, v int, extra map<string,int>").repartition(5)
+    assert sync.output(sync.run(make([*rows, ("k0", 7, None), ("k0", 7, {"m": 1}), (None, 1, None)]), lambda d: d)).count() == 40
+    assert sync.changes(make([("k0", 7, None), *rows, rows[0]])).count() == 0  # the same row of k0 again, whatever the order
+    for v in range(2, I.MerkleStore.KEEP + 4):
+        rows[v] = (f"k{v}", v, None)
+        assert sync.run(make([("k0", 7, None), *rows]), lambda d: d) == v
+        assert [r.k for r in sync.output(v).collect()] == [f"k{v}"] and sync.removed(v).count() == 0
+    written = [sync.store.read(v, "records").count() for v in sync.versions() if (tmp_path / f"sync/v-{v:08d}/records").exists()]
+    assert written[0] == 40 and all(n < 40 for n in written[1:]) and len(written) <= I.MerkleStore.KEEP
+    last = sync.run(make(rows[2:]), lambda d: d)
+    assert sorted(r.key for r in sync.removed(last).collect()) == ["k0", "k1"] and sync.output(last).count() == 0
+
+
+def test_sync_keeps_a_second_writer_out(spark, tmp_path):
+    from corpuscle.errors import BusyError
+
+    sync = I.MerkleSync(spark, str(tmp_path / "sync"), "k", ["v"], leaf_bits=4)
+    src = spark.createDataFrame([("a", 1)], "k string, v int")
+    sync.store.lock()
+    with pytest.raises(BusyError):
+        sync.run(src, lambda d: d)
+    sync.store.stale = -1
+    assert sync.run(src, lambda d: d) == 1
+
+
+def test_digests_hold_for_many_records(spark):
+    """The sum of digests overflowed at 16.8 million records once."""
+    n = 20_000_000
+    t = I.tree(spark.range(n).select("id", F.lit(1).alias("t")), "id", "t", 8)
+    assert t.where("level = 0").head().n == n

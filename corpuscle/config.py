@@ -34,6 +34,8 @@ class Config:
     bm25_b: float = 0.75
     max_commits: int = 1000
     data_dir: str = "./data"
+    workers: int = os.cpu_count() or 1
+    queue_size: int = 4 * (os.cpu_count() or 1)
 
     def validate(self) -> Config:
         if self.chunk_size <= 0:
@@ -46,6 +48,8 @@ class Config:
             raise ConfigError("the weights must add up to 1")
         if self.bm25_k1 <= 0 or not 0 <= self.bm25_b <= 1:
             raise ConfigError("bm25_k1 must be positive and bm25_b between 0 and 1")
+        if self.workers <= 0 or self.queue_size <= 0:
+            raise ConfigError("workers and queue_size must be positive")
         if self.top_k <= 0 or self.rerank_top_k <= 0:
             raise ConfigError("result limits must be positive")
         return self

@@ -80,12 +80,21 @@ plantuml|PlantUML|diagram|puml plantuml pu
 d2|D2|diagram|d2
 """
 CODE_CATEGORIES = ("programming", "shell", "query")
-#: Further extensions that are read as text.
-OTHER_TEXT = "mod sum sc xib storyboard plist xcconfig pro ninja vcxproj sln props targets csproj vbproj fsproj ld lds pc j2 jinja jinja2 hbs handlebars mustache tmpl template erb ejs tpl ini conf config txt"
-#: Extensions the preset "code" leaves out of the above, adds to it, and those of "docs".
-NOT_CODE_PRESET = "pyw mts cts php3 php4 php5 phtml nim d cr vim ps1 psm1 psd1 markdown html htm xhtml css scss sass vue svelte xsl xslt xsd svg json5"
-CODE_PRESET_EXTRA = "dhall containerfile vagrantfile gnumakefile justfile"
+#: The extensions of the preset "code".
+CODE_PRESET = """
+rs py pyi pyx js jsx mjs cjs ts tsx go java kt kts scala sc swift m mm c h cpp cc cxx hpp hh hxx inl cs fs fsi fsx rb rake gemspec php pl pm perl lua r rmd jl dart ex exs erl hrl hs lhs ml mli re rei clj cljs cljc edn
+zig v sol move asm s sh bash zsh fish sql graphql gql md tex latex rst adoc asciidoc org xml json jsonc yaml yml toml proto thrift dockerfile tf tfvars hcl nix cmake mk makefile gradle bzl bazel mmd mermaid dot gv puml
+plantuml pu d2 mod sum xib storyboard plist xcconfig pro ninja vcxproj sln props targets csproj vbproj fsproj ld lds pc j2 jinja jinja2 hbs handlebars mustache tmpl template erb ejs tpl ini conf config txt dhall
+containerfile vagrantfile gnumakefile justfile
+"""
+#: The extensions of the preset "docs".
 DOCS_PRESET = "md txt rst adoc"
+#: The extensions that are loaded as plain text (markdown, JSON and PDF apart).
+TEXT_FORMAT = """
+rs py pyi pyx js jsx mjs cjs ts tsx go java kt kts scala sc swift m mm c h cpp cc cxx hpp hh hxx inl fs fsi fsx rb rake gemspec pl pm perl lua r rmd jl dart ex exs erl hrl hs lhs ml mli re rei clj cljs cljc edn zig nim
+v d cr sol move asm s vim sh bash zsh fish sql graphql gql tex latex rst adoc asciidoc org xml yaml yml toml proto thrift tf tfvars hcl cmake mk gradle bzl bazel mmd mermaid dot gv puml plantuml pu d2 mod sum xib
+storyboard plist xcconfig pro ninja vcxproj sln props targets csproj vbproj fsproj ld lds pc j2 jinja jinja2 hbs handlebars mustache tmpl template erb ejs tpl ini conf config txt
+"""
 #: Directories that a walk never enters.
 EXCLUDED = ".venv venv __pycache__ .tox .pytest_cache site-packages .eggs node_modules .npm .yarn .pnp .pnp.js target .cache build dist .next .nuxt .svelte-kit .git .svn .hg .vscode .idea .vs .DS_Store .docker data logs tmp temp".split()
 
@@ -102,8 +111,7 @@ def by_extension() -> dict[str, tuple[str, str, str]]:
 
 @cache
 def presets() -> dict[str, frozenset[str]]:
-    code = (set(by_extension()) | set(OTHER_TEXT.split()) | set(CODE_PRESET_EXTRA.split())) - set(NOT_CODE_PRESET.split())
-    return {"code": frozenset(code), "docs": frozenset(DOCS_PRESET.split())}
+    return {"code": frozenset(CODE_PRESET.split()), "docs": frozenset(DOCS_PRESET.split())}
 
 
 def expand_extensions(wanted: list[str]) -> list[str]:
@@ -112,13 +120,8 @@ def expand_extensions(wanted: list[str]) -> list[str]:
 
 
 def _lookup(key: Column, table: dict[str, str]) -> Column:
-    by_value: dict[str, list[str]] = {}
-    for k, v in table.items():
-        by_value.setdefault(v, []).append(k)
-    out = F.lit(None).cast("string")
-    for v, ks in reversed(by_value.items()):
-        out = F.when(key.isin(ks), F.lit(v)).otherwise(out)
-    return out
+    """The table's value for a key, by a literal map."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
 def language(path: str | Column) -> Column:
@@ -139,9 +142,8 @@ def is_code(path: str | Column) -> Column:
 
 def document_format(path: str | Column) -> Column:
     """pdf, markdown, json or text; null where the extension isn't supported."""
-    known = (set(by_extension()) | set(OTHER_TEXT.split())) - {"pyw", "mts", "cts", "php", "php3", "php4", "php5", "phtml", "ps1", "psm1", "psd1", "html", "htm", "xhtml", "css", "scss", "sass", "vue", "svelte", "xsl", "xslt", "xsd", "svg", "json5", "cs", "nix", "dockerfile", "makefile"}
     e = extension(path)
-    return F.when(e == "pdf", "pdf").when(e.isin("md", "markdown"), "markdown").when(e.isin("json", "jsonc"), "json").when(e.isin(sorted(known)), "text")
+    return F.when(e == "pdf", "pdf").when(e.isin("md", "markdown"), "markdown").when(e.isin("json", "jsonc"), "json").when(e.isin(TEXT_FORMAT.split()), "text")
 
 
 def excluded(path: str | Column, by_suffix: bool = False) -> Column:

@@ -67,6 +67,11 @@ def collapse(c: str | Column) -> Column:
     return F.array_join(words(c), " ")
 
 
+def collapse_ends(c: str | Column) -> Column:
+    """Without blanks (spaces, tabs and line ends) at either end."""
+    return F.rtrim(F.ltrim(col(c), F.lit(" \t\r\n")), F.lit(" \t\r\n"))
+
+
 def drop_control(c: str | Column) -> Column:
     """Without control characters, but for blanks."""
     return F.regexp_replace(col(c), r"[\p{Cc}&&[^\p{IsWhite_Space}]]", "")
@@ -82,13 +87,43 @@ def normalize(c: str | Column) -> Column:
     return collapse(F.regexp_replace(nfc(col(c)), "[\\u200B\\u200C\\u200D\\uFEFF]", ""))
 
 
-_SENTENCE = regex.compile(r"(?w)(?V1)(?s).+?(?:[.!?…。！？]+[\"'”’)\]]*\s+(?=\p{Lu}|\p{Lt}|\p{Lo}|\d|[\"'“‘(\[]|\s*$)|\n+|$)")
+_X = r"[\p{SB=Extend}\p{SB=Format}]*"
+#: An end mark with what belongs to it, up to where a sentence may end; or the end of a paragraph.
+_END = regex.compile(rf"(?P<before>[\p{{SB=Upper}}\p{{SB=Lower}}]{_X})?(?P<mark>[\p{{SB=STerm}}\p{{SB=ATerm}}]){_X}(?P<close>(?:\p{{SB=Close}}{_X})*)(?P<blank>(?:\p{{SB=Sp}}{_X})*)(?P<par>\r\n|\p{{SB=Sep}}|\p{{SB=CR}}|\p{{SB=LF}})?|(?P<only>\r\n|\p{{SB=Sep}}|\p{{SB=CR}}|\p{{SB=LF}})")
+_ATERM = regex.compile(r"\p{SB=ATerm}")
+_NUMERIC, _UPPER = regex.compile(r"\p{SB=Numeric}"), regex.compile(r"\p{SB=Upper}")
+_GOES_ON = regex.compile(r"[\p{SB=SContinue}\p{SB=STerm}\p{SB=ATerm}]")
+_LOWER_AHEAD = regex.compile(r"[^\p{SB=OLetter}\p{SB=Upper}\p{SB=Lower}\p{SB=Sep}\p{SB=CR}\p{SB=LF}\p{SB=STerm}\p{SB=ATerm}]*\p{SB=Lower}")
+
+
+def split_sentences(text: str) -> list[str]:
+    """The sentences of a text by the default rules of Unicode's annex 29; joined they give the text again."""
+    out, begin, at = [], 0, 0
+    while m := _END.search(text, at):
+        at = end = m.end()
+        if m.group("only") is None and m.group("par") is None:
+            full, here = _ATERM.match(m.group("mark")), end < len(text)
+            bare = not m.group("close") and not m.group("blank")
+            if here and full and bare and (_NUMERIC.match(text, end) or (m.group("before") and _UPPER.match(text, end))):
+                continue
+            if here and full and _LOWER_AHEAD.match(text, end):
+                continue
+            if here and _GOES_ON.match(text, end):
+                continue
+        out.append(text[begin:end])
+        begin = end
+    return [*out, text[begin:]] if begin < len(text) else out
 
 
 @F.pandas_udf(ArrayType(StringType()))
 def sentences(s: pd.Series) -> pd.Series:
     """Sentences with the blanks that follow them; joined they give the text again."""
-    return s.map(lambda x: [m for m in _SENTENCE.findall(x) if m] if x else [], na_action="ignore")
+    return s.map(lambda x: split_sentences(x) if x else [], na_action="ignore")
+
+
+def sentences_filtered(c: str | Column) -> Column:
+    """The trimmed sentences that aren't blank."""
+    return F.filter(F.transform(sentences(col(c)), collapse_ends), lambda x: x != "")
 
 
 def sentence_pieces(c: str | Column) -> Column:

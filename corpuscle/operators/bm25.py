@@ -38,18 +38,51 @@ class Index:
         kept = self.without(other.doc_stats)
         return Index(kept.postings.unionByName(other.postings), kept.doc_stats.unionByName(other.doc_stats))
 
+    def term_freq(self, pairs: DataFrame) -> DataFrame:
+        """``(term, doc_id, tf)`` of the wanted pairs, 0 where the document lacks the term."""
+        return pairs.select("term", "doc_id").distinct().join(self.postings, ["term", "doc_id"], "left").select("term", "doc_id", F.coalesce("tf", F.lit(0)).alias("tf"))
+
+    def doc_length(self, ids: DataFrame) -> DataFrame:
+        """``(doc_id, doc_length)`` of the wanted documents, 0 for unknown ones."""
+        return ids.select("doc_id").distinct().join(self.doc_stats, "doc_id", "left").select("doc_id", F.coalesce("doc_length", F.lit(0)).alias("doc_length"))
+
+    def doc_ids(self) -> DataFrame:
+        return self.doc_stats.select("doc_id")
+
     def save(self, path: str) -> None:
-        """Postings lie sorted by term, so a query reads only the row groups of its terms."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+        """A new version beside the old one, which is dropped once the new one is whole: a crash leaves one of them.
+
+        Postings lie sorted by term, so a query reads only the row groups of its terms.
+        """
+        old = _version(self.postings.sparkSession, path)
+        at = f"{path}/v-{old + 1}"
+        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{at}/postings")
+        self.doc_stats.write.mode("overwrite").parquet(f"{at}/doc_stats")
+        fs, file = _files(self.postings.sparkSession, path)
+        fs.create(file(f"{at}/_DONE"), True).close()
+        if old:
+            fs.delete(file(f"{path}/v-{old}"), True)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
-        """A saved index; an empty one where nothing was saved."""
-        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/doc_stats/_SUCCESS")
-        if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        """The index saved last; an empty one where nothing was saved."""
+        v = _version(spark, path)
+        if not v:
             return Index(spark.createDataFrame([], "term string, doc_id string, tf int"), spark.createDataFrame([], "doc_id string, doc_length int"))
-        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats"))
+        return Index(spark.read.parquet(f"{path}/v-{v}/postings"), spark.read.parquet(f"{path}/v-{v}/doc_stats"))
+
+
+def _files(spark: SparkSession, path: str):
+    file = spark._jvm.org.apache.hadoop.fs.Path
+    return file(path).getFileSystem(spark._jsc.hadoopConfiguration()), file
+
+
+def _version(spark: SparkSession, path: str) -> int:
+    fs, file = _files(spark, path)
+    if not fs.exists(file(path)):
+        return 0
+    names = [s.getPath().getName() for s in fs.listStatus(file(path))]
+    return max((int(n[2:]) for n in names if n.startswith("v-") and fs.exists(file(f"{path}/{n}/_DONE"))), default=0)
 
 
 def build(docs: DataFrame, id_col: str, text: str) -> Index:

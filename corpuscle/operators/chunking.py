@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -85,3 +86,52 @@ def pack_sentences(docs: DataFrame, id_col: str, text: str, size: int, overlap:
 
     d = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text"))
     return d.mapInPandas(run, "document_id string, chunk_index int, content string")
+
+
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+@cache
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def token_count(text: str | Column, tokenizer: str = TOKENIZER) -> Column:
+    """Model tokens of a text by a tokenizer file that every worker can read; 0 for null."""
+
+    @F.pandas_udf("int")
+    def f(s: pd.Series) -> pd.Series:
+        some = s.fillna("").tolist()
+        return pd.Series([len(e.ids) for e in _tokenizer(tokenizer).encode_batch_fast(some, add_special_tokens=False)], index=s.index, dtype="int32")
+
+    return f(T.col(text))
+
+
+def chunk_tokens(docs: DataFrame, id_col: str, text: str, size: int = 512, overlap: int = 128, tokenizer: str | None = TOKENIZER) -> DataFrame:
+    """``(document_id, chunk_index, total_chunks, tokens, content, id)``: windows of model tokens, cut from the text by the tokens' places.
+
+    Without a tokenizer windows of words. A window that begins or ends within a character takes the whole of it.
+    """
+    check(size, overlap)
+    if tokenizer is None:
+        return chunk(docs, id_col, text, size, overlap)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for i, t, e in zip(b.id, b.text, _tokenizer(tokenizer).encode_batch(b.text.tolist(), add_special_tokens=False)):
+                n, at, own = len(e.ids), 0, []
+                while at < n:
+                    end = min(at + size, n)
+                    own.append((end - at, t[e.offsets[at][0] : e.offsets[end - 1][1]]))
+                    if end == n:
+                        break
+                    at += size - overlap
+                rows += [(i, k, len(own), *x) for k, x in enumerate(own)]
+            yield pd.DataFrame(rows, columns=["document_id", "chunk_index", "total_chunks", "tokens", "content"])
+
+    d = docs.where(F.length(text) > 0).select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text"))
+    c = d.mapInPandas(run, "document_id string, chunk_index int, total_chunks int, tokens int, content string")
+    return c.withColumn("id", F.sha2(F.concat_ws("#", "document_id", "chunk_index"), 256))

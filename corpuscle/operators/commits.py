@@ -20,25 +20,53 @@ def diff_path(line: str | Column) -> Column:
     return F.coalesce(b, F.nullif(F.regexp_extract(a, r"^\s*(\S+)", 1), F.lit("")), F.lit("unknown"))
 
 
+def split_message(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``(id, message, diff_text)``: a text up to its first "diff --git" line, trimmed, and from there on."""
+    at = F.expr(f"regexp_instr(`{text}`, '(?md)^diff --git ')")
+    body = F.expr(f"substr(`{text}`, regexp_instr(`{text}`, '(?md)^diff --git '))")
+    cut_ = F.expr(f"substr(`{text}`, 1, regexp_instr(`{text}`, '(?md)^diff --git ') - 1)")
+    return texts.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), T.collapse_ends(F.when(at > 0, cut_).otherwise(F.col(text))).alias("message"), F.when(at > 0, body).otherwise("").alias("diff_text"))
+
+
+def _line_off(c: Column) -> Column:
+    """Without one line end at the end."""
+    return F.when(F.endswith(c, F.lit("\n")), F.substring(c, 1, F.length(c) - 1)).otherwise(c)
+
+
 def file_diffs(commits: DataFrame, key: str, diff: str) -> DataFrame:
-    """``(key, pos, file_path, header, content)`` of each file of each diff; what stands before the first is left out."""
-    parts = F.filter(F.split(col(diff), r"(?m)(?=^diff --git )"), lambda p: F.startswith(p, F.lit("diff --git ")))
-    p = commits.select(key, F.posexplode(parts).alias("pos", "part")).withColumn("part", F.regexp_replace("part", r"\n$", ""))
-    at = F.expr("regexp_instr(part, '(?m)^@@')")
-    head = F.when(at > 0, F.regexp_replace(F.expr("substr(part, 1, regexp_instr(part, '(?m)^@@') - 1)"), r"\n$", "")).otherwise(F.col("part"))
-    body = F.when(at > 0, F.concat(F.expr("substr(part, regexp_instr(part, '(?m)^@@'))"), F.lit("\n"))).otherwise(F.lit(""))
+    """``(key, pos, file_path, header, content)`` of each file of each diff; what stands before the first is left out.
+
+    Files begin at lines with "diff --git ", contents at the first line with "@@"; only line feeds end lines.
+    """
+    parts = F.filter(F.split(col(diff), r"(?md)(?=^diff --git )"), lambda p: F.startswith(p, F.lit("diff --git ")))
+    p = commits.select(key, F.posexplode(parts).alias("pos", "part")).withColumn("part", _line_off(F.col("part")))
+    at = F.expr("regexp_instr(part, '(?md)^@@')")
+    head = F.when(at > 0, _line_off(F.substring("part", F.lit(1), at - 1))).otherwise(F.col("part"))
+    body = F.when(at > 0, F.concat(F.expr("substr(part, regexp_instr(part, '(?md)^@@'))"), F.lit("\n"))).otherwise(F.lit(""))
     return p.select(key, "pos", diff_path(F.substring_index("part", "\n", 1)).alias("file_path"), head.alias("header"), body.alias("content"))
 
 
 def hunks(commits: DataFrame, key: str, diff: str) -> DataFrame:
     """``(key, file_pos, hunk_pos, file_path, header, content)``: of each hunk its mark and the diff's lines."""
     f = file_diffs(commits, key, diff).where("content <> ''")
-    h = f.select(key, F.col("pos").alias("file_pos"), "file_path", F.posexplode(F.filter(F.split("content", r"(?m)(?=^@@)"), lambda x: F.startswith(x, F.lit("@@")))).alias("hunk_pos", "part"))
-    lines = F.filter(F.slice(F.split("part", "\n"), 2, F.greatest(F.size(F.split("part", "\n")) - 1, F.lit(0))), lambda l: F.substring(l, 1, 1).isin("+", "-", " ", "\\"))
+    h = f.select(key, F.col("pos").alias("file_pos"), "file_path", F.posexplode(F.filter(F.split("content", r"(?md)(?=^@@)"), lambda x: F.startswith(x, F.lit("@@")))).alias("hunk_pos", "part"))
+    all_ = F.split("part", "\n")
+    lines = F.filter(F.slice(all_, 2, F.greatest(F.size(all_) - 1, F.lit(0))), lambda l: F.substring(l, 1, 1).isin("+", "-", " ", "\\"))
     text = F.when(F.size(lines) > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise(F.lit(""))
     return h.select(key, "file_pos", "hunk_pos", "file_path", F.substring_index("part", "\n", 1).alias("header"), text.alias("content"))
 
 
+def diff_stats(commits: DataFrame, key: str = "id", diff: str = "diff_text") -> DataFrame:
+    """``(key, files_changed, insertions, deletions, file_paths, languages)`` of every commit; paths and languages sorted, without repeats."""
+    count = lambda c, sign: F.size(F.filter(F.split(c, "\n"), lambda l: F.startswith(l, F.lit(sign))))
+    f = file_diffs(commits, key, diff).select(key, "file_path", L.language("file_path").alias("lang"))
+    paths = f.groupBy(key).agg(F.count_distinct("file_path").cast("int").alias("files_changed"), F.array_sort(F.collect_set("file_path")).alias("file_paths"), F.array_sort(F.collect_set("lang")).alias("languages"))
+    lines = hunks(commits, key, diff).groupBy(key).agg(F.sum(count(F.col("content"), "+")).alias("insertions"), F.sum(count(F.col("content"), "-")).alias("deletions"))
+    none = F.array().cast("array<string>")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return commits.select(key).join(paths, key, "left").join(lines, key, "left").select(key, zero("files_changed"), zero("insertions"), zero("deletions"), F.coalesce("file_paths", none).alias("file_paths"), F.coalesce("languages", none).alias("languages"))
+
+
 def summary(message: Column, files: Column, insertions: Column, deletions: Column) -> Column:
     return F.concat(message, F.lit("\n\nFiles changed: "), files.cast("string"), F.lit(", Insertions: "), insertions.cast("string"), F.lit(", Deletions: "), deletions.cast("string"))
 
@@ -85,6 +113,11 @@ def developer_stats(commits: DataFrame, changes: DataFrame) -> DataFrame:
     return base.join(files, "email", "left").withColumn("files_modified", F.coalesce("files_modified", F.lit(0)))
 
 
+def by_commits(stats: DataFrame) -> DataFrame:
+    """Developers with the most commits first, ties by email."""
+    return stats.orderBy(F.desc("commit_count"), "email")
+
+
 def developer_types(commits: DataFrame) -> DataFrame:
     """``(email, types)``: how many commits of each type, as a map."""
     t = commits.groupBy("email", "type").agg(F.count(F.lit(1)).alias("n"))
@@ -99,6 +132,14 @@ def file_evolution(commits: DataFrame, changes: DataFrame) -> DataFrame:
         F.count_distinct(F.concat("name", F.lit(" <"), "email", F.lit(">"))).alias("contributors"), F.min("time").alias("first_change"), F.max("time").alias("last_change"))
 
 
+def file_commits(commits: DataFrame, changes: DataFrame) -> DataFrame:
+    """Per path: its commits, newest first, and its contributors by name, sorted. As large as the path's own history."""
+    j = changes.select("hash", "path").distinct().join(commits.select("hash", "email", "name", "time"), "hash")
+    return j.groupBy("path").agg(
+        F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("time", "hash")))), lambda x: x["hash"]).alias("hashes"),
+        F.array_sort(F.collect_set(F.concat("name", F.lit(" <"), "email", F.lit(">")))).alias("contributors"))
+
+
 def file_history(commits: DataFrame, changes: DataFrame, path) -> DataFrame:
     """The commits of one path, newest first."""
     return changes.where(F.col("path") == path).groupBy("hash").agg(F.sum("insertions").alias("insertions"), F.sum("deletions").alias("deletions")).join(commits, "hash").orderBy(F.desc("time"), "hash")

@@ -5,21 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corpuscle.errors import DagError
-
-
-def levels(spark: SparkSession, edges: DataFrame, max_level: int = 1000) -> DataFrame:
-    """``(task, level)``: 0 without dependencies, else one more than the highest of them. Edges ``(task, depends_on)``, null for none."""
-    edges.createOrReplaceTempView("__dag_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(task, level) MAX RECURSION LEVEL {max_level} AS (
-          SELECT DISTINCT t.task, 0 FROM __dag_edges t
-          WHERE NOT EXISTS (SELECT 1 FROM __dag_edges e WHERE e.task = t.task AND e.depends_on IS NOT NULL)
-          UNION ALL
-          SELECT e.task, w.level + 1 FROM walk w JOIN __dag_edges e ON e.depends_on = w.task)
-        SELECT task, max(level) AS level FROM walk GROUP BY task""")
+from corpuscle.session import cut
+
+
+def levels(edges: DataFrame) -> DataFrame:
+    """``(task, level)``: 0 without dependencies, else one more than the highest of them. Edges ``(task, depends_on)``, null for none.
+
+    Each round takes the tasks all of whose dependencies have a level, so a task is visited once however many paths
+    lead to it, and tasks that depend on each other are an error. A dependency that is no task itself counts as one.
+    """
+    deps = cut(edges.where("depends_on IS NOT NULL").select("task", "depends_on").distinct())
+    left = cut(edges.select("task").unionByName(deps.select(F.col("depends_on").alias("task"))).where("task IS NOT NULL").distinct())
+    out, level = None, 0
+    while not left.isEmpty():
+        ready = left.join(deps.select("task"), "task", "left_anti")
+        part = cut(ready.select("task", F.lit(level).alias("level")))
+        if part.isEmpty():
+            raise DagError("tasks depend on each other")
+        out = part if out is None else out.unionByName(part)
+        left = cut(left.join(part.select("task"), "task", "left_anti"))
+        deps = cut(deps.join(part.select(F.col("task").alias("depends_on")), "depends_on", "left_anti"))
+        level += 1
+    return edges.sparkSession.createDataFrame([], "task string, level int") if out is None else out
 
 
 def plan(tasks: dict[str, list[str]]) -> list[list[str]]:

@@ -18,7 +18,17 @@ def all_of(*conditions: Column | None) -> Column | None:
 
 
 def source_filter(source: str | None, column: str = "source") -> Column | None:
-    return F.col(column) == source if source else None
+    """The trimmed text must stand somewhere in the source; a blank one filters nothing."""
+    return F.contains(F.col(column), F.lit(source.strip())) if source and source.strip() else None
+
+
+def type_filter(kind: str | None, column: str = "classification") -> Column | None:
+    return F.col(column) == kind.strip().lower() if kind and kind.strip() else None
+
+
+def least_score(score: float | None, column: str = "score") -> Column | None:
+    """Off unless a least score is given."""
+    return F.col(column) >= score if score is not None else None
 
 
 def time_filter(since: str | None, until: str | None, column: str = "commit_time") -> Column | None:

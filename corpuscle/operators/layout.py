@@ -119,3 +119,9 @@ def overlapping(boxes: DataFrame, group: list[str], key: str) -> DataFrame:
     on = [F.col(f"l.{g}") == F.col(f"r.{g}") for g in group] + [F.col("l.band") == F.col("r.band"), F.col(f"l.{key}") < F.col(f"r.{key}"), F.greatest("l.lo", "r.lo") == F.col("l.band"),
         F.col("l.x") < F.col("r.x") + F.col("r.width"), F.col("r.x") < F.col("l.x") + F.col("l.width"), F.col("l.y") < F.col("r.y") + F.col("r.height"), F.col("r.y") < F.col("l.y") + F.col("l.height")]
     return l.join(r, on).select(*[F.col(f"l.{g}").alias(g) for g in group], F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"))
+
+
+def simple_heading(font: str | Column, median: str | Column, ratio: float = 1.2) -> Column:
+    """Whether a font is larger than the page's median by the ratio."""
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+    return c(font).cast("double") > c(median).cast("double") * ratio

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache
 from typing import Protocol
 
@@ -32,6 +33,55 @@ class MockEmbedder:
         return ((h[:, None] * np.arange(1, self.dims + 1, dtype="u8")) % 1000 / 1000).astype("f4")
 
 
+@dataclass(frozen=True)
+class ModelInfo:
+    """What is to be known of a model; its files are local, below a folder named like its id."""
+
+    repo_id: str
+    dims: int = 0
+    max_tokens: int = 512
+    model_file: str = "onnx/model.onnx"
+    tokenizer_file: str = "tokenizer.json"
+    normalize: bool = True
+
+    def capped(self, most: int) -> ModelInfo:
+        return replace(self, max_tokens=most) if 0 < most < self.max_tokens else self
+
+    def local(self, root: str, least_bytes: int = 1000) -> tuple[str, str]:
+        """Paths of model and tokenizer; files that are missing or too small to be any are an error."""
+        found = tuple(os.path.join(root, self.repo_id.replace("/", "--"), f) for f in (self.model_file, self.tokenizer_file))
+        for f in found:
+            if not os.path.exists(f) or os.path.getsize(f) <= least_bytes:
+                raise FileNotFoundError(f"no model file at {f}")
+        return found
+
+    def embedder(self, root: str) -> OnnxEmbedder:
+        model, tokenizer = self.local(root)
+        return OnnxEmbedder(model, tokenizer, self.dims, self.max_tokens)
+
+
+#: Known models, by short name.
+EMBEDDING_MODELS = {
+    "default": ModelInfo("jinaai/jina-embeddings-v2-base-code", 768, 8192),
+    "bge-small": ModelInfo("BAAI/bge-small-en-v1.5", 384, 512),
+    "minilm-l6": ModelInfo("sentence-transformers/all-MiniLM-L6-v2", 384, 256),
+    "nemotron-8b": ModelInfo("nvidia/llama-embed-nemotron-8b", 4096, 4096),
+}
+RERANK_MODELS = {
+    "default": ModelInfo("cross-encoder/ms-marco-MiniLM-L-6-v2", 0, 512),
+    "rerankqa-mistral-4b": ModelInfo("nvidia/nv-rerankqa-mistral-4b-v3", 0, 2048),
+}
+
+
+def providers() -> list[str]:
+    """Execution providers of this machine's runtime, accelerators first; the processor alone without a runtime."""
+    try:
+        import onnxruntime
+    except ImportError:
+        return ["CPUExecutionProvider"]
+    return onnxruntime.get_available_providers()
+
+
 def mean_pool(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """The mean over the places that count, at length 1."""
     m = mask[..., None].astype(hidden.dtype)
@@ -47,7 +97,7 @@ def _session(model: str, tokenizer: str):
 
     o = onnxruntime.SessionOptions()
     o.intra_op_num_threads = 1
-    return onnxruntime.InferenceSession(model, o, providers=onnxruntime.get_available_providers()), Tokenizer.from_file(tokenizer)
+    return onnxruntime.InferenceSession(model, o, providers=providers()), Tokenizer.from_file(tokenizer)
 
 
 def _inputs(model: str, tokenizer: str, texts: list, most: int) -> tuple:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpuscle.functions import classify as C
-from corpuscle.operators import dag, incremental, layout, schema, state
+from corpuscle.operators import chunking, dag, incremental, layout, schema, state
 from corpuscle.plans import texts
 from corpuscle.session import table
 from corpuscle.streaming import ingest
@@ -138,13 +138,108 @@ def field_hints(spark, d):
 
 
 def create_table_text(spark, d):
-    rows = [(1, "Sure:\n```sql\nCREATE TABLE a (x int);\n```\nDone"), (2, "create table b (y text)\n\nnote"), (3, "SELECT 1"), (4, "")]
-    return spark.createDataFrame(rows, "id int, t string").select("id", schema.create_table_col("t").alias("ddl"))
+    """The CREATE TABLE statements that the corpus's documents hold, as a model's answer would."""
+    t = table(spark, d, "source_documents").select("id", "content").unionByName(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"))).distinct()
+    return t.select("id", schema.create_table_col("content").alias("ddl"))
+
+
+def _edges(spark, d):
+    """Nations that depend on two smaller ones each."""
+    k = F.col("n_nationkey")
+    both = F.array(F.floor((k - 1) / 2).cast("int"), F.floor((k - 1) / 3).cast("int"))
+    return table(spark, d, "nation").select(k.alias("task"), F.explode_outer(F.when(k > 0, both)).alias("depends_on"))
 
 
 def dag_levels(spark, d):
-    edges = table(spark, d, "nation").select(F.col("n_nationkey").alias("task"), F.when(F.col("n_nationkey") > 0, F.floor((F.col("n_nationkey") - 1) / 2).cast("int")).alias("depends_on"))
-    return dag.levels(spark, edges)
+    return dag.levels(_edges(spark, d))
+
+
+def _files(spark, d):
+    """The files of the documents, one row per path."""
+    t = table(spark, d, "source_documents").where("source_path IS NOT NULL")
+    row = F.struct("metadata.loaded_at", "id", F.col("file_hash"), F.col("metadata.size_bytes").alias("file_size_bytes"))
+    return t.groupBy("source_path").agg(F.max(row).alias("r")).select("source_path", "r.file_hash", "r.file_size_bytes", F.col("r.loaded_at").alias("modified_at"))
+
+
+def _fails(spark, d):
+    return _fail(spark, d).select("source_path", "file_hash", "file_size_bytes", "modified_at", "failed_at", "reason")
+
+
+def _at():
+    return F.lit(AT).cast("timestamp")
+
+
+def mark_processing(spark, d):
+    return state.mark_processing(_state(spark, d), _files(spark, d), _at()).select("source_path", "status", "chunk_count", "file_size_bytes", "processed_at", "error")
+
+
+def _chunked(spark, d):
+    c = table(spark, d, "chunks").groupBy(F.col("document_id").alias("id")).agg(F.count_distinct("id").cast("int").alias("n"))
+    s = table(spark, d, "source_documents").where("source_path IS NOT NULL").select("id", "source_path").distinct()
+    return s.join(c, "id").groupBy("source_path").agg(F.max("n").alias("chunk_count"))
+
+
+def mark_complete(spark, d):
+    s, _ = state.mark_complete(_state(spark, d), _fails(spark, d), _chunked(spark, d), _at())
+    return s.select("source_path", "status", "chunk_count", "processed_at", "error")
+
+
+def mark_complete_failures(spark, d):
+    """The failures that are left once the chunked files are complete."""
+    return state.mark_complete(_state(spark, d), _fails(spark, d), _chunked(spark, d), _at())[1].select("source_path", "reason")
+
+
+def mark_failed(spark, d):
+    return state.mark_failed(_state(spark, d), _fails(spark, d).select("source_path", F.col("reason").alias("error")), _at()).select("source_path", "status", "processed_at", "error")
+
+
+def record_failure(spark, d):
+    """Every failed state recorded as a failure."""
+    new = _state(spark, d).where("status = 'failed'").select("source_path", "file_hash", "file_size_bytes", "modified_at", _at().alias("failed_at"), F.coalesce("error", F.lit("unknown")).alias("reason"))
+    return state.record_failure(_fails(spark, d), new).select("source_path", "failed_at", "reason")
+
+
+def clear_failure(spark, d):
+    return state.clear_failure(_fails(spark, d), _state(spark, d).where("status = 'completed'")).select("source_path", "reason")
+
+
+def remove_paths(spark, d):
+    """State without the paths that no scan lists any more."""
+    listed = table(spark, d, "scan_entries").select("source_path").distinct()
+    gone = _state(spark, d).select("source_path").join(listed, "source_path", "left_anti")
+    return state.removed(_state(spark, d), _fails(spark, d), gone)[0].select("source_path", "status")
+
+
+def is_processed(spark, d):
+    return state.is_processed(_files(spark, d).select("source_path", "file_hash"), _state(spark, d))
+
+
+def all_paths(spark, d):
+    return _state(spark, d).select("source_path")
+
+
+def headings_simple(spark, d):
+    l = _lines(spark, d)
+    m = layout.median_font(l, layout.PAGE)
+    return l.join(m, layout.PAGE).where(layout.simple_heading("font_size", "median_font")).select(*layout.PAGE, "line_no")
+
+
+def chunk_tokenizer(spark, d):
+    """Windows of 256 model tokens over the corpus."""
+    return chunking.chunk_tokens(table(spark, d, "documents"), "doc_id", "text", 256, 64)
+
+
+def token_counts_model(spark, d):
+    return table(spark, d, "documents").select("doc_id", chunking.token_count("text").alias("tokens"))
+
+
+def schema_ddl(spark, d):
+    """The DDL, the prompt and the described schema that the JSON files give."""
+    s = table(spark, d, "source_documents").where("source_path LIKE '%.json'").select("id", "content").distinct()
+    paths = schema.infer(s, "content")
+    told, hints = schema.to_json_schema(paths), schema.hints_of(paths)
+    rows = [("ddl", schema.with_retry(schema.Placeholder(paths, "files"), "")), ("prompt", schema.ddl_prompt(told, hints)), ("schema", schema.pretty(schema.enhanced(told, hints)))]
+    return spark.createDataFrame(rows, "kind string, text string")
 
 
 def temporal_feature(spark, d):
@@ -155,7 +250,7 @@ def temporal_feature(spark, d):
 
 def temporal_augment(spark, d):
     f = temporal_feature(spark, d).withColumnRenamed("doc_id", "vec_id")
-    return table(spark, d, "embeddings").join(f, "vec_id").select("vec_id", F.size(F.concat(F.transform("embedding", lambda x: x.cast("double")), F.array("feature"))).alias("dims"), "feature")
+    return table(spark, d, "embeddings").join(f, "vec_id").select("vec_id", F.concat(F.transform("embedding", lambda x: F.round(x.cast("double"), 6)), F.array("feature")).alias("vector"))
 
 
 def cluster_date_range(spark, d):
@@ -185,18 +280,37 @@ def stream_ingest(spark, d):
 
 
 def stream_windows(spark, d):
-    """Daily counts of events by type, as a stream that waits for late events; the last, still open windows are kept too."""
+    """Daily counts of events by type, as a stream that waits for late events: each batch writes the windows it changed, and windows behind the watermark leave the state."""
     src = spark.read.parquet(f"{d}/events.parquet")
     stream = spark.readStream.schema(src.schema).parquet(f"{d}/events.parquet*")
     agg = ingest.windowed_counts(stream, "ts", "event_type", "value")
 
     def start(out):
-        return agg.writeStream.outputMode("complete").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{out}/v")).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+        return agg.writeStream.outputMode("update").foreachBatch(lambda b, n: b.withColumn("__n", F.lit(n)).write.mode("overwrite").parquet(f"{out}/v/batch={n}")).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+
+    def last(out):
+        v = spark.read.option("recursiveFileLookup", "true").parquet(f"{out}/v")
+        return v.groupBy("event_type", "start").agg(F.max_by(F.struct("n", "total"), "__n").alias("s")).select("event_type", "start", "s.n", F.round("s.total", 4).alias("total"))
+
+    return _streamed(spark, d, "windows", start, last)
 
-    return _streamed(spark, d, "windows", start, lambda out: spark.read.parquet(f"{out}/v").select("event_type", "start", "n", F.round("total", 4).alias("total")))
+
+def stream_latest(spark, d):
+    """The newest event of each user, kept while events stream in."""
+    src = spark.read.parquet(f"{d}/events.parquet")
+    stream = spark.readStream.schema(src.schema).parquet(f"{d}/events.parquet*").select("user_id", "ts", "event_id")
+    return _streamed(spark, d, "latest", lambda out: ingest.latest_by_key(stream, "user_id", "ts", out), lambda out: ingest.read_latest(spark, out))
 
 
 _ST = "st AS (SELECT source_path, CASE WHEN lower(trim(status)) IN ('completed', 'complete') THEN 'completed' WHEN lower(trim(status)) IN ('pending', 'processing') THEN lower(trim(status)) ELSE 'failed' END AS status, file_size_bytes, modified_at, processed_at, chunk_count, error FROM processing_state WHERE source_path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_path ORDER BY processed_at DESC) = 1)"
+_STH = _ST.replace("st AS (SELECT source_path,", "sth AS (SELECT source_path, file_hash,")
+_AT = f"TIMESTAMPTZ '{AT}+00'"
+_FR = "fr AS (SELECT source_path, failed_at, reason FROM processing_failures WHERE source_path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_path ORDER BY failed_at DESC) = 1)"
+_FI = "fi AS (SELECT source_path, file_hash AS hash, metadata.size_bytes AS size FROM source_documents WHERE source_path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_path ORDER BY metadata.loaded_at DESC NULLS LAST, id DESC NULLS LAST, file_hash DESC NULLS LAST) = 1)"
+_CH = "cc AS (SELECT source_path, max(n)::INT AS n FROM (SELECT DISTINCT id, source_path FROM source_documents WHERE source_path IS NOT NULL) s JOIN (SELECT document_id, count(DISTINCT id) AS n FROM chunks GROUP BY 1) c ON c.document_id = s.id GROUP BY 1)"
+_JT = """jd AS (SELECT DISTINCT id, content FROM source_documents WHERE source_path LIKE '%.json' AND json_valid(content)),
+jt AS (SELECT t.type, regexp_replace(regexp_replace(substr(t.fullkey, 2), '\\[[0-9]+\\]', '.[]', 'g'), '^[.]', '') AS path FROM jd, json_tree(jd.content) t QUALIFY row_number() OVER (PARTITION BY jd.id, jd.content, t.fullkey ORDER BY t.id DESC) = 1),
+v AS (SELECT CASE WHEN type IN ('OBJECT', 'ARRAY', 'NULL', 'BOOLEAN') THEN lower(type) WHEN type = 'VARCHAR' THEN 'string' ELSE 'number' END AS type, path, regexp_extract(path, '[^.]*$') AS leaf, CASE WHEN path <> '' THEN regexp_replace(path, '(^|[.])[^.]*$', '') END AS up FROM jt)"""
 _FA = "fa AS (SELECT source_path, file_size_bytes, modified_at FROM processing_failures QUALIFY row_number() OVER (PARTITION BY source_path ORDER BY failed_at DESC) = 1)"
 _CUR = "lr AS (SELECT scope_key, arg_max(run_id, updated_at) AS run_id FROM scan_runs WHERE lower(trim(status)) IN ('complete', 'completed') GROUP BY 1), cur AS (SELECT scope_key, source_path, file_size_bytes AS s, modified_at AS m FROM scan_entries SEMI JOIN lr USING (scope_key, run_id) QUALIFY row_number() OVER (PARTITION BY scope_key, source_path ORDER BY updated_at DESC) = 1)"
 _MATCH = "k.source_path = c.source_path AND k.file_size_bytes = c.s AND (k.modified_at IS NULL OR c.m IS NULL OR k.modified_at = c.m)"
@@ -219,7 +333,7 @@ _PT = "pt AS (SELECT doc_id, page_number, string_agg(text, chr(10) ORDER BY line
 _TF = "(SELECT doc_id, round(coalesce((epoch_us(loaded_at) - min(epoch_us(loaded_at)) OVER ())::DOUBLE / (max(epoch_us(loaded_at)) OVER () - min(epoch_us(loaded_at)) OVER ()), 0.5), 6) AS feature FROM documents)"
 _EV = "SELECT event_type, date_trunc('day', ts)::TIMESTAMPTZ AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
 
-QUERIES = {f.__name__: f for f in (latest_state, count_completed, should_skip, to_process, skip_failures, processed_summary, scan_summary, stale_entries, finalize_incomplete, finalize_failures, status_parse, page_text, document_text, font_median, header_footer, header_footer_stats, lines_without_margins, headings, sections, section_contents, ocr_stats, bbox_overlap, json_paths, json_files, field_hints, create_table_text, dag_levels, temporal_feature, temporal_augment, cluster_date_range, event_windows, stream_ingest, stream_windows)}
+QUERIES = {f.__name__: f for f in (latest_state, count_completed, should_skip, to_process, skip_failures, processed_summary, scan_summary, stale_entries, finalize_incomplete, finalize_failures, status_parse, page_text, document_text, font_median, header_footer, header_footer_stats, lines_without_margins, headings, sections, section_contents, ocr_stats, bbox_overlap, json_paths, json_files, field_hints, create_table_text, dag_levels, mark_processing, mark_complete, mark_complete_failures, mark_failed, record_failure, clear_failure, remove_paths, is_processed, all_paths, headings_simple, chunk_tokenizer, token_counts_model, schema_ddl, stream_latest, temporal_feature, temporal_augment, cluster_date_range, event_windows, stream_ingest, stream_windows)}
 SQL = {
     "latest_state": f"WITH {_ST} SELECT source_path, status, file_size_bytes, processed_at, chunk_count FROM st",
     "count_completed": f"WITH {_ST} SELECT status, count(*) AS n FROM st GROUP BY 1",
@@ -244,10 +358,23 @@ SQL = {
     "ocr_stats": f"WITH {_L}, p AS (SELECT doc_id, page_number, sum(strlen(text)) AS n, bool_or(coalesce(is_ocr, false)) AS o FROM l GROUP BY 1, 2) SELECT doc_id, count(*) AS pages, count(*) FILTER (n < 50) AS needing, count(*) FILTER (o) AS having FROM p GROUP BY 1",
     "bbox_overlap": f"WITH {_L}, b AS (SELECT doc_id, page_number, line_no, x::DOUBLE AS x, y::DOUBLE AS y, width::DOUBLE AS width, height::DOUBLE AS height FROM l) SELECT l.doc_id, l.page_number, l.line_no AS a, r.line_no AS b FROM b l JOIN b r ON l.doc_id = r.doc_id AND l.page_number = r.page_number AND l.line_no < r.line_no AND l.x < r.x + r.width AND r.x < l.x + l.width AND l.y < r.y + r.height AND r.y < l.y + l.height",
     "json_paths": "SELECT 'k' AS path, 'number' AS types, count(*) AS n, true AS required FROM events WHERE json_extract(props, '$.k') IS NOT NULL UNION ALL SELECT '', 'object', count(*), false FROM events",
-    "create_table_text": "SELECT * FROM (VALUES (1, 'CREATE TABLE a (x int);'), (2, 'create table b (y text)'), (3, NULL), (4, NULL)) t(id, ddl)",
-    "dag_levels": "WITH RECURSIVE e AS (SELECT n_nationkey AS task, CASE WHEN n_nationkey > 0 THEN (n_nationkey - 1) // 2 END AS dep FROM nation), w AS (SELECT task, 0 AS level FROM e WHERE dep IS NULL UNION ALL SELECT e.task, w.level + 1 FROM w JOIN e ON e.dep = w.task) SELECT task, max(level) AS level FROM w GROUP BY 1",
+    "create_table_text": r"SELECT id, nullif(trim(regexp_extract(regexp_replace(trim(content), '(?m)^```\w*[\t\n\f\r ]*$', '', 'g'), '(?is)(create\s+table\b.*?)(\n\s*\n|$)', 1)), '') AS ddl FROM (SELECT id, content FROM source_documents UNION SELECT doc_id::VARCHAR, text FROM documents)",
+    "dag_levels": "WITH RECURSIVE e AS (SELECT n_nationkey AS task, unnest(CASE WHEN n_nationkey > 0 THEN [(n_nationkey - 1) // 2, (n_nationkey - 1) // 3] ELSE [NULL] END) AS dep FROM nation), w AS (SELECT task, 0 AS level FROM e WHERE dep IS NULL UNION SELECT e.task, w.level + 1 FROM w JOIN e ON e.dep = w.task) SELECT task, max(level) AS level FROM w GROUP BY 1",
+    "mark_processing": f"WITH {_ST}, {_FI} SELECT source_path, status, chunk_count, file_size_bytes, processed_at, error FROM st ANTI JOIN fi USING (source_path) UNION ALL SELECT source_path, 'processing', 0, size, {_AT}, NULL FROM fi",
+    "mark_complete": f"WITH {_ST}, {_CH} SELECT source_path, CASE WHEN n IS NULL THEN status ELSE 'completed' END AS status, coalesce(n, chunk_count) AS chunk_count, CASE WHEN n IS NULL THEN processed_at ELSE {_AT} END AS processed_at, CASE WHEN n IS NULL THEN error END AS error FROM st LEFT JOIN cc USING (source_path)",
+    "mark_complete_failures": f"WITH {_FR}, {_CH} SELECT source_path, reason FROM fr ANTI JOIN cc USING (source_path)",
+    "mark_failed": f"WITH {_ST}, {_FR} SELECT source_path, CASE WHEN fr.source_path IS NULL THEN status ELSE 'failed' END AS status, CASE WHEN fr.source_path IS NULL THEN processed_at ELSE {_AT} END AS processed_at, CASE WHEN fr.source_path IS NULL THEN error ELSE reason END AS error FROM st LEFT JOIN fr USING (source_path)",
+    "record_failure": f"WITH {_ST}, {_FR}, n AS (SELECT source_path, {_AT} AS failed_at, coalesce(error, 'unknown') AS reason FROM st WHERE status = 'failed') SELECT source_path, failed_at, reason FROM fr ANTI JOIN n USING (source_path) UNION ALL SELECT * FROM n",
+    "clear_failure": f"WITH {_ST}, {_FR} SELECT source_path, reason FROM fr ANTI JOIN (SELECT source_path FROM st WHERE status = 'completed') USING (source_path)",
+    "remove_paths": f"WITH {_ST} SELECT source_path, status FROM st SEMI JOIN scan_entries USING (source_path)",
+    "is_processed": f"WITH {_STH}, {_FI} SELECT source_path, hash AS file_hash, EXISTS (SELECT 1 FROM sth k WHERE k.status = 'completed' AND k.source_path = fi.source_path AND k.file_hash = fi.hash) AS processed FROM fi",
+    "all_paths": "SELECT DISTINCT source_path FROM processing_state WHERE source_path IS NOT NULL",
+    "headings_simple": f"WITH {_L}, m AS (SELECT doc_id, page_number, coalesce(quantile_cont(font_size::DOUBLE, 0.5), 12) AS med FROM l GROUP BY 1, 2) SELECT doc_id, page_number, line_no FROM l JOIN m USING (doc_id, page_number) WHERE font_size::DOUBLE > med * 1.2",
+    "stream_latest": "SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1",
+    "json_files": f"WITH {_JT} SELECT path, array_to_string(list_sort(list(DISTINCT type)), ',') AS types, count(*) AS n, coalesce(any_value(v.up) IS NOT NULL AND any_value(leaf) <> '[]' AND count(*) >= (SELECT count(*) FROM v p WHERE p.path = any_value(v.up) AND p.type = 'object'), false) AS required FROM v GROUP BY path",
+    "field_hints": f"WITH {_JT} SELECT DISTINCT 'timestamps' AS kind, path FROM v WHERE leaf NOT IN ('', '[]') AND regexp_matches(lower(leaf), 'date|time|updated|created') UNION SELECT DISTINCT 'folders', path FROM v WHERE leaf NOT IN ('', '[]') AND regexp_matches(lower(leaf), 'folder|path|group|category|tag')",
     "temporal_feature": f"SELECT * FROM {_TF}",
-    "temporal_augment": f"SELECT vec_id, (len(embedding) + 1)::INT AS dims, feature FROM embeddings JOIN {_TF} f ON f.doc_id = vec_id",
+    "temporal_augment": f"SELECT vec_id, list_append(list_transform(embedding::DOUBLE[], lambda x: round(x, 6)), feature) AS vector FROM embeddings JOIN {_TF} f ON f.doc_id = vec_id",
     "cluster_date_range": "SELECT label, min(loaded_at) AS first, max(loaded_at) AS last, count(*) AS n FROM documents JOIN embeddings ON vec_id = doc_id GROUP BY 1",
     "stream_ingest": texts.SQL["chunk_words"].replace("SELECT id AS doc_id, i AS chunk_index, k AS total_chunks, len(c)::INT AS tokens, array", "SELECT id AS doc_id, i AS chunk_index, array"),
     "event_windows": _EV,

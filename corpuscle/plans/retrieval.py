@@ -149,11 +149,38 @@ def rerank_lexical(spark, d):
 
 
 def source_filter(spark, d):
-    return table(spark, d, "documents").where(dense.source_filter("jorcor-notes")).select("doc_id", "source")
+    return table(spark, d, "documents").where(dense.source_filter(" -notes ")).select("doc_id", "source")
+
+
+def min_score(spark, d):
+    return _leg_v(spark, d).where(dense.least_score(0.2)).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def bm25_lookups(spark, d):
+    """Frequencies of the query's terms in the labelled documents, with the documents' lengths."""
+    from corpuscle.functions import text as T
+
+    i = _index(spark, d)
+    ids = table(spark, d, "subject_labels").select("doc_id").distinct()
+    terms = spark.range(1).select(F.explode(F.array_distinct(T.index_tokens(F.lit(QUERY)))).alias("term"))
+    return i.term_freq(ids.crossJoin(F.broadcast(terms))).join(i.doc_length(ids), "doc_id")
+
+
+def bm25_doc_ids(spark, d):
+    return _index(spark, d).doc_ids()
+
+
+def payload_text(spark, d):
+    """The values of events' properties as texts, and those of some other kinds."""
+    from corpuscle.operators.history import payload_text as of
+
+    v = F.try_variant_get(F.parse_json("props"), "$.k", "variant")
+    kinds = [F.parse_json(F.lit(x)) for x in ('"a b"', "12", "true", "null", "[1]", '{"k": 1}')]
+    return table(spark, d, "events").select("event_id", of(v).alias("k"), *[of(x).alias(f"x{i}") for i, x in enumerate(kinds)])
 
 
 def results_json(spark, d):
-    h = fusion.hydrate(_leg_b(spark, d, 3), table(spark, d, "documents"), "doc_id", "text", "source")
+    h = fusion.hydrate(_leg_b(spark, d, 3), table(spark, d, "documents"), "doc_id", "text", "source").withColumn("score", F.round("score", 4))
     return fusion.as_json(h)
 
 
@@ -189,7 +216,7 @@ _STEM = "regexp_extract(source_path, '[^/]*$')"
 _QT = "list_distinct(" + _tok("'" + QUERY + "'") + ")"
 _BYTES = lambda n: f"lpad(CASE WHEN {n} >= 1073741824 THEN printf('%.1fg', {n} / 1073741824.0) WHEN {n} >= 1048576 THEN printf('%.1fm', {n} / 1048576.0) WHEN {n} >= 1024 THEN concat({n} // 1024, 'k') ELSE concat({n}, 'b') END, 5, ' ')"
 
-QUERIES = {f.__name__: f for f in (bm25_term_stats, bm25_corpus_stats, bm25_topk, bm25_batch, bm25_remove_docs, vector_topk, vector_topk_filtered, vector_batch_topk, vector_norms, unit_vectors, centroid_mean_pool, points_by_id, minmax_scores, fusion_weighted, fusion_rrf, fusion_adaptive, fusion_overlap, hydrate_hits, rerank_lexical, source_filter, results_json, results_text, citation_labels, mock_embed, embed_documents)}
+QUERIES = {f.__name__: f for f in (bm25_term_stats, bm25_corpus_stats, bm25_topk, bm25_batch, bm25_remove_docs, vector_topk, vector_topk_filtered, vector_batch_topk, vector_norms, unit_vectors, centroid_mean_pool, points_by_id, minmax_scores, fusion_weighted, fusion_rrf, fusion_adaptive, fusion_overlap, hydrate_hits, rerank_lexical, source_filter, min_score, bm25_lookups, bm25_doc_ids, payload_text, results_json, results_text, citation_labels, mock_embed, embed_documents)}
 SQL = {
     "bm25_term_stats": f"WITH {_IDX} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY term",
     "bm25_corpus_stats": f"WITH {_IDX} SELECT n AS num_docs, round(avgdl, 6) AS avg_doc_length FROM corpus",
@@ -213,7 +240,14 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_
     "fusion_overlap": f"WITH {_IDX}, {_bm25_sql(40, 'bhits')}, {_VLEG} SELECT count(*) FILTER (v.doc_id IS NOT NULL AND b.doc_id IS NOT NULL) AS both, count(*) FILTER (b.doc_id IS NULL) AS vector_only, count(*) FILTER (v.doc_id IS NULL) AS bm25_only FROM vhits v FULL JOIN bhits b ON v.doc_id = b.doc_id",
     "hydrate_hits": f"WITH {_IDX}, {_bm25_sql(40)}, h AS (SELECT doc_id, round(score, 6) AS score, coalesce(d.text, '') AS text, coalesce(nullif(d.source_path, ''), doc_id::VARCHAR) AS source FROM hits LEFT JOIN documents d USING (doc_id)), s AS (SELECT *, regexp_extract(source, '[^/]*$') AS b FROM h) SELECT doc_id, score, text, source, coalesce(nullif(CASE WHEN regexp_matches(b, '^.+\\.[^.]*$') THEN regexp_extract(b, '^(.+)\\.[^.]*$', 1) ELSE b END, ''), 'unknown') AS citation FROM s",
     "rerank_lexical": f"WITH {_IDX}, {_bm25_sql(40)}, t AS (SELECT doc_id, list_distinct({_tok('text')}) AS t, {_QT} AS q FROM hits JOIN documents USING (doc_id)), s AS (SELECT doc_id, 1 / (1 + exp(-(len(list_intersect(t, q))::DOUBLE / len(list_distinct(list_concat(t, q)))))) AS score FROM t) SELECT doc_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) <= 5",
-    "source_filter": "SELECT doc_id, source FROM documents WHERE source = 'jorcor-notes'",
+    "source_filter": "SELECT doc_id, source FROM documents WHERE contains(source, '-notes')",
+    "min_score": f"WITH {_VLEG} SELECT doc_id, round(score, 6) AS score FROM vhits WHERE score >= 0.2",
+    "bm25_doc_ids": "SELECT doc_id FROM documents",
+    "bm25_lookups": f"WITH {_IDX}, i AS (SELECT DISTINCT doc_id FROM subject_labels), t AS (SELECT unnest({_QT}) AS term) SELECT i.doc_id, t.term, coalesce(tf, 0)::INT AS tf, coalesce(dl, 0)::INT AS doc_length FROM i CROSS JOIN t LEFT JOIN post ON post.doc_id = i.doc_id AND post.term = t.term LEFT JOIN stats ON stats.doc_id = i.doc_id",
+    "payload_text": "SELECT event_id, json_extract_string(props, '$.k') AS k, 'a b' AS x0, '12' AS x1, 'true' AS x2, NULL AS x3, NULL AS x4, NULL AS x5 FROM events",
+    "embed_documents": "SELECT doc_id, CASE WHEN text IS NOT NULL THEN list_transform(range(1, 5), lambda i: round(((coalesce(list_sum(list_transform(range(1, strlen(text) + 1), lambda k: ('0x' || substr(hex(encode(text)), 2 * k - 1, 2))::BIGINT)), 0)::BIGINT * i) % 1000) / 1000.0, 3)) END AS v FROM documents",
+    "results_json": f"WITH {_IDX}, {_bm25_sql(3)} SELECT to_json(struct_pack(results := list(struct_pack(id := doc_id::VARCHAR, score := round(score, 4), text := coalesce(text, ''), citation := source, source := source) ORDER BY score DESC)))::VARCHAR AS json FROM hits JOIN documents USING (doc_id)",
+    "results_text": f"WITH {_IDX}, {_bm25_sql(5)}, x AS (SELECT doc_id, score, source, row_number() OVER (ORDER BY score DESC, doc_id) AS r, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\s\\x{{0b}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+'), lambda w: w <> '') AS w FROM hits JOIN documents USING (doc_id)) SELECT doc_id, list_concat(list_concat([r || '. ' || source || ' (' || printf('%.4f', score) || ')'], CASE WHEN len(w) = 0 THEN []::VARCHAR[] ELSE string_split(list_reduce(w, lambda a, b: CASE WHEN strlen(split_part(a, chr(10), -1)) + strlen(b) + 1 <= 100 THEN a || ' ' || b ELSE a || chr(10) || b END), chr(10)) END), ['----------------------------------------']) AS lines FROM x",
     "citation_labels": f"SELECT DISTINCT source_path, coalesce(nullif(CASE WHEN regexp_matches({_STEM}, '^.+\\.[^.]*$') THEN regexp_extract({_STEM}, '^(.+)\\.[^.]*$', 1) ELSE {_STEM} END, ''), 'unknown') AS citation, coalesce(nullif({_STEM}, ''), 'unknown') AS base, 'src_' || substr(sha256('s' || source_path), 1, 12) AS hashed, 'redacted' AS redacted, {_BYTES('metadata.size_bytes')} AS size FROM source_documents",
     "mock_embed": "SELECT item_id, list_transform(range(1, 5), lambda i: round(((list_sum(list_transform(range(1, strlen(text) + 1), lambda k: ('0x' || substr(hex(encode(text)), 2 * k - 1, 2))::BIGINT))::BIGINT * i) % 1000) / 1000.0, 6)) AS v FROM eval_items",
 }

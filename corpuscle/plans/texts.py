@@ -7,23 +7,19 @@ from pyspark.sql import functions as F
 from corpuscle.functions import classify as C
 from corpuscle.functions import lang as L
 from corpuscle.functions import text as T
-from corpuscle.operators import chunking, commits
+from corpuscle.operators import chunking, commits, history
 from corpuscle.session import table
 
-#: Fixture: a two-file diff and one with two hunks.
-DIFFS = (
-    ("c1", "fix: handle empty input", "diff --git a/src/main.rs b/src/main.rs\nindex 1..2 100644\n--- a/src/main.rs\n+++ b/src/main.rs\n@@ -1,3 +1,4 @@\n fn main() {\n+    run();\n }\ndiff --git a/README.md b/README.md\nindex 3..4 100644\n--- a/README.md\n+++ b/README.md\n@@ -1 +1 @@\n-old\n+new\n"),
-    ("c2", "update the parser", "diff --git a/lib/p.py b/lib/p.py\n--- a/lib/p.py\n+++ b/lib/p.py\n@@ -1,3 +1,4 @@\n a\n+b\n@@ -10,2 +11,3 @@\n c\n-d\n"),
-    ("c3", "empty commit", ""),
-)
+COMMIT_QUERY = "parser index build"
 
 
 def _docs(spark, d):
     return table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _diffs(spark):
-    return spark.createDataFrame(list(DIFFS), "id string, message string, diff_text string")
+def _diffs(spark, d):
+    """The corpus's commit messages with their diffs."""
+    return commits.split_message(table(spark, d, "documents"), "doc_id", "text").where("diff_text <> ''")
 
 
 def chunk_words(spark, d):
@@ -76,7 +72,7 @@ def sentence_stats(spark, d):
 
 
 def sentences_unicode(spark, d):
-    return _docs(spark, d).select("doc_id", F.size(T.sentences("text")).alias("n"))
+    return _docs(spark, d).select("doc_id", F.posexplode(T.sentences("text")).alias("i", "sentence"))
 
 
 def wrap_text(spark, d):
@@ -104,7 +100,7 @@ def format_detect(spark, d):
 def extension_preset(spark, d):
     from corpuscle.functions.display import extension
 
-    return table(spark, d, "source_documents").select("source_path").distinct().where(extension("source_path").isin(L.expand_extensions(["docs", "rs"])))
+    return table(spark, d, "source_documents").select("source_path").distinct().where(extension("source_path").isin(L.expand_extensions(["code", "docs", "PDF"])))
 
 
 def excluded_paths(spark, d):
@@ -117,27 +113,27 @@ def classify_messages(spark, d):
 
 
 def diff_files(spark, d):
-    return commits.file_diffs(_diffs(spark), "id", "diff_text")
+    return commits.file_diffs(_diffs(spark, d), "id", "diff_text")
 
 
 def diff_hunks(spark, d):
-    return commits.hunks(_diffs(spark), "id", "diff_text").select("id", "file_path", "hunk_pos", "header", "content")
+    return commits.hunks(_diffs(spark, d), "id", "diff_text").select("id", "file_path", "hunk_pos", "header", "content")
 
 
 def commit_chunks_by_file(spark, d):
-    return commits.chunks(_diffs(spark), "file")
+    return commits.chunks(_diffs(spark, d), "file")
 
 
 def commit_chunks_by_hunk(spark, d):
-    return commits.chunks(_diffs(spark), "hunk")
+    return commits.chunks(_diffs(spark, d), "hunk")
 
 
 def commit_chunks_message(spark, d):
-    return commits.chunks(_diffs(spark), "message")
+    return commits.chunks(_diffs(spark, d), "message")
 
 
 def commit_chunks_window(spark, d):
-    return commits.chunks(_diffs(spark), "window", 20, 5)
+    return commits.chunks(_diffs(spark, d), "window", 20, 5)
 
 
 def _commits(spark, d):
@@ -154,6 +150,66 @@ def commit_summary(spark, d):
     return cm.join(s, "hash").select("hash", commits.summary(F.col("type"), F.col("f"), F.col("i"), F.col("x")).alias("content"))
 
 
+def commit_diff_stats(spark, d):
+    s = commits.diff_stats(_diffs(spark, d))
+    return s.select("id", "files_changed", "insertions", "deletions", F.array_join("file_paths", ",").alias("paths"), F.array_join("languages", ",").alias("languages"))
+
+
+def commit_chunks_summary(spark, d):
+    c = _diffs(spark, d)
+    return commits.chunks(c.join(commits.diff_stats(c), "id"), "summary")
+
+
+def _history(spark, d):
+    """The corpus's commit messages as commits of the repositories that their source names."""
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("/srv/git/"), F.coalesce("source", F.lit("none"))).alias("repository_path"), F.concat(F.lit("dev"), (F.col("doc_id") % 7).cast("string")).alias("author_name"), F.concat(F.lit("dev"), (F.col("doc_id") % 7).cast("string"), F.lit("@x.org")).alias("author_email"), F.col("loaded_at").alias("commit_time"))
+    return _diffs(spark, d).join(t, "id").withColumn("id", F.sha2(F.col("id").cast("string"), 256))
+
+
+def commit_payload(spark, d):
+    """The points of the corpus's commits, without their vectors."""
+    p = history.points(_history(spark, d), "summary")
+    return p.select(*[c for c in history.PAYLOAD if c not in ("file_paths", "text")], F.array_join("file_paths", ", ").alias("file_paths"), F.col("text"))
+
+
+def commit_type_filter(spark, d):
+    return history.points(_history(spark, d), "message").where(history.condition(kind=" FIX ", author="dev3@x.org")).select("commit_hash", "classification")
+
+
+def commit_search(spark, d):
+    p = history.points(_history(spark, d), "message")
+    return history.search(p, COMMIT_QUERY, 10, history.condition(kind="docs")).select(F.col("metadata")["commit_hash"].alias("commit_hash"), F.round("score", 6).alias("score"))
+
+
+def commit_metadata(spark, d):
+    p = history.points(_history(spark, d), "message")
+    return p.select("id", F.explode(history.metadata()).alias("key", "value"))
+
+
+def commit_text(spark, d):
+    p = history.points(_history(spark, d), "message")
+    return history.as_text(history.search(p, COMMIT_QUERY, 5)).select(F.array_join(F.slice("lines", 3, 100), "\n").alias("shown"))
+
+
+def developer_order(spark, d):
+    s = commits.by_commits(commits.developer_stats(*_commits(spark, d))).limit(20)
+    return s.select("email", "commit_count")
+
+
+def file_commits(spark, d):
+    f = commits.file_commits(*_commits(spark, d))
+    return f.select("path", F.array_join("hashes", ",").alias("hashes"), F.array_join("contributors", ",").alias("contributors"))
+
+
+def rfc3339_times(spark, d):
+    from corpuscle.operators.state import rfc3339
+
+    t = F.date_format("loaded_at", "yyyy-MM-dd'T'HH:mm:ss")
+    k = F.col("doc_id") % 4
+    raw = F.when(k == 0, F.concat(t, F.lit("Z"))).when(k == 1, F.concat(t, F.lit(".25+02:00"))).when(k == 2, t).otherwise(F.col("source"))
+    return table(spark, d, "documents").select("doc_id", rfc3339(raw).alias("at"))
+
+
 def developer_stats(spark, d):
     return commits.developer_stats(*_commits(spark, d))
 
@@ -213,7 +269,34 @@ _CONV = f"nullif(regexp_extract(split_part(text, chr(10), 1), '^({'|'.join(C.TYP
 _EXCL = "|".join(x.replace(".", "\\.") for x in L.EXCLUDED)
 _NAMES = ", ".join(f"'{x}'" for x in L.EXCLUDED)
 
-QUERIES = {f.__name__: f for f in (chunk_words, chunk_stats, chunk_bytes, chunk_sentences, window_commit_style, token_counts, estimate_tokens, truncate_tokens, normalize_text, collapse_ws, strip_nonprintable, sentence_stats, sentences_unicode, wrap_text, sha256_dups, line_counts, ext_language, format_detect, extension_preset, excluded_paths, classify_messages, diff_files, diff_hunks, commit_chunks_by_file, commit_chunks_by_hunk, commit_chunks_message, commit_chunks_window, commit_summary, developer_stats, developer_types, file_evolution, file_history, commit_range, max_commits_per_repo)}
+_TRIM = "trim({c}, ' ' || chr(9) || chr(13) || chr(10))"
+_LFOFF = "CASE WHEN suffix({c}, chr(10)) THEN left({c}, length({c}) - 1) ELSE {c} END"
+_DIFF = f"""sp AS (SELECT doc_id AS id, text, regexp_split_to_array(text, '(?m)^diff --git ') AS p FROM documents WHERE text IS NOT NULL),
+cm AS (SELECT id, {_TRIM.format(c='p[1]')} AS message, substr(text, length(p[1]) + 1) AS diff_text, p FROM sp WHERE len(p) > 1),
+pa AS (SELECT id, pos::INT AS pos, {_LFOFF.format(c="('diff --git ' || p[pos + 2])")} AS part FROM (SELECT id, p, unnest(range(0, len(p) - 1)) AS pos FROM cm)),
+pb AS (SELECT id, pos, part, regexp_split_to_array(part, '(?m)^@@') AS h, split_part(part, chr(10), 1) AS line FROM pa),
+df AS (SELECT id, pos, coalesce(string_split(line, ' b/')[2], nullif(regexp_extract(string_split(line, ' a/')[2], '^\\s*(\\S+)', 1), ''), 'unknown') AS file_path,
+  CASE WHEN len(h) > 1 THEN {_LFOFF.format(c='h[1]')} ELSE part END AS header, CASE WHEN len(h) > 1 THEN '@@' || array_to_string(h[2:], '@@') || chr(10) ELSE '' END AS content FROM pb),
+hp AS (SELECT id, pos AS file_pos, file_path, i::INT AS hunk_pos, '@@' || h[i + 2] AS part FROM (SELECT *, unnest(range(0, len(h) - 1)) AS i FROM (SELECT id, pos, file_path, regexp_split_to_array(content, '(?m)^@@') AS h FROM df WHERE content <> ''))),
+hl AS (SELECT *, list_filter(string_split(part, chr(10))[2:], lambda l: left(l, 1) IN ('+', '-', ' ', chr(92))) AS lines FROM hp),
+hk AS (SELECT id, file_pos, file_path, hunk_pos, split_part(part, chr(10), 1) AS header, CASE WHEN len(lines) > 0 THEN array_to_string(lines, chr(10)) || chr(10) ELSE '' END AS content, lines FROM hl)"""
+_DSTAT = f"""dp AS (SELECT id, count(DISTINCT file_path)::INT AS files_changed, list_sort(list(DISTINCT file_path)) AS paths, list_sort(list(DISTINCT lang) FILTER (lang IS NOT NULL)) AS langs FROM (SELECT id, file_path, {_lookup(0).replace('source_path', 'file_path')} AS lang FROM df) GROUP BY 1),
+dl AS (SELECT id, sum(len(list_filter(lines, lambda l: left(l, 1) = '+')))::BIGINT AS insertions, sum(len(list_filter(lines, lambda l: left(l, 1) = '-')))::BIGINT AS deletions FROM hk GROUP BY 1),
+ds AS (SELECT cm.id, coalesce(files_changed, 0) AS files_changed, coalesce(insertions, 0) AS insertions, coalesce(deletions, 0) AS deletions, paths, coalesce(langs, []) AS langs FROM cm LEFT JOIN dp USING (id) LEFT JOIN dl USING (id))"""
+_SUMM = "message || chr(10) || chr(10) || 'Files changed: ' || files_changed || ', Insertions: ' || insertions || ', Deletions: ' || deletions"
+_MSG = "SELECT id, 0 AS chunk_index, 'message' AS chunk_type, NULL::VARCHAR AS file_path, {c} AS content FROM cm"
+_CHUNKS = f"SELECT id, chunk_index, (count(*) OVER (PARTITION BY id))::INT AS total_chunks, chunk_type, file_path, {_lookup(0).replace('source_path', 'file_path')} AS language, content, floor(len({_words('content')})::FLOAT * 1.3::FLOAT)::INT AS tokens FROM rows WHERE chunk_type = 'message' OR content <> ''"
+_ITOK = r"list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\p{{L}}\p{{N}}]+'), lambda t: strlen(t) > 1)"
+_CLS = f"coalesce({_CONV}, {_KW})".replace("text", "message")
+_HIST = f"""hi AS (SELECT cm.id, message, sha256(cm.id::VARCHAR) AS commit_hash, '/srv/git/' || coalesce(source, 'none') AS repository_path, coalesce(source, 'none') AS repository_name, 'dev' || cm.id % 7 AS author_name, 'dev' || cm.id % 7 || '@x.org' AS author_email, loaded_at AS commit_time, {_CLS} AS classification FROM cm JOIN documents ON doc_id = cm.id)"""
+
+
+def _short(c: str, tokens: int) -> str:
+    n = T.words_for(tokens)
+    return f"CASE WHEN len({_words(c)}) > {n} THEN array_to_string({_words(c)}[1:{n}], ' ') || '...' ELSE {c} END"
+
+
+QUERIES = {f.__name__: f for f in (chunk_words, chunk_stats, chunk_bytes, chunk_sentences, window_commit_style, token_counts, estimate_tokens, truncate_tokens, normalize_text, collapse_ws, strip_nonprintable, sentence_stats, sentences_unicode, wrap_text, sha256_dups, line_counts, ext_language, format_detect, extension_preset, excluded_paths, classify_messages, diff_files, diff_hunks, commit_chunks_by_file, commit_chunks_by_hunk, commit_chunks_message, commit_chunks_window, commit_summary, commit_diff_stats, commit_chunks_summary, commit_payload, commit_type_filter, commit_search, commit_metadata, commit_text, developer_order, file_commits, rfc3339_times, developer_stats, developer_types, file_evolution, file_history, commit_range, max_commits_per_repo)}
 SQL = {
     "chunk_words": f"WITH {_D}, src AS (SELECT doc_id AS id, {_words('text')} AS w FROM docs), {_windows('src', 512, 128)} SELECT id AS doc_id, i AS chunk_index, k AS total_chunks, len(c)::INT AS tokens, array_to_string(c, ' ') AS content FROM win",
     "chunk_stats": f"WITH src AS (SELECT id, {_words('content')} AS w FROM (SELECT DISTINCT id, content FROM source_documents)), {_windows('src', 100, 20)} SELECT id AS document_id, count(*) AS n, sum(len(c))::BIGINT AS tokens FROM win GROUP BY id",
@@ -230,12 +313,30 @@ SQL = {
     "line_counts": "SELECT id, (length(content) - length(replace(content, chr(10), '')) + CASE WHEN content = '' OR suffix(content, chr(10)) THEN 0 ELSE 1 END)::INT AS lines FROM (SELECT DISTINCT id, content FROM source_documents)",
     "ext_language": f"SELECT source_path, {_lookup(0)} AS lang, {_lookup(2)} AS category, coalesce({_lookup(2)} IN ('programming', 'shell', 'query'), false) AS is_code FROM (SELECT DISTINCT source_path FROM source_documents)",
     "format_detect": f"SELECT {_FMT.format(e=_EXT)} AS format, count(*) AS n FROM (SELECT DISTINCT source_path FROM source_documents) GROUP BY 1",
-    "extension_preset": f"SELECT DISTINCT source_path FROM source_documents WHERE {_EXT} IN ('md', 'txt', 'rst', 'adoc', 'rs')",
+    "extension_preset": f"SELECT DISTINCT source_path FROM source_documents WHERE {_EXT} IN ({', '.join(repr(x) for x in (L.CODE_PRESET + ' ' + L.DOCS_PRESET + ' pdf').split())})",
     "excluded_paths": f"SELECT DISTINCT source_path FROM scan_entries WHERE regexp_matches(source_path, '/(?:{_EXCL})/') OR regexp_extract(source_path, '[^/]*$') IN ({_NAMES})",
     "classify_messages": f"SELECT doc_id, coalesce({_CONV}, {_KW}) AS type, {_CONV} AS conventional FROM documents WHERE text IS NOT NULL",
-    "diff_files": "SELECT * FROM (VALUES ('c1', 0, 'src/main.rs', 'diff --git a/src/main.rs b/src/main.rs' || chr(10) || 'index 1..2 100644' || chr(10) || '--- a/src/main.rs' || chr(10) || '+++ b/src/main.rs', '@@ -1,3 +1,4 @@' || chr(10) || ' fn main() {' || chr(10) || '+    run();' || chr(10) || ' }' || chr(10)), ('c1', 1, 'README.md', 'diff --git a/README.md b/README.md' || chr(10) || 'index 3..4 100644' || chr(10) || '--- a/README.md' || chr(10) || '+++ b/README.md', '@@ -1 +1 @@' || chr(10) || '-old' || chr(10) || '+new' || chr(10)), ('c2', 0, 'lib/p.py', 'diff --git a/lib/p.py b/lib/p.py' || chr(10) || '--- a/lib/p.py' || chr(10) || '+++ b/lib/p.py', '@@ -1,3 +1,4 @@' || chr(10) || ' a' || chr(10) || '+b' || chr(10) || '@@ -10,2 +11,3 @@' || chr(10) || ' c' || chr(10) || '-d' || chr(10))) t(id, pos, file_path, header, content)",
-    "diff_hunks": "SELECT * FROM (VALUES ('c1', 'src/main.rs', 0, '@@ -1,3 +1,4 @@', ' fn main() {' || chr(10) || '+    run();' || chr(10) || ' }' || chr(10)), ('c1', 'README.md', 0, '@@ -1 +1 @@', '-old' || chr(10) || '+new' || chr(10)), ('c2', 'lib/p.py', 0, '@@ -1,3 +1,4 @@', ' a' || chr(10) || '+b' || chr(10)), ('c2', 'lib/p.py', 1, '@@ -10,2 +11,3 @@', ' c' || chr(10) || '-d' || chr(10))) t(id, file_path, hunk_pos, header, content)",
-    "commit_chunks_message": "SELECT * FROM (VALUES ('c1', 0, 1, 'message', NULL, NULL, 'fix: handle empty input', 5), ('c2', 0, 1, 'message', NULL, NULL, 'update the parser', 3), ('c3', 0, 1, 'message', NULL, NULL, 'empty commit', 2)) t(id, chunk_index, total_chunks, chunk_type, file_path, language, content, tokens)",
+    "diff_files": f"WITH {_DIFF} SELECT id, pos, file_path, header, content FROM df",
+    "diff_hunks": f"WITH {_DIFF} SELECT id, file_path, hunk_pos, header, content FROM hk",
+    "commit_chunks_message": f"WITH {_DIFF}, rows AS ({_MSG.format(c='message')}) {_CHUNKS}",
+    "commit_chunks_summary": f"WITH {_DIFF}, {_DSTAT}, rows AS (SELECT id, 0 AS chunk_index, 'message' AS chunk_type, NULL::VARCHAR AS file_path, {_SUMM} AS content FROM cm JOIN ds USING (id)) {_CHUNKS}",
+    "commit_chunks_by_file": f"WITH {_DIFF}, rows AS ({_MSG.format(c='message')} UNION ALL SELECT id, pos + 1, 'diff_content', file_path, {_short('x', 512)} FROM (SELECT *, 'File: ' || file_path || chr(10) || header || chr(10) || content AS x FROM df)) {_CHUNKS}",
+    "commit_chunks_by_hunk": f"WITH {_DIFF}, rows AS ({_MSG.format(c='message')} UNION ALL SELECT id, (row_number() OVER (PARTITION BY id ORDER BY file_pos, hunk_pos))::INT, 'diff_content', file_path, {_short('x', 512)} FROM (SELECT *, 'File: ' || file_path || chr(10) || header || chr(10) || content AS x FROM hk)) {_CHUNKS}",
+    "commit_chunks_window": f"WITH {_DIFF}, ww AS (SELECT id, w, unnest(range(0, len(w), 12)) AS s FROM (SELECT id, {_words('diff_text')} AS w FROM cm)), rows AS ({_MSG.format(c='message')} UNION ALL SELECT id, (s // 12 + 1)::INT, 'diff_content', NULL, array_to_string(w[s + 1 : s + 15], ' ') FROM ww WHERE s = 0 OR len(w) - s >= 6) {_CHUNKS}",
+    "commit_diff_stats": f"WITH {_DIFF}, {_DSTAT} SELECT id, files_changed, insertions, deletions, array_to_string(paths, ',') AS paths, array_to_string(langs, ',') AS languages FROM ds",
+    "commit_payload": f"WITH {_DIFF}, {_DSTAT}, {_HIST} SELECT commit_hash, repository_name, repository_path, 'message' AS chunk_type, 0 AS chunk_index, 1 AS total_chunks, author_name, author_email, author_name AS committer_name, author_email AS committer_email, commit_time, classification, files_changed AS files_changed_count, insertions, deletions, array_to_string(paths, ', ') AS file_paths, {_SUMM} AS text FROM hi JOIN ds USING (id)",
+    "commit_type_filter": f"WITH {_DIFF}, {_HIST} SELECT commit_hash, classification FROM hi WHERE classification = 'fix' AND author_email = 'dev3@x.org'",
+    "commit_search": f"""WITH {_DIFF}, {_HIST}, tok AS (SELECT commit_hash, sha256(repository_path || '#' || commit_hash || '#0') AS id, classification, {_ITOK.format(c='message')} AS t FROM hi),
+stats AS (SELECT id, len(t) AS dl FROM tok), post AS (SELECT term, id, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM tok) GROUP BY 1, 2), co AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM stats),
+q AS (SELECT term, count(*) AS qtf FROM (SELECT unnest({_ITOK.format(c="'" + COMMIT_QUERY + "'")}) AS term) GROUP BY 1), dfr AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+h AS (SELECT id, sum(q.qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM post JOIN q USING (term) JOIN dfr USING (term) JOIN stats USING (id) CROSS JOIN co GROUP BY id)
+SELECT commit_hash, round(score, 6) AS score FROM h JOIN tok USING (id) WHERE classification = 'docs' QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC, id) <= 10""",
+    "commit_metadata": f"""WITH {_DIFF}, {_DSTAT}, {_HIST}, x AS (SELECT hi.*, sha256(repository_path || '#' || commit_hash || '#0') AS pid, insertions, deletions, array_to_string(paths, ', ') AS fp FROM hi JOIN ds USING (id))
+SELECT pid AS id, k.key, k.value FROM (SELECT pid, unnest([struct_pack(key := 'commit_hash', value := commit_hash), struct_pack(key := 'author_name', value := author_name), struct_pack(key := 'author_email', value := author_email), struct_pack(key := 'commit_time', value := strftime(timezone('UTC', commit_time), '%Y-%m-%dT%H:%M:%SZ')), struct_pack(key := 'classification', value := classification), struct_pack(key := 'insertions', value := insertions::VARCHAR), struct_pack(key := 'deletions', value := deletions::VARCHAR), struct_pack(key := 'repository_name', value := repository_name), struct_pack(key := 'file_paths', value := nullif(fp, ''))]) AS k FROM x) WHERE k.value IS NOT NULL""",
+    "developer_order": f"WITH {_CM} SELECT email, count(*) AS commit_count FROM cm GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
+    "file_commits": f"WITH {_CM}, j AS (SELECT DISTINCT path, hash, email, name, time FROM ch JOIN cm USING (hash)) SELECT path, array_to_string(list(hash ORDER BY time DESC, hash DESC), ',') AS hashes, array_to_string(list_sort(list(DISTINCT name || ' <' || email || '>')), ',') AS contributors FROM j GROUP BY 1",
+    "rfc3339_times": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN date_trunc('second', loaded_at) WHEN 1 THEN date_trunc('second', loaded_at) + INTERVAL 250 MILLISECOND - INTERVAL 2 HOUR END AS at FROM documents",
+    "wrap_text": f"SELECT item_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] ELSE string_split(list_reduce(w, lambda acc, x: CASE WHEN strlen(split_part(acc, chr(10), -1)) + strlen(x) + 1 <= 60 THEN acc || ' ' || x ELSE acc || chr(10) || x END), chr(10)) END AS lines FROM (SELECT item_id, {_words('text')} AS w FROM eval_items)",
     "commit_summary": f"WITH {_CM}, s AS (SELECT hash, count(DISTINCT path) AS f, sum(insertions)::BIGINT AS i, sum(deletions)::BIGINT AS x FROM ch GROUP BY 1) SELECT hash, type || chr(10) || chr(10) || 'Files changed: ' || f || ', Insertions: ' || i || ', Deletions: ' || x AS content FROM cm JOIN s USING (hash)",
     "developer_stats": f"WITH {_CM}, p AS (SELECT hash, sum(insertions) AS i, sum(deletions) AS x FROM ch GROUP BY 1), b AS (SELECT email, arg_max(name, (time, hash)) AS name, count(*) AS commit_count, coalesce(sum(i), 0)::BIGINT AS insertions, coalesce(sum(x), 0)::BIGINT AS deletions, min(time) AS first_commit, max(time) AS last_commit FROM cm LEFT JOIN p USING (hash) GROUP BY 1), f AS (SELECT email, count(DISTINCT path) AS n FROM ch JOIN cm USING (hash) GROUP BY 1) SELECT b.*, coalesce(f.n, 0) AS files_modified FROM b LEFT JOIN f USING (email)",
     "developer_types": f"WITH {_CM} SELECT email, type, count(*) AS n FROM cm GROUP BY 1, 2",

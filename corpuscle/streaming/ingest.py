@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -39,13 +37,41 @@ def windowed_counts(events: DataFrame, time: str, key: str, value: str, width: s
     return e.withWatermark("__t", late).groupBy(F.window("__t", width).alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(key, F.col("w.start").alias("start"), "n", "total")
 
 
-def latest_by_key(events: DataFrame, key: str, order: str, out: str) -> Callable[[], None]:
-    """Keep the newest row of each key in ``out`` while events stream in; the stored rows carry the batch that wrote them."""
+KEEP = 16
+
+
+def latest_by_key(events: DataFrame, key: str, order: str, out: str):
+    """Keep the newest row of each key below ``out`` while events stream in.
+
+    A batch writes its own newest rows only; every ``KEEP`` batches the earlier ones are taken over, so reading costs a
+    bounded number of versions. A repeated batch overwrites its own folder.
+    """
     spark = events.sparkSession
 
     def write(batch: DataFrame, n: int) -> None:
-        prev = spark.read.parquet(f"{out}/v-{n - 1}") if n else batch.limit(0)
-        both = prev.unionByName(batch)
-        both.groupBy(key).agg(F.max(F.struct(order, *[c for c in batch.columns if c not in (key, order)])).alias("s")).select(key, "s.*").select(*batch.columns).write.mode("overwrite").parquet(f"{out}/v-{n}")
+        rows = batch
+        if n and n % KEEP == 0:
+            rows = rows.unionByName(_read_batches(spark, out, range(max(0, n - KEEP), n)).select(*batch.columns))
+        newest_by(rows, key, order).withColumn("__batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/batches/b-{n}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+
+
+def newest_by(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The newest row of each key; ties by the other columns."""
+    rest = [c for c in rows.columns if c not in (key, order)]
+    return rows.groupBy(key).agg(F.max(F.struct(order, *rest)).alias("s")).select(key, "s.*").select(*rows.columns)
+
+
+def _read_batches(spark: SparkSession, out: str, numbers) -> DataFrame:
+    return spark.read.parquet(*[f"{out}/batches/b-{n}" for n in numbers])
+
 
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start
+def read_latest(spark: SparkSession, out: str, key: str | None = None, order: str | None = None) -> DataFrame:
+    """What ``latest_by_key`` keeps: the newest row of each key since the last take-over. Key and order are the first two columns unless given."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/batches")
+    fs = file.getFileSystem(spark._jsc.hadoopConfiguration())
+    have = sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(file) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+    first = max((n for n in have if n % KEEP == 0), default=0)
+    rows = _read_batches(spark, out, [n for n in have if n >= first]).drop("__batch")
+    return newest_by(rows, key or rows.columns[0], order or rows.columns[1])

@@ -155,7 +155,6 @@ def test_config():
 
 
 def test_commit_chunks(spark):
-    from corpuscle.plans.texts import DIFFS
 
     c = spark.createDataFrame(list(DIFFS), "id string, message string, diff_text string")
     f = commits.chunks(c, "file").orderBy("id", "chunk_index").collect()
@@ -195,10 +194,53 @@ def test_state_store(spark, tmp_path):
     assert sorted(map(tuple, s.read().collect())) == [("a", 1), ("b", 3)]
     s.remove(spark.createDataFrame([("a",)], "k string"))
     assert s.read().count() == 1
+    for v in range(2 * state.StateStore.KEEP):
+        s.upsert(spark.createDataFrame([("c", v), ("c", v - 1)], "k string, v int"))
+        assert len(s.versions()) <= state.StateStore.KEEP + 1
+    assert sorted(map(tuple, s.read().collect())) == [("b", 3), ("c", v)]
     s.reset()
     assert s.version() == 0
 
 
+def test_state_transitions(spark):
+    at = F.lit("2026-01-05").cast("timestamp")
+    new = spark.createDataFrame([("a", "h", 1, None), ("b", "h", 2, None)], "source_path string, file_hash string, file_size_bytes bigint, modified_at timestamp")
+    none = spark.createDataFrame([], "source_path string, file_hash string, file_size_bytes bigint, modified_at timestamp, processed_at timestamp, chunk_count int, status string, error string")
+    failures = spark.createDataFrame([("a", "old"), ("z", "old")], "source_path string, reason string")
+    s = state.mark_processing(none, new, at)
+    assert {r.status for r in s.collect()} == {"processing"} and not state.is_processed(new, s).where("processed").count()
+    s, f = state.mark_complete(s, failures, spark.createDataFrame([("a", 3), ("q", 1)], "source_path string, chunk_count int"), at)
+    s = state.mark_failed(s, spark.createDataFrame([("b", "boom"), ("q", "x")], "source_path string, error string"), at)
+    assert sorted((r.source_path, r.status, r.chunk_count, r.error) for r in s.collect()) == [("a", "completed", 3, None), ("b", "failed", 0, "boom")]
+    assert [r.source_path for r in f.collect()] == ["z"] and [r.processed for r in state.is_processed(new, s).orderBy("source_path").collect()] == [True, False]
+    f = state.record_failure(f, spark.createDataFrame([("z", "new"), ("b", "boom")], "source_path string, reason string"))
+    assert sorted(map(tuple, f.collect())) == [("b", "boom"), ("z", "new")]
+    s, f = state.removed(s, f, spark.createDataFrame([("b",)], "source_path string"))
+    assert s.count() == 1 and f.count() == 1
+
+
+def test_upsert_gives_states_and_failures(spark):
+    from corpuscle.operators import sync
+
+    files = spark.createDataFrame([("a", "h", 1, None), ("b", "h", 2, None)], "source_path string, file_hash string, file_size_bytes bigint, modified_at timestamp")
+    points = spark.createDataFrame([("p1", "a"), ("p2", "a")], "id string, source string")
+    tries = []
+
+    def flaky(_):
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("away")
+
+    s, f = sync.upsert(points, files, flaky, wait=0.001)
+    assert len(tries) == 3 and f.count() == 0 and sorted((r.source_path, r.chunk_count, r.status) for r in s.collect()) == [("a", 2, "completed"), ("b", 0, "completed")]
+
+    def broken(_):
+        raise OSError("gone")
+
+    s, f = sync.upsert(points, files, broken, attempts=2, wait=0.001)
+    assert {r.status for r in s.collect()} == {"failed"} and {(r.source_path, r.reason) for r in f.collect()} == {("a", "gone"), ("b", "gone")}
+
+
 def test_scan_store(spark, tmp_path):
     from datetime import datetime
 
@@ -206,10 +248,12 @@ def test_scan_store(spark, tmp_path):
     f = lambda *r: spark.createDataFrame(list(r), "source_path string, file_size_bytes bigint, modified_at timestamp")
     assert s.start("x", "r1") == "r1"
     s.record("x", f(("/path/a", 10, datetime(2026, 1, 1)), ("/path/b", 5, None)))
-    assert (s.run("x").files_seen, s.run("x").bytes_seen) == (2, 15)
-    assert s.start("x", "r2") == "r1"
+    assert s.count("x") == (2, 15) and (s.run("x").files_seen, s.run("x").bytes_seen) == (2, 15)
+    assert s.start("x", "r2") == "r1" and s.reusable("x") is None
     s.finish("x")
+    assert s.start("x", "r2", reuse=True) == "r1" and s.reusable("x").count() == 2  # asked for, a complete scan stands for a walk
     assert s.start("x", "r2") == "r2" and s.run("x").files_seen == 0
+    assert state.new_run_id(12.5) == "scan-12-500000000"
 
 
 def test_schema(spark):
@@ -227,6 +271,51 @@ def test_schema(spark):
     assert schema.with_retry(lambda _: next(answers), "p") == "CREATE TABLE a (b int);"
 
 
+def test_schema_generation(spark, tmp_path):
+    d = spark.createDataFrame([('{"a.b":{"x":1},"url":"u","created":"t","[]":2}',)], "j string")
+    p = schema.infer(d, "j")
+    assert {r.path for r in p.collect()} == {"", '"a.b"', '"a.b".x', "url", "created", '"[]"'}
+    js = schema.to_json_schema(p)
+    assert set(js["properties"]) == {"a.b", "url", "created", "[]"} and js["properties"]["a.b"]["properties"]["x"]["type"] == "number"
+    prompt = schema.ddl_prompt(js, schema.hints_of(p))
+    assert "created" in prompt and '"properties"' in prompt
+    files = schema.generate(d, "j", str(tmp_path), "t", describe=True)
+    assert '"a.b" JSONB' in open(files["ddl"]).read() and "A point in time" in open(files["schema"]).read()
+    assert schema.enhanced(js, {"timestamps": [], "folders": []}, lambda _: '{"x": 1}') == {"x": 1}
+    with pytest.raises(SchemaError):
+        schema.enhanced(js, {"timestamps": [], "folders": []}, lambda _: "no")
+    assert [schema.backend(e) for e in ({}, {"LLM_BACKEND": "Claude"}, {"OPENAI_API_KEY": "k"}, {"LLM_BACKEND": "x"})] == ["placeholder", "anthropic", "openai", "placeholder"]
+
+
+DIFFS = (
+    ("c1", "fix: handle empty input", "diff --git a/src/main.rs b/src/main.rs\nindex 1..2 100644\n--- a/src/main.rs\n+++ b/src/main.rs\n@@ -1,3 +1,4 @@\n fn main() {\n+    run();\n }\ndiff --git a/README.md b/README.md\nindex 3..4 100644\n--- a/README.md\n+++ b/README.md\n@@ -1 +1 @@\n-old\n+new\n"),
+    ("c2", "update the parser", "diff --git a/lib/p.py b/lib/p.py\n--- a/lib/p.py\n+++ b/lib/p.py\n@@ -1,3 +1,4 @@\n a\n+b\n@@ -10,2 +11,3 @@\n c\n-d\n"),
+    ("c3", "empty commit", ""),
+)
+
+
+def test_diffs_of_texts(spark):
+    df = spark.createDataFrame([(i, f"{m}\n\n{d}") for i, m, d in DIFFS] + [("n", None)], "id string, t string")
+    c = commits.split_message(df, "id", "t")
+    assert sorted((r.id, r.message, r.diff_text) for r in c.collect()) == sorted(DIFFS)
+    got = {r.id: (r.files_changed, r.insertions, r.deletions, r.file_paths, r.languages) for r in commits.diff_stats(c).collect()}
+    assert got == {"c1": (2, 2, 1, ["README.md", "src/main.rs"], ["markdown", "rust"]), "c2": (1, 1, 1, ["lib/p.py"], ["python"]), "c3": (0, 0, 0, [], [])}
+    f = {(r.id, r.pos): (r.file_path, r.header, r.content) for r in commits.file_diffs(c, "id", "diff_text").collect()}
+    assert f["c1", 1] == ("README.md", "diff --git a/README.md b/README.md\nindex 3..4 100644\n--- a/README.md\n+++ b/README.md", "@@ -1 +1 @@\n-old\n+new\n") and len(f) == 3
+    h = {(r.id, r.hunk_pos): (r.header, r.content) for r in commits.hunks(c.where("id = 'c2'"), "id", "diff_text").collect()}
+    assert h == {("c2", 0): ("@@ -1,3 +1,4 @@", " a\n+b\n"), ("c2", 1): ("@@ -10,2 +11,3 @@", " c\n-d\n")}
+
+
+def test_dag_levels(spark):
+    edges = lambda *e: spark.createDataFrame(list(e), "task string, depends_on string")
+    diamonds = edges(("a0", None), *[(f"{x}{i + 1}", f"{y}{i}") for i in range(12) for x in "ab" for y in "ab"])  # 2**12 paths
+    got = {r.task: r.level for r in dag.levels(diamonds).collect()}
+    assert got["a12"] == 12 and got["b12"] == 12 and got["b0"] == 0
+    with pytest.raises(DagError):
+        dag.levels(edges(("a", "b"), ("b", "a"), ("c", None)))
+    assert dag.levels(edges(("a", None)).limit(0)).count() == 0
+
+
 def test_dag(spark):
     assert dag.plan({"a": [], "b": ["a"], "c": ["a"], "d": ["b", "c"]}) == [["a"], ["b", "c"], ["d"]]
     for bad in ({"a": ["b"], "b": ["a"]}, {"a": ["zzz"]}):
@@ -246,6 +335,113 @@ def test_files(spark, tmp_path):
     assert files.candidates(spark, [str(tmp_path)], ["py"]).count() == 1
 
 
+def test_walk_follows_ignore_files(spark, tmp_path):
+    from corpuscle.sources import files
+
+    for f in ("a.log", "keep.log", "b.txt", ".hidden", "sub/c.log", "sub/build/x.txt", "build/y.txt", "tmp2/z.txt", "node_modules/m.js", "deep/a/b/c/d.md", "docs/x/y/draft.md"):
+        (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f).write_text("x")
+    (tmp_path / ".gitignore").write_text("*.log\n/build\n!keep.log\n# none\ntmp?/\ndocs/**/draft.md\n")
+    (tmp_path / "sub/.gitignore").write_text("!c.log\n")
+    names = lambda **k: {r.source_path[len(str(tmp_path)) + 1 :] for r in files.candidates(spark, [str(tmp_path), str(tmp_path / "none"), str(tmp_path / "b.txt")], **k).collect()}
+    assert names(honor_ignore=True) == {".gitignore", ".hidden", "keep.log", "b.txt", "sub/.gitignore", "sub/c.log", "deep/a/b/c/d.md"}
+    assert "build/y.txt" not in names() and "a.log" in names() and "node_modules/m.js" in names(honor_excluded=False)
+    assert names(extensions=["docs"]) == {"b.txt", "tmp2/z.txt", "deep/a/b/c/d.md", "docs/x/y/draft.md"}
+
+
+def _pdf(pages, extra=b""):
+    import zlib
+
+    out, kids = b"%PDF-1.4\n", b" ".join(b"%d 0 R" % (10 + 2 * k) for k in range(len(pages)))
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [" + kids + b"] /MediaBox [0 0 600 800] >>", 9: b"<< /Title (A \\(b\\)) /Author () /Producer <FEFF00E9> >>", 8: b"<< /Type /Font >>"}
+    for k, p in enumerate(pages):
+        z = zlib.compress(p)
+        objects[10 + 2 * k] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R /Resources << /Font << /F1 8 0 R >> >> >>" % (11 + 2 * k)
+        objects[11 + 2 * k] = b"<< /Length %d /Filter /FlateDecode >>\nstream\n" % len(z) + z + b"\nendstream"
+    return out + b"".join(b"%d 0 obj\n" % n + o + b"\nendobj\n" for n, o in objects.items()) + b"trailer << /Root 1 0 R /Info 9 0 R " + extra + b">>\n%%EOF"
+
+
+def test_pdf_files(spark, tmp_path):
+    from corpuscle.sources import files, pdf
+
+    (tmp_path / "a.pdf").write_bytes(_pdf([b"BT /F1 12 Tf 72 700 Td (Hello \\(world\\)) Tj 0 -14 Td [(sec) -20 (ond) -300 (line)] TJ ET", b"BT /F1 9 Tf <4F6E65> Tj T* (two) ' ET"]))
+    (tmp_path / "b.pdf").write_bytes(b"nothing")
+    (tmp_path / "c.pdf").write_bytes(_pdf([b""], b"/Encrypt 7 0 R "))
+    got = {r.source_path[-5:]: r for r in files.load(spark, [str(tmp_path)]).collect()}
+    assert got["a.pdf"].content == "Hello (world)\nsecond line\n\nOne\ntwo" and got["a.pdf"].metadata.pdf_metadata.title == "A (b)" and got["a.pdf"].metadata.pdf_metadata.author is None and got["a.pdf"].metadata.pdf_metadata.producer == "é"
+    assert (got["b.pdf"].error, got["c.pdf"].error) == ("no PDF file", "encrypted")
+    raw = spark.createDataFrame([("a", bytearray((tmp_path / "a.pdf").read_bytes()))], "path string, content binary")
+    p = pdf.pages(raw)
+    l = files.page_lines(p, "source_path", "page_number", "text", "page_height").orderBy("page_number", "line_no").collect()
+    assert [(x.page_number, x.text, x.y) for x in l] == [(1, "Hello (world)", 800.0), (1, "second line", 785.0), (2, "One", 800.0), (2, "two", 785.0)]
+    image = p.withColumn("image", F.lit(b"img"))
+    assert {r.text for r in pdf.recognized(image, "image", lambda b: f" {len(b)} \n\n read ").where("is_ocr").collect()} == {"3\nread"}
+    assert pdf.recognized(image, "image").where("is_ocr").count() == 0
+
+
+def test_relaxed_json(spark):
+    from corpuscle.sources import files
+
+    rows = ['{"a": 1, // x\n "b": ["http://x", 2,],}', '/* c */ {"a": "1,]"}', '{"a" 1}', None]
+    d = spark.createDataFrame([(x,) for x in rows], "t string").select(files.relaxed_json("t").cast("string").alias("j"))
+    assert [r.j for r in d.collect()] == ['{"a":1,"b":["http://x",2]}', '{"a":"1,]"}', None, None]
+
+
+def test_sentences_by_the_annex(spark):
+    cases = [
+        ("Mr. Smith went. He came back!", ["Mr. ", "Smith went. ", "He came back!"]), ("It cost 3.50 dollars. Cheap.", ["It cost 3.50 dollars. ", "Cheap."]), ("the U.S. army is here. Yes", ["the U.S. army is here. ", "Yes"]),
+        ("He said (really?) no.", ["He said (really?) ", "no."]), ("“Go.” He went", ["“Go.” ", "He went"]), ("etc. and so on", ["etc. and so on"]), ("One\nTwo\r\nThree", ["One\n", "Two\r\n", "Three"]), ("What?! Now", ["What?! ", "Now"]), ("c.d", ["c.d"]), ("", []), ("好。吃", ["好。", "吃"]),
+    ]
+    for given, want in cases:
+        assert text.split_sentences(given) == want, given
+    df = spark.createDataFrame([("A b.  C d. ",), (None,)], "t string")
+    assert [r.s for r in df.select(text.sentences_filtered("t").alias("s")).collect()] == [["A b.", "C d."], None]
+
+
+def test_windows_of_model_tokens(spark):
+    import os
+
+    if not os.path.exists(chunking.TOKENIZER):
+        pytest.skip("no tokenizer files")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(chunking.TOKENIZER)
+    texts = ["", "short", "words and words " * 40, "é日本 x " * 30, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {}
+    for r in chunking.chunk_tokens(df, "id", "text", 16, 4).orderBy("chunk_index").collect():
+        got.setdefault(int(r.document_id), []).append((r.tokens, r.content, r.total_chunks))
+    for i, text in enumerate(texts):
+        o = t.encode(text or "", add_special_tokens=False).offsets
+        want, at = [], 0
+        while at < len(o):
+            end = min(at + 16, len(o))
+            want.append((end - at, text[o[at][0] : o[end - 1][1]]))
+            at = len(o) if end == len(o) else at + 12
+        assert [x[:2] for x in got.get(i, [])] == want and all(x[2] == len(want) for x in got.get(i, []))
+    assert [r.n for r in df.select(chunking.token_count("text").alias("n")).collect()] == [len(t.encode(x or "", add_special_tokens=False).ids) for x in texts]
+    assert chunking.chunk_tokens(df, "id", "text", 16, 4, None).count() > 0
+
+
+def test_model_registry(tmp_path):
+    m = models.EMBEDDING_MODELS["default"]
+    assert (m.dims, m.capped(2048).max_tokens, m.capped(0).max_tokens) == (768, 2048, 8192) and "CPUExecutionProvider" in models.providers()
+    with pytest.raises(FileNotFoundError):
+        m.local(str(tmp_path))
+
+
+def test_latest_rows_of_a_stream(spark, tmp_path):
+    from corpuscle.streaming import ingest
+
+    schema_ = "k string, at int, v string"
+    stream = lambda: spark.readStream.schema(schema_).parquet(str(tmp_path / "in"))
+    for n in range(ingest.KEEP + 3):
+        spark.createDataFrame([("a", n if n != 5 else -1, f"v{n}"), (f"k{n}", 0, "x")], schema_).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        ingest.latest_by_key(stream(), "k", "at", str(tmp_path / "out")).awaitTermination()
+    got = {r.k: (r.at, r.v) for r in ingest.read_latest(spark, str(tmp_path / "out")).collect()}
+    assert got["a"] == (n, f"v{n}") and len(got) == n + 2
+
+
 def test_registry_has_no_llm():
     import ast
     from pathlib import Path

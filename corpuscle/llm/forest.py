@@ -1,12 +1,16 @@
 """Most similar vectors for every vector, by a hash-prefix forest.
 
-Each tree gives every vector a 64-bit string of random-hyperplane signs. A tree is stored as the sorted array
-of its strings: a range partitioning on (tree, string) cuts it into runs of near-equal size whatever the
-data's density, so a dense region costs deeper prefixes, not a larger task. In a sorted array the longest
-prefix matches of a string are its nearest places; ascending from them, to shorter prefixes, is walking
-outwards. All trees ascend in step, to ``reach`` places on either side and no further than prefixes of
-``least_prefix`` bits. A candidate pair must also lie within the Hamming radius that the first trees' strings
-allow at the wanted cosine; pairs from all trees are then made distinct and verified with the true cosine.
+Each tree gives every vector a 64-bit string of random-hyperplane signs. A tree is stored as the sorted array of its
+strings: a range partitioning on (tree, string) cuts it into runs of near-equal size whatever the data's density, so
+a dense region costs deeper prefixes, not a larger task. The rows at either end of a run are compared with those of
+the next one, so what is found doesn't depend on the partitions.
+
+A string's longest prefix matches are its neighbours in the array; places further out share shorter prefixes. From
+there all strings of all trees ascend in step, one place further out on either side at a time. A candidate is a
+string within the Hamming radius that the first trees' strings allow at the wanted cosine. A string goes on for
+``reach`` places in any case, and then for as long as it has fewer than ``ENOUGH`` candidates in its tree, until the
+prefix it shares is so short that about ``BLOCK_ROWS`` strings have it by chance (which depends on the number of
+vectors), or ``FAR`` places are behind it. Pairs from all trees are then made distinct and verified with the true cosine.
 
 A vector with ``reach`` verified neighbours or more lies in a dense region, where the walk's places need not hold
 the nearest. All dense vectors are compared with everything that can be near, exactly: each goes to its nearest of
@@ -31,12 +35,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.session import cut
 
-TREES, REACH, LEAST_PREFIX, SEED = 16, 32, 6, 20240817
+TREES, REACH, ENOUGH, BLOCK_ROWS, FAR, SEED = 16, 32, 8, 128, 1024, 20240817
 SKETCH_WORDS = 4
 PIVOTS, BLOCK = 256, 2000
 
@@ -70,31 +75,77 @@ def _strings(dim: int, trees: int):
     return run
 
 
-def _walk(reach: int, least_prefix: int, radius: int):
-    """Candidate pairs of a sorted run: rows within ``reach`` places that share a prefix and lie within the radius."""
+EDGE = ["tree", "s", "rep", *[f"w{i}" for i in range(SKETCH_WORDS)]]
 
-    def pairs(b: pd.DataFrame, fresh: int) -> pd.DataFrame:
-        s, t, r = b.s.to_numpy().view("u8"), b.tree.to_numpy(), b.rep.to_numpy()
-        w = [b[f"w{k}"].to_numpy().view("u8") for k in range(SKETCH_WORDS)]
+
+class _Ascent:
+    """Candidate pairs of a sorted array that comes in pieces; the last ``FAR`` rows and what they have found are kept."""
+
+    def __init__(self, reach: int, prefix: int, radius: int):
+        self.reach, self.prefix, self.radius = reach, prefix, radius
+        self.rows: pd.DataFrame | None = None
+        self.found = np.empty(0, "i4")
+
+    def add(self, b: pd.DataFrame) -> pd.DataFrame:
+        """The pairs of the new rows with each other and with earlier ones."""
+        old = 0 if self.rows is None else len(self.rows)
+        x = b if self.rows is None else pd.concat([self.rows, b], ignore_index=True)
+        found = np.r_[self.found, np.zeros(len(b), "i4")]
+        s, t, r = x.s.to_numpy().view("u8"), x.tree.to_numpy(), x.rep.to_numpy()
+        w = [x[f"w{k}"].to_numpy().view("u8") for k in range(SKETCH_WORDS)]
+        shift = np.uint64(64 - self.prefix)
         lo, hi = [], []
-        for d in range(1, min(reach, len(b) - 1) + 1):
-            k = max(0, fresh - d)  # pairs whose later row is fresh
-            a, c = slice(k, len(b) - d), slice(k + d, len(b))
-            ham = sum(np.bitwise_count(x[a] ^ x[c]).astype("i4") for x in w)
-            ok = (ham <= radius) & (t[a] == t[c]) & ((s[a] ^ s[c]) >> np.uint64(64 - least_prefix) == 0) & (r[a] != r[c])
-            if ok.any():
-                lo.append(np.minimum(r[a][ok], r[c][ok]))
-                hi.append(np.maximum(r[a][ok], r[c][ok]))
+        at = np.arange(len(x) - 1)  # places whose pair at this distance still shares the prefix
+        for d in range(1, FAR + 1):
+            at = at[at + d < len(x)]
+            at = at[(t[at] == t[at + d]) & ((s[at] ^ s[at + d]) >> shift == 0)]
+            if not len(at):
+                break
+            go = at[at + d >= old]
+            if d > self.reach:
+                go = go[(found[go] < ENOUGH) | (found[go + d] < ENOUGH)]
+                if not len(go):
+                    if d > self.reach + 64 and not (found[at] < ENOUGH).any():
+                        break
+                    continue
+            ham = sum(np.bitwise_count(k[go] ^ k[go + d]).astype("i4") for k in w)
+            ok = go[(ham <= self.radius) & (r[go] != r[go + d])]
+            if len(ok):
+                found[ok] += 1
+                found[ok + d] += 1
+                lo.append(np.minimum(r[ok], r[ok + d]))
+                hi.append(np.maximum(r[ok], r[ok + d]))
+        keep = min(len(x), FAR)
+        self.rows, self.found = x.tail(keep), found[len(x) - keep :]
         if not lo:
             return pd.DataFrame({"a": np.empty(0, "i8"), "b": np.empty(0, "i8")})
         return pd.DataFrame({"a": np.concatenate(lo), "b": np.concatenate(hi)}).drop_duplicates()
 
+
+def _walk(reach: int, prefix: int, radius: int):
+    """The candidate pairs of each run, and the rows at its ends with the number of the boundary they lie at."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail = None
+        here, first, ascent = TaskContext.get().partitionId(), None, _Ascent(reach, prefix, radius)
         for b in batches:
-            both = b if tail is None else pd.concat([tail, b], ignore_index=True)
-            yield pairs(both, 0 if tail is None else len(tail))
-            tail = both.tail(reach)
+            if not len(b):
+                continue
+            yield ascent.add(b).reindex(columns=["a", "b", *EDGE, "boundary"])
+            if first is None or len(first) < reach:
+                first = (b if first is None else pd.concat([first, b])).head(reach)
+        if first is not None:
+            for rows, boundary in ((first, here - 1), (ascent.rows.tail(reach), here)):
+                yield rows.assign(a=None, b=None, boundary=boundary)[["a", "b", *EDGE, "boundary"]]
+
+    return run
+
+
+def _across(reach: int, prefix: int, radius: int):
+    """The candidate pairs among the rows at one boundary."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.assign(u=g.s.to_numpy().view("u8")).sort_values(["tree", "s"]).drop_duplicates(["tree", "s", "rep"])
+        return _Ascent(reach, prefix, radius).add(g.reset_index(drop=True))
 
     return run
 
@@ -170,14 +221,17 @@ def _exact(dense: DataFrame, vectors: DataFrame, take: int, least: float, block:
 def neighbours(rows: DataFrame, id_col: str, vector: str, dim: int = 64, k: int = 5, least: float = 0.90, trees: int = TREES, reach: int = REACH, block: int = BLOCK) -> DataFrame:
     """``(id, other, cosine, rank)``: up to ``k`` most similar other ids of each usable vector, with at least the cosine."""
     good = rows.where(F.col(id_col).isNotNull() & usable(vector, dim)).select(F.col(id_col).alias("id"), F.col(vector).cast("array<float>").alias("v"))
-    keyed = cut(good.withColumn("rep", F.xxhash64("v")))
-    members = keyed.select("rep", "id").distinct()
-    owner = members.groupBy("rep").agg(F.min("id").alias("id"))
-    vectors = keyed.join(owner, ["rep", "id"], "left_semi").dropDuplicates(["rep"]).select("rep", "v")
+    keyed = good.withColumn("rep", F.xxhash64("v"))
+    members = cut(keyed.select("rep", "id").distinct())
+    vectors = cut(keyed.select("rep", "v").dropDuplicates(["rep"]))
     cols = ", ".join(f"w{i} long" for i in range(SKETCH_WORDS))
     strings = vectors.mapInPandas(_strings(dim, trees), f"tree int, s long, rep long, {cols}")
+    prefix = max(1, int(np.log2(max(1, vectors.count()) / BLOCK_ROWS + 1)))
+    rule = (reach, prefix, radius_of(least))
     runs = strings.repartitionByRange("tree", "s").sortWithinPartitions("tree", "s")
-    found = runs.mapInPandas(_walk(reach, LEAST_PREFIX, radius_of(least)), "a long, b long").distinct()
+    walked = cut(runs.mapInPandas(_walk(*rule), f"a long, b long, tree int, s long, rep long, {cols}, boundary int"))
+    ends = walked.where("boundary IS NOT NULL").select("boundary", *EDGE)
+    found = walked.where("a IS NOT NULL").select("a", "b").unionByName(ends.groupBy("boundary").applyInPandas(_across(*rule), "a long, b long")).distinct()
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, z: s + z)
     unit = vectors.select("rep", "v", F.sqrt(dot("v", "v")).alias("n"))
 

@@ -68,4 +68,19 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_text": p2_text, "p3_found": p3_found, "p3_masked": p3_masked, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_kinds": p6_kinds, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
-SQL = {"p4_found": leximin.ranked_by_sql("fused_results", "query_id", "doc_id", ["vector_score", "bm25_score"], 5)}
+#: Every pair compared. Chunks without 64 finite numbers, or with zeros only, are left out; ties go to the smaller id.
+P5_SQL = """
+WITH g AS (SELECT DISTINCT id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM chunks WHERE id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))::DOUBLE[64] AS v FROM g),
+c AS (SELECT a.id AS a, b.id AS b, max(array_inner_product(a.v, b.v)) AS cosine FROM u a JOIN u b ON a.id <> b.id WHERE array_inner_product(a.v, b.v) >= 0.9 - 1e-12 GROUP BY 1, 2),
+n AS (SELECT a, b FROM c QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(cosine, 12) DESC, b) <= 5)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM n"""
+#: Every pair that shares a run of three words counted.
+P7_SQL = """
+WITH w AS (SELECT id, h, list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT id, content, md5(content) AS h FROM chunks WHERE id IS NOT NULL AND content IS NOT NULL)),
+r AS (SELECT DISTINCT id, h, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS run FROM w WHERE len(w) >= 40),
+n AS (SELECT id, h, count(*) AS n FROM r GROUP BY 1, 2),
+s AS (SELECT a.id AS a, a.h AS ha, b.id AS b, b.h AS hb, count(*) AS both FROM r a JOIN r b ON a.run = b.run AND a.id < b.id GROUP BY 1, 2, 3, 4)
+SELECT DISTINCT s.a AS id_a, s.b AS id_b FROM s JOIN n x ON x.id = s.a AND x.h = s.ha JOIN n y ON y.id = s.b AND y.h = s.hb WHERE s.both >= 0.6 * (x.n + y.n - s.both)"""
+
+SQL = {"p4_found": leximin.ranked_by_sql("fused_results", "query_id", "doc_id", ["vector_score", "bm25_score"], 5), "p5_found": P5_SQL, "p7_found": P7_SQL}

@@ -90,6 +90,43 @@ def test_forest_recall_in_a_dense_group(spark):
     assert len(want) > 14_000 and len(got & want) >= 0.999 * len(want), (len(got & want), len(want))
 
 
+def test_forest_finds_the_same_in_any_partitions(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([b + rng.standard_normal((12, 64)) * 0.3 for b in rng.standard_normal((200, 64))])
+    df = spark.createDataFrame([(f"{i:04}", v.tolist()) for i, v in enumerate(x)], "id string, e array<float>")
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("3", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append({(r.id, r.other) for r in forest.neighbours(df, "id", "e").collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -1)
+    want = {(f"{i:04}", f"{j:04}") for i in range(len(x)) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.9}
+    assert all(len(g & want) >= 0.99 * len(want) for g in got) and len(got[0] ^ got[1]) <= 0.01 * len(want)
+
+
+def test_forest_ascent_crosses_pieces_and_boundaries():
+    """In one array, in pieces of any size, every string meets all that share its prefix until it has enough."""
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    s = np.sort(rng.integers(0, 2**63, 400, dtype="u8"))
+    rows = pd.DataFrame({"tree": 0, "s": s.view("i8"), "rep": np.arange(400), **{f"w{k}": 0 for k in range(forest.SKETCH_WORDS)}})
+    whole = forest._Ascent(3, 1, 10).add(rows)
+    a = forest._Ascent(3, 1, 10)
+    parts = pd.concat([a.add(rows.iloc[k : k + 7].reset_index(drop=True)) for k in range(0, 400, 7)])
+    near = {(i, j) for i in range(400) for j in range(i + 1, min(400, i + 4))}
+    for got in (whole, parts):
+        pairs = set(map(tuple, got[["a", "b"]].to_numpy().tolist()))
+        assert near <= pairs
+    none = forest._Ascent(3, 1, -1)
+    none.add(rows)
+    assert not none.found.any()  # nothing in the radius, however far it goes
+
+
 def test_forest_many_copies(spark):
     df = spark.range(300).select(F.col("id").cast("string"), F.array(*[F.lit(float(k + 1)) for k in range(64)]).alias("e"))
     near = forest.neighbours(df, "id", "e")

@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import text as T
 from corpuscle.errors import QueryError
+from corpuscle.session import cut
 
 K1, B = 1.5, 0.75
 
 
 @dataclass
 class Index:
-    """postings(term, doc_id, tf), doc_stats(doc_id, doc_length), and the corpus's one row (num_docs, avg_doc_length)."""
+    """postings(term, doc_id, tf, dl), doc_stats(doc_id, doc_length), and the corpus's one row (num_docs, avg_doc_length).
+
+    A posting carries its document's length, so scores need no join with the documents.
+    """
 
     postings: DataFrame
     doc_stats: DataFrame
@@ -68,7 +72,7 @@ class Index:
         """The index saved last; an empty one where nothing was saved."""
         v = _version(spark, path)
         if not v:
-            return Index(spark.createDataFrame([], "term string, doc_id string, tf int"), spark.createDataFrame([], "doc_id string, doc_length int"))
+            return Index(spark.createDataFrame([], "term string, doc_id string, tf int, dl int"), spark.createDataFrame([], "doc_id string, doc_length int"))
         return Index(spark.read.parquet(f"{path}/v-{v}/postings"), spark.read.parquet(f"{path}/v-{v}/doc_stats"))
 
 
@@ -88,8 +92,8 @@ def _version(spark: SparkSession, path: str) -> int:
 def build(docs: DataFrame, id_col: str, text: str) -> Index:
     """Documents without tokens count in the statistics; null texts are empty."""
     t = docs.select(F.col(id_col).alias("doc_id"), T.index_tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    postings = t.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    return Index(postings, t.select("doc_id", F.size("tokens").alias("doc_length")))
+    postings = t.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    return Index(postings.select("term", "doc_id", "tf", "dl"), t.select("doc_id", F.size("tokens").alias("doc_length")))
 
 
 def score(tf, df, dl, n, avg, k1: float = K1, b: float = B):
@@ -106,12 +110,12 @@ def search_batch(index: Index, queries: DataFrame, query_id: str, text: str, k:
     """
     q = queries.select(F.col(query_id).alias("query_id"), F.explode(T.index_tokens(text)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     terms = q.select("term").distinct()
-    hit = index.postings.join(terms, "term", "left_semi")
+    hit = cut(index.postings.join(terms, "term", "left_semi"))  # read for frequencies and for scores, made once
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     scored = (
-        hit.join(df, "term").join(q, "term").join(index.doc_stats, "doc_id").crossJoin(F.broadcast(index.corpus))
+        hit.join(df, "term").join(q, "term").crossJoin(F.broadcast(index.corpus))
         .groupBy("query_id", "doc_id")
-        .agg(F.sum(score(F.col("tf"), F.col("df"), F.col("doc_length"), F.col("num_docs"), F.col("avg_doc_length"), k1, b) * F.col("qtf")).alias("score"))
+        .agg(F.sum(score(F.col("tf"), F.col("df"), F.col("dl"), F.col("num_docs"), F.col("avg_doc_length"), k1, b) * F.col("qtf")).alias("score"))
         .where("score > 0")
     )
     if allowed is not None:

@@ -333,6 +333,21 @@ h AS (SELECT id, sum(q.qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (t
 SELECT commit_hash, round(score, 6) AS score FROM h JOIN tok USING (id) WHERE classification = 'docs' QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC, id) <= 10""",
     "commit_metadata": f"""WITH {_DIFF}, {_DSTAT}, {_HIST}, x AS (SELECT hi.*, sha256(repository_path || '#' || commit_hash || '#0') AS pid, insertions, deletions, array_to_string(paths, ', ') AS fp FROM hi JOIN ds USING (id))
 SELECT pid AS id, k.key, k.value FROM (SELECT pid, unnest([struct_pack(key := 'commit_hash', value := commit_hash), struct_pack(key := 'author_name', value := author_name), struct_pack(key := 'author_email', value := author_email), struct_pack(key := 'commit_time', value := strftime(timezone('UTC', commit_time), '%Y-%m-%dT%H:%M:%SZ')), struct_pack(key := 'classification', value := classification), struct_pack(key := 'insertions', value := insertions::VARCHAR), struct_pack(key := 'deletions', value := deletions::VARCHAR), struct_pack(key := 'repository_name', value := repository_name), struct_pack(key := 'file_paths', value := nullif(fp, ''))]) AS k FROM x) WHERE k.value IS NOT NULL""",
+    "chunk_sentences": f"""WITH RECURSIVE p AS (SELECT doc_id::VARCHAR AS d, list_filter(list_transform(regexp_split_to_array(text, '[.!?]'), lambda x: {_words('x')}), lambda x: len(x) > 0) AS s FROM documents WHERE text <> ''),
+r(d, i, cur, done) AS (SELECT d, 0, []::VARCHAR[], []::VARCHAR[] FROM p UNION ALL
+  SELECT d, i + 1, CASE WHEN len(x) > 64 THEN [] ELSE list_concat(list_concat(c, x[1 : len(x) - 1]), [x[len(x)] || '.']) END,
+    CASE WHEN len(x) > 64 THEN list_concat(list_concat(o, CASE WHEN len(c) > 0 THEN [array_to_string(c, ' ')] ELSE [] END), list_transform(range(0, len(x) - 16, 48), lambda k: array_to_string(x[k + 1 : k + 64], ' '))) ELSE o END
+  FROM (SELECT r.d, i, x, CASE WHEN len(cur) > 0 AND len(cur) + len(x) > 64 THEN list_concat(done, [array_to_string(cur, ' ')]) ELSE done END AS o, CASE WHEN len(cur) > 0 AND len(cur) + len(x) > 64 THEN cur[-8:] ELSE cur END AS c FROM (SELECT r.*, p.s[r.i + 1] AS x FROM r JOIN p USING (d) WHERE r.i < len(p.s)) r)),
+f AS (SELECT r.d, CASE WHEN len(cur) > 0 THEN list_concat(done, [array_to_string(cur, ' ')]) ELSE done END AS c FROM r JOIN p ON p.d = r.d AND r.i = len(p.s))
+SELECT d AS document_id, (unnest(range(0, len(c))))::INT AS chunk_index, unnest(c) AS content FROM f""",
+    "commit_text": f"""WITH {_DIFF}, {_DSTAT}, {_HIST}, tok AS (SELECT hi.*, insertions, deletions, array_to_string(paths, ', ') AS fp, sha256(repository_path || '#' || commit_hash || '#0') AS pid, {_ITOK.format(c='message')} AS t FROM hi JOIN ds USING (id)),
+stats AS (SELECT pid, len(t) AS dl FROM tok), post AS (SELECT term, pid, count(*) AS tf FROM (SELECT pid, unnest(t) AS term FROM tok) GROUP BY 1, 2), co AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM stats),
+q AS (SELECT term, count(*) AS qtf FROM (SELECT unnest({_ITOK.format(c="'" + COMMIT_QUERY + "'")}) AS term) GROUP BY 1), dfr AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+h AS (SELECT pid, sum(q.qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM post JOIN q USING (term) JOIN dfr USING (term) JOIN stats USING (pid) CROSS JOIN co GROUP BY pid QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC, pid) <= 5),
+x AS (SELECT *, {_words('message')} AS w FROM h JOIN tok USING (pid))
+SELECT '[' || left(commit_hash, 7) || '] ' || classification || ': ' || split_part(message, chr(10), 1) || chr(10) || 'repository: ' || repository_name || chr(10) || 'author: ' || author_name || ' <' || author_email || '>' || chr(10) || 'date: ' || coalesce(strftime(timezone('UTC', commit_time), '%Y-%m-%dT%H:%M:%SZ'), 'unknown') || chr(10)
+  || CASE WHEN fp <> '' THEN 'files: ' || fp || chr(10) ELSE '' END || 'changes: +' || insertions || ' -' || deletions || chr(10) || chr(10) || 'message:' || chr(10)
+  || CASE WHEN len(w) = 0 THEN '  [empty]' ELSE '  ' || replace(list_reduce(w, lambda a, b: CASE WHEN strlen(split_part(a, chr(10), -1)) + strlen(b) + 1 <= 100 THEN a || ' ' || b ELSE a || chr(10) || b END), chr(10), chr(10) || '  ') END || chr(10) || repeat('-', 40) AS shown FROM x""",
     "developer_order": f"WITH {_CM} SELECT email, count(*) AS commit_count FROM cm GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
     "file_commits": f"WITH {_CM}, j AS (SELECT DISTINCT path, hash, email, name, time FROM ch JOIN cm USING (hash)) SELECT path, array_to_string(list(hash ORDER BY time DESC, hash DESC), ',') AS hashes, array_to_string(list_sort(list(DISTINCT name || ' <' || email || '>')), ',') AS contributors FROM j GROUP BY 1",
     "rfc3339_times": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN date_trunc('second', loaded_at) WHEN 1 THEN date_trunc('second', loaded_at) + INTERVAL 250 MILLISECOND - INTERVAL 2 HOUR END AS at FROM documents",

@@ -35,6 +35,13 @@ def chunk(docs: DataFrame, id_col: str, text: str, size: int = 512, overlap: int
     return c.select("document_id", "chunk_index", "total_chunks", T.word_count("content").alias("tokens"), "content", F.sha2(F.concat_ws("#", F.col("document_id").cast("string"), "chunk_index"), 256).alias("id"))
 
 
+def chunk_sections(sections: DataFrame, key: list[str], text: str, size: int = 512, overlap: int = 128) -> DataFrame:
+    """``(key.., chunk_index, total_chunks, tokens, content, id)``: windows that never go over the end of a section."""
+    w = sections.select(*key, windows(T.words(text), size, overlap).alias("w"))
+    c = w.select(*key, F.size("w").alias("total_chunks"), F.posexplode("w").alias("chunk_index", "content"))
+    return c.select(*key, "chunk_index", "total_chunks", T.word_count("content").alias("tokens"), "content", F.sha2(F.concat_ws("#", *[F.col(k).cast("string") for k in key], F.col("chunk_index").cast("string")), 256).alias("id"))
+
+
 def commit_windows(text: str | Column, size: int, overlap: int) -> Column:
     """Windows by model tokens: they go on past the first that reaches the end, but a small rest is left out."""
     size_w, over = T.words_for(size), T.words_for(overlap)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import vectors as V
 from corpuscle.errors import QueryError
+from corpuscle.session import cut
 
 
 def all_of(*conditions: Column | None) -> Column | None:
@@ -68,6 +69,7 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec
         part = q.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b)
         s = v.crossJoin(F.broadcast(part)).select("query_id", "id", V.dot("v", "qv").alias("score"))
         best = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        best = best if n == 1 else cut(best)  # one block's plan at a time, however many blocks there are
         out = best if out is None else out.unionByName(best)
     return out
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpuscle.functions import classify as C
-from corpuscle.operators import chunking, dag, incremental, layout, schema, state
+from corpuscle.operators import chunking, dag, incremental, layout, schema, state, temporal
 from corpuscle.plans import texts
 from corpuscle.session import table
 from corpuscle.streaming import ingest
@@ -243,19 +243,22 @@ def schema_ddl(spark, d):
 
 
 def temporal_feature(spark, d):
-    t = F.unix_micros(F.col("loaded_at"))
-    lo_hi = table(spark, d, "documents").agg(F.min(t).alias("lo"), F.max(t).alias("hi"))
-    return table(spark, d, "documents").crossJoin(F.broadcast(lo_hi)).select("doc_id", F.round(F.coalesce((t - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(0.5)), 6).alias("feature"))
+    return temporal.feature(table(spark, d, "documents"), "doc_id", "loaded_at")
 
 
 def temporal_augment(spark, d):
     f = temporal_feature(spark, d).withColumnRenamed("doc_id", "vec_id")
-    return table(spark, d, "embeddings").join(f, "vec_id").select("vec_id", F.concat(F.transform("embedding", lambda x: F.round(x.cast("double"), 6)), F.array("feature")).alias("vector"))
+    return temporal.augment(table(spark, d, "embeddings"), "embedding", f, "vec_id").select("vec_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("vector"))
 
 
 def cluster_date_range(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
-    return table(spark, d, "documents").join(e, "doc_id").groupBy("label").agg(F.min("loaded_at").alias("first"), F.max("loaded_at").alias("last"), F.count(F.lit(1)).alias("n"))
+    return temporal.date_range(table(spark, d, "documents").join(e, "doc_id"), "label", "loaded_at")
+
+
+def chunk_sections(spark, d):
+    l = _lines(spark, d)
+    return chunking.chunk_sections(layout.section_contents(l, layout.sections(l)), ["doc_id", "start_page", "line_no"], "content", 64, 16).select("doc_id", "start_page", "line_no", "chunk_index", "total_chunks", "content")
 
 
 def event_windows(spark, d):
@@ -333,7 +336,7 @@ _PT = "pt AS (SELECT doc_id, page_number, string_agg(text, chr(10) ORDER BY line
 _TF = "(SELECT doc_id, round(coalesce((epoch_us(loaded_at) - min(epoch_us(loaded_at)) OVER ())::DOUBLE / (max(epoch_us(loaded_at)) OVER () - min(epoch_us(loaded_at)) OVER ()), 0.5), 6) AS feature FROM documents)"
 _EV = "SELECT event_type, date_trunc('day', ts)::TIMESTAMPTZ AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
 
-QUERIES = {f.__name__: f for f in (latest_state, count_completed, should_skip, to_process, skip_failures, processed_summary, scan_summary, stale_entries, finalize_incomplete, finalize_failures, status_parse, page_text, document_text, font_median, header_footer, header_footer_stats, lines_without_margins, headings, sections, section_contents, ocr_stats, bbox_overlap, json_paths, json_files, field_hints, create_table_text, dag_levels, mark_processing, mark_complete, mark_complete_failures, mark_failed, record_failure, clear_failure, remove_paths, is_processed, all_paths, headings_simple, chunk_tokenizer, token_counts_model, schema_ddl, stream_latest, temporal_feature, temporal_augment, cluster_date_range, event_windows, stream_ingest, stream_windows)}
+QUERIES = {f.__name__: f for f in (latest_state, count_completed, should_skip, to_process, skip_failures, processed_summary, scan_summary, stale_entries, finalize_incomplete, finalize_failures, status_parse, page_text, document_text, font_median, header_footer, header_footer_stats, lines_without_margins, headings, sections, section_contents, chunk_sections, ocr_stats, bbox_overlap, json_paths, json_files, field_hints, create_table_text, dag_levels, mark_processing, mark_complete, mark_complete_failures, mark_failed, record_failure, clear_failure, remove_paths, is_processed, all_paths, headings_simple, chunk_tokenizer, token_counts_model, schema_ddl, stream_latest, temporal_feature, temporal_augment, cluster_date_range, event_windows, stream_ingest, stream_windows)}
 SQL = {
     "latest_state": f"WITH {_ST} SELECT source_path, status, file_size_bytes, processed_at, chunk_count FROM st",
     "count_completed": f"WITH {_ST} SELECT status, count(*) AS n FROM st GROUP BY 1",
@@ -355,6 +358,7 @@ SQL = {
     "headings": f"WITH {_H} SELECT doc_id, page_number, line_no, heading, level FROM h",
     "sections": f"WITH {_H}{_SEC} SELECT * FROM s",
     "section_contents": f"WITH {_H}{_SEC}, {_PT} SELECT s.doc_id, start_page, line_no, string_agg(text, chr(10) ORDER BY page_number) AS content FROM s JOIN pt ON pt.doc_id = s.doc_id AND page_number BETWEEN start_page AND end_page GROUP BY 1, 2, 3",
+    "chunk_sections": f"WITH {_H}{_SEC}, {_PT}, sc AS (SELECT s.doc_id, start_page, line_no, string_agg(text, chr(10) ORDER BY page_number) AS content FROM s JOIN pt ON pt.doc_id = s.doc_id AND page_number BETWEEN start_page AND end_page GROUP BY 1, 2, 3), src AS (SELECT {{'d': doc_id, 'p': start_page, 'l': line_no}} AS id, {texts._words('content')} AS w FROM sc), {texts._windows('src', 64, 16)} SELECT id.d AS doc_id, id.p AS start_page, id.l AS line_no, i AS chunk_index, k AS total_chunks, array_to_string(c, ' ') AS content FROM win",
     "ocr_stats": f"WITH {_L}, p AS (SELECT doc_id, page_number, sum(strlen(text)) AS n, bool_or(coalesce(is_ocr, false)) AS o FROM l GROUP BY 1, 2) SELECT doc_id, count(*) AS pages, count(*) FILTER (n < 50) AS needing, count(*) FILTER (o) AS having FROM p GROUP BY 1",
     "bbox_overlap": f"WITH {_L}, b AS (SELECT doc_id, page_number, line_no, x::DOUBLE AS x, y::DOUBLE AS y, width::DOUBLE AS width, height::DOUBLE AS height FROM l) SELECT l.doc_id, l.page_number, l.line_no AS a, r.line_no AS b FROM b l JOIN b r ON l.doc_id = r.doc_id AND l.page_number = r.page_number AND l.line_no < r.line_no AND l.x < r.x + r.width AND r.x < l.x + l.width AND l.y < r.y + r.height AND r.y < l.y + l.height",
     "json_paths": "SELECT 'k' AS path, 'number' AS types, count(*) AS n, true AS required FROM events WHERE json_extract(props, '$.k') IS NOT NULL UNION ALL SELECT '', 'object', count(*), false FROM events",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import signal
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -31,6 +34,26 @@ def ingest(docs: DataFrame, id_col: str, text: str, out: str, size: int = 512, o
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
 
 
+class Shutdown:
+    """A flag that a signal sets; streams end after the batch they are at, and loops can ask ``asked``."""
+
+    def __init__(self, spark: SparkSession, *signals: int):
+        self.spark, self.asked = spark, False
+        for s in signals:
+            signal.signal(s, self.ask)
+
+    def ask(self, *_: object) -> None:
+        self.asked = True
+
+    def settle(self, seconds: float = 60.0) -> None:
+        """If asked, stop the session's streams, each once no batch is running or the time is over."""
+        end = time.time() + seconds
+        for q in self.spark.streams.active if self.asked else ():
+            while q.isActive and q.status["isTriggerActive"] and time.time() < end:
+                time.sleep(0.05)
+            q.stop()
+
+
 def windowed_counts(events: DataFrame, time: str, key: str, value: str, width: str = "1 day", late: str = "1 day") -> DataFrame:
     """``(key, start, n, total)`` per window of event time; late events are waited for."""
     e = events.withColumn("__t", F.col(time).cast("timestamp"))

@@ -442,6 +442,48 @@ def test_latest_rows_of_a_stream(spark, tmp_path):
     assert got["a"] == (n, f"v{n}") and len(got) == n + 2
 
 
+def test_traces(spark):
+    import json
+
+    from corpuscle import trace
+
+    lines = []
+    with trace.span("step", lines.append, run="r") as told:
+        df, o = trace.counted(spark.range(7), "rows_of_step")
+        df.write.format("noop").mode("overwrite").save()
+        told["rows"] = o.get["rows"]
+    with pytest.raises(ValueError), trace.span("bad", lines.append):
+        raise ValueError("no")
+    a, b = map(json.loads, lines)
+    assert (a["span"], a["run"], a["rows"], a["ok"]) == ("step", "r", 7, True) and a["seconds"] >= 0 and (b["ok"], b["error"]) == (False, "ValueError: no")
+
+
+def test_streams_end_when_asked(spark, tmp_path):
+    from corpuscle.streaming import ingest
+
+    q = spark.readStream.format("rate").load().writeStream.format("noop").option("checkpointLocation", str(tmp_path)).start()
+    stop = ingest.Shutdown(spark)
+    stop.settle()
+    assert q.isActive
+    stop.ask()
+    stop.settle(10)
+    assert stop.asked and not q.isActive
+
+
+def test_temporal(spark):
+    from datetime import datetime
+
+    from corpuscle.operators import temporal
+
+    d = spark.createDataFrame([(1, datetime(2026, 1, 1), "a"), (2, datetime(2026, 1, 3), "a"), (3, None, "b"), (4, datetime(2026, 1, 2), "b")], "id int, t timestamp, g string")
+    f = temporal.feature(d, "id", "t")
+    assert {r.id: r.feature for r in f.collect()} == {1: 0.0, 2: 1.0, 3: 0.5, 4: 0.5}
+    assert [r.feature for r in temporal.feature(d.where("id = 1"), "id", "t").collect()] == [0.5]
+    v = spark.createDataFrame([(1, [0.5, 2.0])], "id int, v array<float>")
+    assert temporal.augment(v, "v", f, "id").head().v == [0.5, 2.0, 0.0]
+    assert {(r.g, r.n, r.first.day) for r in temporal.date_range(d, "g", "t").collect()} == {("a", 2, 1), ("b", 2, 2)}
+
+
 def test_registry_has_no_llm():
     import ast
     from pathlib import Path

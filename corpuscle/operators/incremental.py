@@ -19,14 +19,13 @@ record new; keys that are gone are reported as removed.
 from __future__ import annotations
 
 import time
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.errors import BusyError
-from corpuscle.session import checkpoint_dir, cut
+from corpuscle.session import cut, scratch
 
 LEAF_BITS, FAN_BITS = 16, 4
 #: Up to this many leaves the changed ones are broadcast: at most 2**18 longs, 2 MB.
@@ -236,7 +235,7 @@ def pending_files(runs: DataFrame, entries: DataFrame, state: DataFrame, leaf_bi
     at that leaf, and give no row.
     """
     spark = runs.sparkSession
-    store = store or MerkleStore(spark, f"{checkpoint_dir(spark)}/pending-{uuid.uuid4().hex}", leaf_bits)
+    store = store or MerkleStore(spark, scratch(spark, "pending"), leaf_bits)
     grow = lambda df: cut(tree(df, "key", "token", leaf_bits, store.fan_bits))
     done = cut(last_completed(state).withColumn("token", content_token("saved")).withColumnRenamed("source_path", "key"))
     before = grow(done)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from corpuscle.functions import classify as C
 from corpuscle.operators import chunking, dag, incremental, layout, schema, state, temporal
 from corpuscle.plans import texts
-from corpuscle.session import table
+from corpuscle.session import scratch, table
 from corpuscle.streaming import ingest
 
 AT = "2026-01-01 00:00:00"
@@ -268,9 +266,7 @@ def event_windows(spark, d):
 
 def _streamed(spark, d, name, start, read):
     """Run a stream over what a folder holds and read what it wrote; the folder lies beside the checkpoints."""
-    from corpuscle.session import checkpoint_dir
-
-    out = f"{checkpoint_dir(spark)}/stream-{name}-{uuid.uuid4().hex[:8]}"
+    out = scratch(spark, f"stream-{name}")
     start(out).awaitTermination()
     return read(out)
 

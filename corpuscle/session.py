@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,7 +39,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return have.get()
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ConfigError("spark.checkpoint.dir must name a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse").removeprefix("file:")
         d = os.path.join(base, "checkpoints")
@@ -46,6 +47,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path beside the checkpoints, removed when the session's process ends."""
+    at = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return at
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the shared folder, so a lost executor costs a read, not a recomputation."""
     checkpoint_dir(df.sparkSession)

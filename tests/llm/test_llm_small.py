@@ -167,7 +167,7 @@ def test_ball_equals_brute_force(spark):
     assert ball.similar_pairs(df.limit(0), "id", "text").count() == 0
 
 
-def test_ball_finds_all_of_a_large_family(spark):
+def test_ball_finds_all_of_a_large_family(spark, monkeypatch):
     """Several hundred edited versions of one text; all compared, by the prefix filter, and in blocks."""
     r = random.Random(8)
     core = [f"w{i}" for i in range(120)]
@@ -180,7 +180,8 @@ def test_ball_finds_all_of_a_large_family(spark):
     f = {i: set(zip(*[t.split()[j:] for j in range(3)])) for i, t in rows}
     want = {(a, b) for n, (a, x) in enumerate(f.items()) for b, y in list(f.items())[n + 1 :] if len(x & y) >= 0.6 * len(x | y)}
     df = spark.createDataFrame(rows, "id string, text string")
-    for more in ({}, {"hot": 64}, {"hot": 64, "block": 50}):
+    for more in ({}, {"hot": 64}, {"hot": 64, "block": 50}, {"hot": 20}):
+        monkeypatch.setattr(ball, "SHARE", 1 if more.get("hot") == 20 else 64)  # with 1 very hot variants are known beforehand
         got = {(x.id_a, x.id_b) for x in ball.similar_pairs(df, "id", "text", 3, 40, 0.6, **more).collect()}
         assert got <= want and len(got) >= 0.98 * len(want), (more, len(got), len(want))
 

@@ -30,14 +30,17 @@ def windows(words: Column, size: int, overlap: int) -> Column:
 
 def chunk(docs: DataFrame, id_col: str, text: str, size: int = 512, overlap: int = 128) -> DataFrame:
     """``(document_id, chunk_index, total_chunks, tokens, content, id)``: the windows of each text; blank texts have none."""
-    w = docs.select(F.col(id_col).alias("document_id"), windows(T.words(text), size, overlap).alias("w"))
-    c = w.select("document_id", F.size("w").alias("total_chunks"), F.posexplode("w").alias("chunk_index", "content"))
-    return c.select("document_id", "chunk_index", "total_chunks", T.word_count("content").alias("tokens"), "content", F.sha2(F.concat_ws("#", F.col("document_id").cast("string"), "chunk_index"), 256).alias("id"))
+    # The words are a column of their own: within the windows' lambda they would be split anew for each window.
+    words = docs.select(F.col(id_col).alias("document_id"), T.words(text).alias("words"))
+    w = words.select("document_id", F.size("words").alias("n"), windows(F.col("words"), size, overlap).alias("w"))
+    c = w.select("document_id", "n", F.size("w").alias("total_chunks"), F.posexplode("w").alias("chunk_index", "content"))
+    tokens = F.least(F.lit(size), F.col("n") - F.col("chunk_index") * (size - overlap))
+    return c.select("document_id", "chunk_index", "total_chunks", tokens.alias("tokens"), "content", F.sha2(F.concat_ws("#", F.col("document_id").cast("string"), "chunk_index"), 256).alias("id"))
 
 
 def chunk_sections(sections: DataFrame, key: list[str], text: str, size: int = 512, overlap: int = 128) -> DataFrame:
     """``(key.., chunk_index, total_chunks, tokens, content, id)``: windows that never go over the end of a section."""
-    w = sections.select(*key, windows(T.words(text), size, overlap).alias("w"))
+    w = sections.select(*key, T.words(text).alias("words")).select(*key, windows(F.col("words"), size, overlap).alias("w"))
     c = w.select(*key, F.size("w").alias("total_chunks"), F.posexplode("w").alias("chunk_index", "content"))
     return c.select(*key, "chunk_index", "total_chunks", T.word_count("content").alias("tokens"), "content", F.sha2(F.concat_ws("#", *[F.col(k).cast("string") for k in key], F.col("chunk_index").cast("string")), 256).alias("id"))
 

@@ -186,6 +186,22 @@ def test_ball_finds_all_of_a_large_family(spark, monkeypatch):
         assert got <= want and len(got) >= 0.98 * len(want), (more, len(got), len(want))
 
 
+def test_ball_misses_no_pair_near_the_threshold(spark, monkeypatch):
+    """400 pairs at a similarity of 0.607; with few counters runs fall together, with ``block`` large groups are split."""
+    r = random.Random(9)
+    rows = []
+    for d in range(400):
+        w = ["the", "same", "head"] + [f"w{r.randint(0, 10**6)}" for _ in range(97)]
+        v = [f"e{r.randint(0, 10**6)}" if i % 11 == 10 and i < 90 else x for i, x in enumerate(w)]
+        rows += [(f"a{d:03}", " ".join(w)), (f"b{d:03}", " ".join(v))]
+    assert min(_jaccard(x[1], y[1], 3) for x, y in zip(rows[::2], rows[1::2])) >= 0.6
+    df = spark.createDataFrame(rows, "id string, text string")
+    want = {(f"a{d:03}", f"b{d:03}") for d in range(400)}
+    for bits, more in ((24, {}), (8, {}), (8, {"hot": 2, "block": 3})):
+        monkeypatch.setattr(ball, "COUNT_BITS", bits, raising=False)
+        assert {(x.id_a, x.id_b) for x in ball.similar_pairs(df, "id", "text", 3, 40, 0.6, **more).collect()} == want
+
+
 # ---------------------------------------------------------------- 8: tokens
 
 ODD = [None, "", " ", "  \n\n x", "it's we'll I'VE", "a" * 5000, "é é ﬁ İ ß", "日本語 тест 👩‍👩‍👧 ‍", "<|endoftext|> <s>", "x\r\ny\t z 　 w", "1234567 ½ ² ٣", "  lead", "trail  ", "\x00\x01", "  \u0085 \xa0a"]

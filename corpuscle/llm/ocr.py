@@ -3,7 +3,7 @@
 Furniture: a line among the first or last of its page is a page number if its number and those at the other pages'
 edges rise with the pages, and a running header or footer if its wording repeats on other pages. Lines are compared
 fuzzily: by a skeleton in which characters that scanners confuse are one and digits are one, and within a few edits of
-the skeletons that repeat most. Only where a line stands by itself does its place decide.
+any skeleton that repeats more. Only where a line stands by itself does its place decide.
 
 Words broken at line ends are judged by the corpus's own vocabulary, counted over all lines: the two parts
 go together if the joined word is known, and stay a compound if that is what the corpus writes. Misread words
@@ -39,8 +39,10 @@ NOISE = "~|·^"
 HYPHENS = "-­‐‑¬"
 _HY = f"[{HYPHENS}]"
 ENDS = f"\\p{{L}}[{NOISE}]?{_HY}$"
-#: Characters at either end by which like edge lines meet, and how many edits to a character they may differ by.
-END, EDITS = 5, 0.2
+#: Characters that an edge line compared with edits must have, and how many edits to a character it may differ by.
+LONG, EDITS = 10, 0.2
+#: So many repeated edge lines of a document's zone are compared with all others there; where there are more, lines meet by pieces.
+FEW = 64
 #: Words of at most ``SHORT`` characters that are one in ``FREQUENT`` tokens or more are judged where the text is.
 FREQUENT, SHORT = 1 << 17, 32
 
@@ -86,7 +88,7 @@ def judged_edges(l: DataFrame) -> DataFrame:
     A number line is furniture if its number goes up with the pages: at least two pages of the document have the same
     difference of number and page there; or if other pages' numbers do and only its own can't be read. Wording is
     furniture if it repeats on other pages: the same skeleton but for numbers, or one within a few edits of a
-    skeleton that many pages have and that begins or ends alike. Only a document too short for either is judged by
+    skeleton that more pages have, whichever of the zone that is. Only a document too short for either is judged by
     the set-apart place of the line alone.
     """
     edge = l.where((F.col("top") <= EDGE_TOP) | (F.col("bottom") <= EDGE_BOTTOM))
@@ -99,10 +101,19 @@ def judged_edges(l: DataFrame) -> DataFrame:
     doc = l.groupBy(F.xxhash64("doc_id").alias("d")).agg(F.percentile_approx("x", 0.5).alias("left"), F.count_distinct("page_number").alias("pages"))
     at = ["d", "zone"]
     keys = e.groupBy(*at, "kh").agg(F.max("k").alias("k"), F.count_distinct("page_number").alias("on_pages"))
-    # Skeletons that begin or end alike meet their most frequent one; an edit spares one end of a line.
-    ends = keys.where(F.length("k") >= 2 * END).withColumn("end", F.explode(F.array(F.concat(F.lit("<"), F.substring("k", 1, END)), F.concat(F.lit(">"), F.expr(f"right(k, {END})")))))
-    most = ends.groupBy(*at, "end").agg(F.max(F.struct("on_pages", "k")).alias("m")).where("m.on_pages >= 2")
-    like = ends.where("on_pages < 3").join(most, [*at, "end"]).where((F.col("m.k") != F.col("k")) & (F.levenshtein("k", F.col("m.k")) <= F.greatest(F.lit(1), F.length("k") * EDITS))).groupBy(*at, "kh").agg(F.max("m.on_pages").alias("like_pages"))
+    # A skeleton meets all repeated ones of its zone; where these are many, those that hold one of its pieces: of one
+    # piece more than it may have edits, one stands unchanged in the other. Pieces are 3 or 4 characters by its length.
+    long = keys.where(F.length("k") >= LONG)
+    long = long.join(long.where("on_pages >= 2").groupBy(*at).agg(F.count(F.lit(1)).alias("others")), at)
+    edits = F.floor(F.length("k") * EDITS).cast("int")
+    q = F.floor(F.length("k") / (edits + 1)).cast("int")
+    every = F.array(F.lit(""))
+    pieces = F.transform(F.sequence(F.lit(0), edits), lambda i: F.col("k").substr(i * q + 1, q))
+    within = F.concat(*[F.transform(F.sequence(F.lit(1), F.length("k") - n + 1), lambda i, n=n: F.col("k").substr(i, F.lit(n))) for n in (3, 4)])
+    by = lambda c: F.explode(F.when(F.col("others") <= FEW, every).otherwise(F.array_distinct(c))).alias("piece")
+    more = long.where("on_pages >= 2").select(*at, by(within), F.col("k").alias("m"), F.col("on_pages").alias("like_pages"))
+    near = (F.abs(F.length("m") - F.length("k")) <= edits) & (F.col("m") != F.col("k")) & (F.col("like_pages") >= F.col("on_pages"))
+    like = long.select(*at, "kh", "k", "on_pages", by(pieces)).join(more, [*at, "piece"]).where(near).where(F.levenshtein("k", "m") <= edits).groupBy(*at, "kh").agg(F.max("like_pages").alias("like_pages"))
     size = F.length("k").alias("size")
     keys = keys.select(*at, "kh", size, "on_pages").join(like, [*at, "kh"], "left").select(*at, "kh", "size", F.greatest("on_pages", F.coalesce(F.col("like_pages") + 1, F.lit(0))).alias("on_pages"))
     steps = e.where("step IS NOT NULL").groupBy(*at, "step").agg(F.count_distinct("page_number").alias("in_step")).where("in_step >= 2")

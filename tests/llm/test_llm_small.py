@@ -449,6 +449,22 @@ def _pages(spark, ocr_=True):
     return spark.createDataFrame(rows, LINE)
 
 
+def test_edge_lines_meet_all_repeated_ones(spark, monkeypatch):
+    """Misread headers like another than the most frequent one, misread at both ends, or misread alike on three pages."""
+    rows, r = [], random.Random(3)
+    for p in range(1, 13):
+        last = p == 12
+        lines = ["Annual survey of northern harbours volume", "Annual resvlts for eastern railways volume" if last else "Annual results for eastern railways volume", "Jovrnal of coastal weather recovds" if last else "Journal of coastal weather records"]
+        lines += [" ".join("".join(r.choices("aehkmnopstuw", k=7)) for _ in range(8)) + "." for _ in range(6)]
+        lines += ["Printed by the norfhern harbour office" if p >= 10 else "Printed by the northern harbour office"]
+        rows += [("f", p, n, t, 12.0, 60.0, 760.0 - 70 * n, 100.0, 10.0, True, 600.0, 800.0, "", "") for n, t in enumerate(lines)]
+    df = spark.createDataFrame(rows, LINE)
+    for few in (64, 0):
+        monkeypatch.setattr(ocr, "FEW", few, raising=False)
+        got = {(x.page_number, x.line_no) for x in ocr.noise(df).where("kind = 'furniture'").collect()}
+        assert got == {(p, n) for p in range(1, 13) for n in (0, 1, 2, 9)}, few
+
+
 def test_ocr_kinds_and_repair(spark):
     df = _pages(spark)
     got = {(r.page_number, r.line_no, r.kind) for r in ocr.noise(df).collect()}

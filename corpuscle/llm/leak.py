@@ -17,8 +17,8 @@ match and has at most one edit to ``RATIO`` words must hold ``LEAST`` words of t
 where it doesn't, the next best path through other words of the item is measured.
 
 Wording that recurs in many items (runs of ``COMMON_RUN`` words found in at least ``COMMON_ITEMS`` different
-ones, over all items) is no evidence: such words go on with a stretch but don't count towards the least number. Nor
-is a seed that recurs in so many items; a passage needs one that doesn't to be looked at.
+ones, over all items) is no evidence: such words go on with a stretch but don't count towards the least number, and
+seeds of such words only start no search. Any other seed starts one for each item that has it, however many these are.
 
 Defined results: null, empty and short items and texts give no case; items listed twice are both reported;
 repeated documents each have their rows; texts of any length are scanned whole.
@@ -102,11 +102,11 @@ def _common_of(n: int, starts: np.ndarray | None) -> np.ndarray:
 
 def _item_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        for i, c, h, starts in zip(b["item"], b.cls, b.h, b.starts):
+        for i, h, starts in zip(b["item"], b.h, b.starts):
             own = np.r_[0, np.cumsum(~_common_of(len(h), starts))]
             for s, at, n in seeds(h.view("u8"), np.zeros(len(h), "i1")):
                 k = own[at + n] > own[at]
-                yield pd.DataFrame({"seed": s[k].view("i8"), "item": i, "cls": c, "pos": at[k].astype("i4")})
+                yield pd.DataFrame({"seed": s[k].view("i8"), "item": i, "pos": at[k].astype("i4")})
 
 
 def _hits(known: Sieve):
@@ -279,10 +279,8 @@ def leaks(docs: DataFrame, id_col: str, text: str, items: DataFrame, item_col: s
     runs = words.mapInPandas(_item_runs, "item long, cls long, pos int, run long")
     common = runs.select("run", "cls").distinct().groupBy("run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_ITEMS).select("run")
     starts = runs.join(common, "run", "left_semi").groupBy("item", "cls").agg(F.collect_list("pos").alias("starts"))
-    listed = cut(words.join(starts, ["item", "cls"], "left").select("item", "cls", "h", "starts"))
-    table = cut(listed.mapInPandas(_item_seeds, "seed long, item long, cls long, pos int"))
-    often = table.select("seed", "cls").distinct().groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_ITEMS).select("seed")
-    table = cut(table.join(often, "seed", "left_anti").select("seed", "item", "pos"))
+    listed = cut(words.join(starts, ["item", "cls"], "left").select("item", "h", "starts"))
+    table = cut(listed.mapInPandas(_item_seeds, "seed long, item long, pos int"))
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(id_col, text).alias("key"), F.col(text).alias("text"))
     near = cut(rows.mapInPandas(_hits(sieve(table, "seed", BITMAP)), "doc long, key long, text string, seed array<long>, at array<int>"))
     salted = table.select("item", "pos", F.explode(F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.xxhash64("seed", k))).alias("s"))
@@ -290,7 +288,7 @@ def leaks(docs: DataFrame, id_col: str, text: str, items: DataFrame, item_col: s
     # Sizes of what Python made are estimated by what it was made from, here far too small: never broadcast by that estimate.
     diagonals = hits.join(salted.hint("merge"), "s").groupBy("key", "item").agg(F.collect_set(F.shiftleft((F.col("at") - F.col("pos")).cast("long"), POS_BITS) + F.col("pos")).alias("hits"))
     bands = diagonals.mapInPandas(_covered, "key long, item long, low array<long>, high array<long>")
-    found = bands.join(listed.drop("cls"), "item")
+    found = bands.join(listed, "item")
     void = lambda c, t: F.lit(None).cast(t).alias(c)
     texts = near.select("key", "doc", "text", void("item", "long"), void("h", "array<long>"), void("starts", "array<int>"), void("low", "array<long>"), void("high", "array<long>")).dropDuplicates(["key"])
     both = texts.unionByName(found.select("key", void("doc", "long"), void("text", "string"), "item", "h", "starts", "low", "high"))

@@ -280,6 +280,15 @@ def test_leak_common_wording_and_widths(spark, monkeypatch):
     assert leak.leaks(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
 
 
+def test_leak_of_items_that_share_all_seeds(spark):
+    """Versions of one item: the text changes just the words in which they differ, so any seed it holds is in all of them."""
+    base = [f"w{i}" for i in range(24)]
+    items = spark.createDataFrame([(j, " ".join(f"x{j}y{i}" if i % 6 == 5 else w for i, w in enumerate(base))) for j in range(6)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "before " + " ".join("other" if i % 6 == 5 else w for i, w in enumerate(base)) + " after")], "doc_id long, text string")
+    got = sorted(tuple(x) for x in leak.leaks(docs, "doc_id", "text", items, "item_id", "text").collect())
+    assert got == [(1, j) for j in range(6)]
+
+
 def _brute_overlap(item, doc):
     """Whether a stretch of the item's words stands in the text with at most a sixth of edits and 15 words held, over all alignments of all stretches."""
     best = False
